@@ -44,8 +44,10 @@ def unevaluated_files(files: DataFrame, runs: DataFrame) -> DataFrame:
 
 
 def latest_updates(updates: DataFrame) -> DataFrame:
-    """One update (name, score, seconds, at) per file: the last one wins."""
-    newest = F.max_by(F.struct("score", "seconds", "at"), F.struct("at", "score", "seconds"))
+    """One update (name, score, seconds, evaluated_at) per file: the last one wins."""
+    newest = F.max_by(
+        F.struct("score", "seconds", "evaluated_at"), F.struct("evaluated_at", "score", "seconds")
+    )
     return updates.groupBy("name").agg(newest.alias("_update"))
 
 
@@ -58,7 +60,7 @@ def apply_updates(runs: DataFrame, updates: DataFrame) -> DataFrame:
         "evaluation_score": F.col("_update.score"),
         "evaluation_time": F.col("_update.seconds"),
         "evaluation_status": F.lit(COMPLETED),
-        "evaluation_timestamp": F.col("_update.at"),
+        "evaluation_timestamp": F.col("_update.evaluated_at"),
     }
     columns = dict.fromkeys(runs.columns) | dict.fromkeys(changed)
     present = set(runs.columns)
@@ -90,7 +92,7 @@ def update_log_lines(lines: DataFrame, updates: DataFrame) -> DataFrame:
         "evaluation_score": F.col("_update.score"),
         "evaluation_time": F.col("_update.seconds"),
         "evaluation_status": F.lit(COMPLETED),
-        "evaluation_timestamp": F.col("_update.at"),
+        "evaluation_timestamp": F.col("_update.evaluated_at"),
     }
     pairs = [part for key, value in new.items() for part in (F.lit(key), value.cast("variant"))]
     others = F.map_filter("_entry", lambda key, _: ~key.isin(*new))

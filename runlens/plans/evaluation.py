@@ -68,7 +68,7 @@ def evaluate(
     reports: DataFrame,
     texts: DataFrame,
     times: DataFrame,
-    at: Column | str,
+    evaluated_at: Column | str,
     force: bool = False,
     dry_run: bool = False,
     update_log: bool = True,
@@ -77,7 +77,7 @@ def evaluate(
 
     ``predictions``, ``reports``, ``texts`` and ``times`` (name, seconds) are keyed
     by file ``name``; running the harness itself lies between the submissions and
-    these inputs. ``at`` is the evaluation time to log. ``updates`` is ready for
+    these inputs. ``evaluated_at`` is the time to log. ``updates`` is ready for
     :func:`runlens.operators.status.apply_updates`.
     """
     overview = status.evaluation_status(selected, runs)
@@ -88,8 +88,8 @@ def evaluate(
     rows = predictions.join(todo.select("name"), "name", "left_semi")
     sized = todo.withColumnRenamed("instances", "predictions")
     scored = scoring.evaluation_scores(sized, reports, texts, on="name").join(times, "name", "left")
-    stamp = F.lit(at) if isinstance(at, str) else at
-    updates = scored.where(F.col("update_log")).select("name", "score", "seconds", stamp.alias("at"))
+    stamp = F.lit(evaluated_at) if isinstance(evaluated_at, str) else evaluated_at
+    updates = scored.where(F.col("update_log")).select("name", "score", "seconds", stamp.alias("evaluated_at"))
     return Evaluation(
         selected=overview,
         totals=totals,

@@ -16,10 +16,12 @@ _FILE_IN_PATH = r"^(.*?([^/=]*\.jsonl))(?:/[^/]*)?$"
 
 
 def _with_file(lines: DataFrame) -> DataFrame:
+    # Spark's file index and its row metadata spell local paths differently.
+    path = F.regexp_replace("path", "^file:/+", "file:/")
     return lines.withColumns(
         {
-            "name": F.regexp_extract("path", _FILE_IN_PATH, 2),
-            "path": F.regexp_extract("path", _FILE_IN_PATH, 1),
+            "name": F.regexp_extract(path, _FILE_IN_PATH, 2),
+            "path": F.regexp_extract(path, _FILE_IN_PATH, 1),
         }
     )
 
