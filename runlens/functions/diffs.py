@@ -17,14 +17,103 @@ HUNK_HEADER = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 NO_PATH = "/dev/null"
 # ----------------------------------------------------------------------------
 
-_HUNK = "struct<path:string,start:int,old:int,new:int,first:int>"
 _UNNAMED = "?"  # a file known from its git header only
 
-
-def lines_of(text: Column) -> Column:
-    """Lines of a text; a final line end does not start another line."""
-    lines = F.split(F.regexp_replace(text, r"\n\z", ""), "\n")
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(lines)
+# One pass over a patch's lines as a Spark SQL expression; see parse_patch. The lines
+# are first marked with what they are outside of hunks (kind) and inside of them.
+_MARKED = rf"""
+transform({{lines}}, line -> named_struct(
+  'line', line,
+  'kind', CASE WHEN startswith(line, '@@ -') AND line RLIKE r'{HUNK_HEADER}' THEN 'hunk'
+               WHEN startswith(line, '--- ') THEN 'source'
+               WHEN startswith(line, '+++ ') THEN 'target'
+               WHEN startswith(line, 'diff --git ') AND line RLIKE r'^diff --git .+ .+' THEN 'git'
+               ELSE 'text' END,
+  'old', int(line = '' OR left(line, 1) IN (' ', '-')),
+  'new', int(line = '' OR left(line, 1) IN (' ', '+')),
+  'fits', line = '' OR left(line, 1) IN (' ', '-', '+', r'\')))
+"""
+
+_START = """
+named_struct(
+  'at', 0, 'files', 0, 'source', string(null), 'path', string(null), 'old_left', 0, 'new_left', 0,
+  'created', cast(array() AS array<string>),
+  'hunks', cast(array() AS array<struct<path: string, start: int, old: int, new: int, first: int>>),
+  'problem', string(null))
+"""
+
+_FIELDS = ("files", "source", "path", "old_left", "new_left", "created", "hunks", "problem")
+
+
+def _next(**fields: str) -> str:
+    """The state after a line: the given fields changed, all others kept."""
+    kept = [f"'{name}', {fields.get(name, f's.{name}')}" for name in _FIELDS]
+    return f"named_struct('at', s.at + 1, {', '.join(kept)})"
+
+
+def _number(group: int, default: int) -> str:
+    found = f"try_cast(nullif(regexp_extract(x.line, r'{HUNK_HEADER}', {group}), '') AS int)"
+    return f"coalesce({found}, {default})"
+
+
+def _path(prefix: str) -> str:
+    """Path on a header line, without its time stamp and leading folder."""
+    return f"regexp_replace(substring_index(substr(x.line, 5), '\t', 1), '^{prefix}/', '')"
+
+
+_NAMELESS = f"s.path <=> '{_UNNAMED}'"
+_HUNK = (
+    f"named_struct('path', s.path, 'start', {_number(1, 0)}, 'old', {_number(2, 1)},"
+    f" 'new', {_number(4, 1)}, 'first', s.at + 2)"
+)
+_STEP = f"""
+CASE
+  WHEN s.old_left > 0 OR s.new_left > 0 THEN {_next(
+      old_left="s.old_left - x.old",
+      new_left="s.new_left - x.new",
+      problem="CASE WHEN s.problem IS NOT NULL THEN s.problem WHEN NOT x.fits THEN 'hunk line expected'"
+      " WHEN s.old_left < x.old OR s.new_left < x.new THEN 'hunk is longer than stated' END",
+  )}
+  WHEN x.kind = 'text' THEN {_next()}
+  WHEN x.kind = 'hunk' THEN {_next(
+      old_left=_number(2, 1),
+      new_left=_number(4, 1),
+      hunks=f"array_append(s.hunks, {_HUNK})",
+      problem="coalesce(s.problem,"
+      f" CASE WHEN s.path IS NULL OR {_NAMELESS} THEN 'hunk outside of a file' END)",
+  )}
+  WHEN x.kind = 'source' THEN {_next(
+      source=_path("a"), path=f"CASE WHEN {_NAMELESS} THEN s.path END"
+  )}
+  -- A git header has counted the file that its --- and +++ lines then name.
+  WHEN x.kind = 'target' THEN {_next(
+      files=f"s.files + int(s.source IS NOT NULL AND NOT ({_NAMELESS}))",
+      source="string(null)",
+      path=f"CASE WHEN s.source = '{NO_PATH}' THEN {_path('b')} ELSE s.source END",
+      created=f"CASE WHEN s.source = '{NO_PATH}' THEN array_append(s.created, {_path('b')}) ELSE s.created END",
+      problem="coalesce(s.problem, CASE WHEN s.source IS NULL THEN 'target without source' END)",
+  )}
+  ELSE {_next(files="s.files + 1", source="string(null)", path=f"'{_UNNAMED}'")}
+END
+"""
+
+_FINISH = """
+named_struct(
+  'files', s.files, 'hunks', s.hunks, 'created', s.created,
+  'problem', coalesce(s.problem,
+                      CASE WHEN s.old_left > 0 OR s.new_left > 0 THEN 'hunk is shorter than stated' END))
+"""
+
+
+_LINES = r"""
+CASE WHEN {text} = '' THEN cast(array() AS array<string>)
+     ELSE split(regexp_replace({text}, r'\n\z', ''), r'\n') END
+"""
+
+
+def lines_of(text: str) -> Column:
+    """Lines of a text expression; a final line end does not start another line."""
+    return F.expr(_LINES.format(text=text))
 
 
 def with_value(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -32,106 +121,16 @@ def with_value(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _side_path(line: Column, prefix: str) -> Column:
-    """Path on a ``---`` or ``+++`` line, without its time stamp and leading folder."""
-    raw = F.substring_index(F.substr(line, F.lit(5)), "\t", 1)
-    return F.when(raw == NO_PATH, raw).otherwise(F.regexp_replace(raw, f"^{prefix}/", ""))
-
-
-def parse_patch(patch: Column) -> Column:
-    """struct(files, hunks, created, problem) of a unified diff.
+def parse_patch(patch: str) -> Column:
+    """struct(files, hunks, created, problem) of the unified diff in a text column.
 
     A fold over the lines carries how many old and new lines the open hunk still
     expects. Inside a hunk only the first character of a line counts, so a removed
     line that looks like a file header stays a removed line. ``hunks`` tells path,
     first old line, numbers of old and new lines, and the line its body starts at.
     """
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.lit(0).alias("files"),
-        F.lit(None).cast("string").alias("source"),
-        F.lit(None).cast("string").alias("path"),
-        F.lit(0).alias("old_left"),
-        F.lit(0).alias("new_left"),
-        F.array().cast("array<string>").alias("created"),
-        F.array().cast(f"array<{_HUNK}>").alias("hunks"),
-        F.lit(None).cast("string").alias("problem"),
-    )
-
-    def step(state: Column, line: Column) -> Column:
-        def number(group: int, default: int | None = None) -> Column:
-            found = F.nullif(F.regexp_extract(line, HUNK_HEADER, group), F.lit("")).try_cast("int")
-            return found if default is None else F.coalesce(found, F.lit(default))
-
-        get = state.getField
-        mark = F.substring(line, 1, 1)
-        inside = (get("old_left") > 0) | (get("new_left") > 0)
-        # An empty line is a context line whose blank was lost.
-        on_old = inside & (mark.isin(" ", "-") | (line == ""))
-        on_new = inside & (mark.isin(" ", "+") | (line == ""))
-        old_left = get("old_left") - on_old.cast("int")
-        new_left = get("new_left") - on_new.cast("int")
-        is_header = ~inside & line.rlike(HUNK_HEADER)
-        is_source = ~inside & line.startswith("--- ")
-        is_target = ~inside & line.startswith("+++ ")
-        is_git = ~inside & line.rlike("^diff --git .+ .+")
-        # A git header opens the file that the --- and +++ lines then name.
-        unnamed = get("path").eqNullSafe(F.lit(_UNNAMED))
-        opens = is_git | (is_target & get("source").isNotNull() & ~unnamed)
-        target = _side_path(line, "b")
-        path = (
-            F.when(is_git, _UNNAMED)
-            .when(is_source & ~unnamed, F.lit(None).cast("string"))
-            .when(is_target & (get("source") == NO_PATH), target)
-            .when(is_target, get("source"))
-            .otherwise(get("path"))
-        )
-        source = (
-            F.when(is_git | is_target, F.lit(None).cast("string"))
-            .when(is_source, _side_path(line, "a"))
-            .otherwise(get("source"))
-        )
-        hunk = F.struct(
-            path.alias("path"),
-            number(1).alias("start"),
-            number(2, 1).alias("old"),
-            number(4, 1).alias("new"),
-            (get("at") + 2).alias("first"),
-        )
-        problem = F.coalesce(
-            get("problem"),
-            F.when(inside & (line != "") & ~mark.isin(" ", "-", "+", "\\"), "hunk line expected"),
-            F.when((old_left < 0) | (new_left < 0), "hunk is longer than stated"),
-            F.when(is_header & (get("path").isNull() | unnamed), "hunk outside of a file"),
-            F.when(is_header & (number(1).isNull() | number(3).isNull()), "bad hunk header"),
-            F.when(is_target & get("source").isNull(), "target without source"),
-        )
-        return F.struct(
-            (get("at") + 1).alias("at"),
-            (get("files") + opens.cast("int")).alias("files"),
-            source.alias("source"),
-            path.alias("path"),
-            F.when(is_header, number(2, 1)).otherwise(old_left).alias("old_left"),
-            F.when(is_header, number(4, 1)).otherwise(new_left).alias("new_left"),
-            F.when(is_target & (get("source") == NO_PATH), F.array_append(get("created"), target))
-            .otherwise(get("created"))
-            .alias("created"),
-            F.when(is_header, F.array_append(get("hunks"), hunk)).otherwise(get("hunks")).alias("hunks"),
-            problem.alias("problem"),
-        )
-
-    def finish(state: Column) -> Column:
-        short = (state.getField("old_left") > 0) | (state.getField("new_left") > 0)
-        return F.struct(
-            state.getField("files").alias("files"),
-            state.getField("hunks").alias("hunks"),
-            state.getField("created").alias("created"),
-            F.coalesce(
-                state.getField("problem"), F.when(short, "hunk is shorter than stated")
-            ).alias("problem"),
-        )
-
-    return F.aggregate(lines_of(F.coalesce(patch, F.lit(""))), start, step, finish)
+    marked = _MARKED.format(lines=_LINES.format(text=f"coalesce({patch}, '')"))
+    return F.expr(f"aggregate({marked}, {_START}, (s, x) -> {_STEP}, s -> {_FINISH})")
 
 
 def patch_problem(patch: Column, parsed: Column) -> Column:

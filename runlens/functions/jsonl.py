@@ -11,17 +11,47 @@ from runlens.functions.text import strip
 _STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
 
 
-def parse_objects(lines: DataFrame, element: str, out: str, line: str = "line") -> DataFrame:
-    """Add ``out``, the JSON object on each line, or null where a line is no single object.
+def _parse(lines: DataFrame, element: str, line: str) -> tuple[DataFrame, Column]:
+    """Lines with ``_objects``, and whether that is the single JSON object on the line.
 
     Wrapping the line as an array makes Spark's parser see text after the object,
     which it would otherwise pass over.
     """
-    text = strip(F.col(line))
-    wrapped = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<{element}>", _STRICT)
-    parsed = lines.withColumn("_objects", wrapped)
-    single = (F.size("_objects") == 1) & text.startswith("{") & text.endswith("}")
-    return parsed.withColumn(out, F.when(single, F.get("_objects", F.lit(0)))).drop("_objects")
+    wrapped = F.concat(F.lit("["), F.col("_text"), F.lit("]"))
+    parsed = lines.withColumn("_text", strip(F.col(line))).withColumn(
+        "_objects", F.from_json(wrapped, f"array<{element}>", _STRICT)
+    )
+    single = (
+        (F.size("_objects") == 1)
+        & F.col("_text").startswith("{")
+        & F.col("_text").endswith("}")
+        & F.get("_objects", F.lit(0)).isNotNull()
+    )
+    return parsed, F.coalesce(single, F.lit(False))
+
+
+def parse_objects(lines: DataFrame, element: str, out: str, line: str = "line") -> DataFrame:
+    """Add ``out``, the JSON object on each line, or null where a line is no single object."""
+    parsed, single = _parse(lines, element, line)
+    value = F.when(single, F.get("_objects", F.lit(0)))
+    return parsed.withColumn(out, value).drop("_objects", "_text")
+
+
+def only_objects(lines: DataFrame, element: str, out: str, line: str = "line") -> DataFrame:
+    """Like :func:`parse_objects`, without the lines that are no single object.
+
+    Rows are dropped by an explode. A filter would be pushed below the parsing and
+    make Spark parse every line twice.
+    """
+    parsed, single = _parse(lines, element, line)
+    return parsed.withColumn(out, F.explode(F.when(single, F.col("_objects")))).drop("_objects", "_text")
+
+
+def not_objects(lines: DataFrame, element: str, line: str = "line") -> DataFrame:
+    """The lines that :func:`only_objects` drops."""
+    parsed, single = _parse(lines, element, line)
+    dropped = parsed.withColumn("_dropped", F.explode(F.when(~single, F.array(F.lit(True)))))
+    return dropped.select(*lines.columns)
 
 
 def as_text(schema: T.StructType) -> str:

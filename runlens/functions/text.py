@@ -51,16 +51,22 @@ PROMPT_FIELDS = (
 )
 HINTS_HEADING = "\n\nHints:\n"
 CHECKOUT_PREFIX = "/tmp/swe_bench_"
+# White space as the log's writers strip it.
+WHITE_SPACE = (
+    "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 # ----------------------------------------------------------------------------
 
 
 def has_text(col: Column) -> Column:
     """True where the text holds anything but white space; null counts as blank."""
-    return F.coalesce(col.rlike(r"(?U)\S"), F.lit(False))
+    return F.coalesce(F.ltrim(col, F.lit(WHITE_SPACE)) != "", F.lit(False))
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, r"(?U)^\s+|\s+\z", "")
+    return F.trim(col, F.lit(WHITE_SPACE))
 
 
 def is_completed(status: Column) -> Column:

@@ -3,24 +3,61 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# A key is hot if it has more than this many rows and this share of all rows.
+HOT_ROWS = 100_000
+HOT_SHARE = 1 / 1000
+HOT_SALTS = 256
 SALTS = 8
 
 
-def salted_lookup(
-    facts: DataFrame, table: DataFrame, on: Sequence[str], spread: str, salts: int = SALTS
+def _part(spread: str, parts: int) -> Column:
+    """Part of a row. A hash, unlike a random number, is the same when a task runs again."""
+    return F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int")
+
+
+def _numbers(count: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), count - 1))
+
+
+def salted_lookup(facts: DataFrame, table: DataFrame, on: Sequence[str], spread: str) -> DataFrame:
+    """Left join ``facts`` to a smaller table with one row per key, every key split up.
+
+    Facts are spread over the parts of their key by ``spread``, a column that differs
+    within a key, and each table row is repeated once per part.
+    """
+    left = facts.withColumn("_part", _part(spread, SALTS))
+    right = table.withColumn("_part", _numbers(F.lit(SALTS)))
+    return left.join(right, [*on, "_part"], "left").drop("_part")
+
+
+def hot_salted_lookup(
+    facts: DataFrame,
+    table: DataFrame,
+    on: Sequence[str],
+    spread: str,
+    rows: str,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Left join ``facts`` to a table with one row per key.
+    """Like :func:`salted_lookup`, splitting hot keys only, for tables about as long as the facts.
 
-    The table's rows are repeated once per salt and the facts spread over the salts
-    by a hash of ``spread``, a column that differs within a key. The hash, unlike a
-    random salt, gives the same partition when a lost task is run again. The extra
-    exchange on the table's side also lets adaptive execution split what is still
-    too large, and turn the join into a broadcast where the table proves small.
+    ``rows`` is a column of the table with the number of facts per key. At most
+    1/HOT_SHARE keys can hold such a share of the rows, however many rows there are,
+    so the list of hot keys is small enough to broadcast. Facts without a key match
+    nothing and are spread as well.
     """
-    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
-    repeated = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return facts.withColumn("_salt", salt).join(repeated, [*on, "_salt"], "left").drop("_salt")
+    on = list(on)
+    total = table.agg(F.sum(rows)).scalar()
+    is_hot = (F.col(rows) > hot_rows) & (F.col(rows) > total * HOT_SHARE)
+    hot = table.where(is_hot).select(*[F.col(key).alias(f"_hot_{key}") for key in on], F.lit(True).alias("_hot"))
+    same = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_hot_{key}")) for key in on])
+    no_key = reduce(or_, [F.col(key).isNull() for key in on])
+    part = F.when(F.coalesce("_hot", F.lit(False)) | no_key, _part(spread, HOT_SALTS)).otherwise(0)
+    left = facts.join(F.broadcast(hot), same, "left").select(*facts.columns, part.alias("_part"))
+    right = table.withColumn("_part", _numbers(F.when(is_hot, HOT_SALTS).otherwise(1)))
+    return left.join(right.drop(rows), [*on, "_part"], "left").drop("_part")

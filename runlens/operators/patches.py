@@ -50,7 +50,7 @@ def change_set(before: DataFrame, after: DataFrame) -> DataFrame:
     """
     changed = changed_files(before, after)
     side = lambda text, sign: F.transform(
-        lines_of(F.col(text)), lambda line: F.struct(line.alias("line"), F.lit(sign).alias("sign"))
+        lines_of(text), lambda line: F.struct(line.alias("line"), F.lit(sign).alias("sign"))
     )
     lines = changed.select(
         *_KEY, "change", F.explode(F.concat(side("before", -1), side("after", 1))).alias("_line")
@@ -66,7 +66,7 @@ def change_set(before: DataFrame, after: DataFrame) -> DataFrame:
 def validate_patches(patches: DataFrame, patch: str = "patch") -> DataFrame:
     """Add ``valid`` and ``problem``, the reason why a patch is not well formed."""
     return (
-        patches.withColumn("_parsed", parse_patch(F.col(patch)))
+        patches.withColumn("_parsed", parse_patch(patch))
         .withColumn("problem", patch_problem(F.col(patch), F.col("_parsed")))
         .withColumn("valid", F.col("problem").isNull())
         .select(*patches.columns, "valid", "problem")
@@ -87,10 +87,10 @@ def patches_applying(patches: DataFrame, files: DataFrame) -> DataFrame:
     so files are split once and never expanded into line rows.
     """
     parsed = patches.select("patch_id", "snapshot_id", "patch").withColumn(
-        "_parsed", parse_patch(F.col("patch"))
+        "_parsed", parse_patch("patch")
     )
     hunks = with_value(
-        lines_of(F.coalesce("patch", F.lit(""))),
+        lines_of("coalesce(patch, '')"),
         lambda lines: F.transform(
             "_parsed.hunks",
             lambda hunk: F.struct(
@@ -118,7 +118,7 @@ def patches_applying(patches: DataFrame, files: DataFrame) -> DataFrame:
     )
     met = targets.join(files.select(*_KEY, "content"), list(_KEY), "left")
     fits = with_value(
-        lines_of(F.coalesce("content", F.lit(""))),
+        lines_of("coalesce(content, '')"),
         lambda lines: F.forall("_hunks", lambda hunk: _stands_at(lines, hunk)),
     )
     present = F.col("content").isNotNull()

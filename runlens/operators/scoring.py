@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.text import has_text, result_score
-from runlens.operators.joins import salted_lookup
+from runlens.operators.joins import hot_salted_lookup
 from runlens.operators.status import DEFAULT_SUBMISSION_MODEL, MODEL_SUFFIX
 
 
@@ -58,8 +58,8 @@ def _submission(predictions: DataFrame, model: Column, keep: Sequence[str]) -> D
 def submissions(predictions: DataFrame, by: Sequence[str], seq: str = "seq") -> DataFrame:
     """Submission rows of past files: all rows of a file carry its first row's model."""
     first = F.min_by(F.coalesce("model", F.lit(DEFAULT_SUBMISSION_MODEL)), seq)
-    models = predictions.groupBy(*by).agg(first.alias("_model"))
-    named = salted_lookup(predictions, models, list(by), spread=seq)
+    models = predictions.groupBy(*by).agg(first.alias("_model"), F.count(F.lit(1)).alias("_rows"))
+    named = hot_salted_lookup(predictions, models, by, spread=seq, rows="_rows")
     return _submission(named, F.col("_model"), by)
 
 
@@ -113,10 +113,9 @@ def batch_summary(evaluated: DataFrame, seconds: str = "seconds") -> DataFrame:
 
     Average and total are null for fewer than two files, as there is nothing to sum up.
     """
-    scored = evaluated.where(F.col("score").isNotNull())
-    several = F.count(F.lit(1)) > 1
-    return scored.agg(
-        F.count(F.lit(1)).alias("files"),
+    several = F.count("score") > 1
+    return evaluated.agg(
+        F.count("score").alias("files"),
         F.when(several, F.avg("score")).alias("average_score"),
-        F.when(several, F.sum(seconds)).alias("total_seconds"),
+        F.when(several, F.sum(F.when(F.col("score").isNotNull(), F.col(seconds)))).alias("total_seconds"),
     )

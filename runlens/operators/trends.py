@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,40 +57,11 @@ def recent_evaluations(
     )
 
 
-def _split_bucket(rows: DataFrame, by: Sequence[str], bucket: Column, needed: Column | None):
-    """One refinement step of :func:`score_trend`.
-
-    Sums rows per bucket, and tells per group which bucket the split falls into.
-    Returns (sums of the whole buckets before the split, the split buckets).
-    """
-    sums = rows.withColumn("_bucket", bucket).groupBy(*by, "_bucket").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.sum("score").alias("_score"),
-        *([F.first("_needed").alias("_needed")] if needed is not None else []),
-    )
-    group = Window.partitionBy(*by)
-    upto = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sums.withColumns(
-        {
-            "_upto": F.sum("_n").over(upto),
-            "_total": F.sum("_n").over(group),
-            "_total_score": F.sum("_score").over(group),
-        }
-    )
-    target = F.floor(F.col("_total") / 2).cast("bigint") if needed is None else needed
-    placed = placed.withColumn("_target", target)
-    whole = placed.groupBy(*by).agg(
-        F.coalesce(F.sum(F.when(F.col("_upto") <= F.col("_target"), F.col("_score"))), F.lit(0.0)).alias(
-            "_first_score"
-        ),
-        F.first("_total").alias("_total"),
-        F.first("_total_score").alias("_total_score"),
-    )
-    before = F.col("_upto") - F.col("_n")
-    split = placed.where((before < F.col("_target")) & (F.col("_target") < F.col("_upto"))).select(
-        *by, "_bucket", (F.col("_target") - before).alias("_needed")
-    )
-    return whole, split
+def _with_split(rows: DataFrame, split: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of each group's split bucket; a missing group key is a key like any other."""
+    renamed = split.withColumnsRenamed({key: f"_s_{key}" for key in keys})
+    same = [F.col(key).eqNullSafe(F.col(f"_s_{key}")) for key in keys]
+    return rows.join(renamed, reduce(and_, same)).drop(*[f"_s_{key}" for key in keys])
 
 
 def score_trend(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -104,33 +77,48 @@ def score_trend(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     2**20 per group, because a chunk holds no more log positions.
     """
     by = list(by)
-    rows = _completed(runs, by).select(*by, "at", "seq", "score")
-    kind = rows.schema["seq"].dataType
-    steps = {
-        "_day": F.substring("at", 1, 10),
-        "_second": F.col("at"),
-        "_chunk": seq_chunk(F.col("seq"), kind),
-        "_row": F.col("seq"),
-    }
-    parts, needed = [], None
-    for name, bucket in steps.items():
-        whole, split = _split_bucket(rows, by, bucket, needed)
-        parts.append(whole if needed is None else whole.select(*by, "_first_score"))
-        if name == "_row":
-            break
-        # The split side has one row per group; Spark checks its size for a broadcast.
-        keyed = rows.drop("_needed").withColumn("_bucket", bucket)
-        rows = keyed.join(split, [*by, "_bucket"]).drop("_bucket")
-        needed = F.col("_needed")
-    totals = parts[0]
+    done = _completed(runs, by)
+    rows = done.select(
+        *by,
+        F.substring("at", 1, 10).alias("_day"),
+        F.col("at").alias("_second"),
+        seq_chunk(F.col("seq"), done.schema["seq"].dataType).alias("_chunk"),
+        F.col("seq").alias("_row"),
+        "score",
+    )
+    group = Window.partitionBy(*by)
+    keys, parts, split = list(by), [], None
+    for bucket in ("_day", "_second", "_chunk", "_row"):
+        left = rows if split is None else _with_split(rows, split, keys)
+        sums = left.groupBy(*keys, bucket).agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.sum("score").alias("_score"),
+            *([] if split is None else [F.first("_needed").alias("_needed")]),
+        )
+        upto = group.orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = sums.withColumns(
+            {"_upto": F.sum("_n").over(upto), "_total": F.sum("_n").over(group)}
+        )
+        if split is None:
+            placed = placed.withColumn("_needed", F.floor(F.col("_total") / 2).cast("bigint"))
+        # Whole buckets before the split belong to the earlier half.
+        early = F.sum(F.when(F.col("_upto") <= F.col("_needed"), F.col("_score")))
+        totals = [F.first("_total").alias("runs"), F.sum("_score").alias("_all")]
+        parts.append(placed.groupBy(*by).agg(early.alias("_first"), *(totals if split is None else [])))
+        before = F.col("_upto") - F.col("_n")
+        keys.append(bucket)
+        split = placed.where((before < F.col("_needed")) & (F.col("_needed") < F.col("_upto"))).select(
+            *keys, (F.col("_needed") - before).alias("_needed")
+        )
+    merged = parts[0]
     for part in parts[1:]:
-        totals = totals.unionByName(part, allowMissingColumns=True)
-    n, half = F.col("runs"), F.floor(F.col("runs") / 2)
-    summed = totals.groupBy(*by).agg(
-        F.max("_total").alias("runs"),
-        F.sum("_first_score").alias("_first"),
-        F.max("_total_score").alias("_all"),
+        merged = merged.unionByName(part, allowMissingColumns=True)
+    summed = merged.groupBy(*by).agg(
+        F.max("runs").alias("runs"),
+        F.coalesce(F.sum("_first"), F.lit(0.0)).alias("_first"),
+        F.max("_all").alias("_all"),
     )
+    n, half = F.col("runs"), F.floor(F.col("runs") / 2)
     enough = n >= MIN_RUNS_FOR_TREND
     halves = summed.where(n >= MIN_RUNS_FOR_HISTORY).select(
         *by,

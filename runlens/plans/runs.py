@@ -29,9 +29,8 @@ def prompts(
 
 def predictions(results: DataFrame, backend: Column, alias: Column | None = None) -> DataFrame:
     """Predictions from raw results; patches that are not well formed become empty."""
-    patch = F.col("extracted_patch")
-    checked = results.withColumn("_parsed", parse_patch(patch)).withColumn(
-        "_problem", patch_problem(patch, F.col("_parsed"))
+    checked = results.withColumn("_parsed", parse_patch("extracted_patch")).withColumn(
+        "_problem", patch_problem(F.col("extracted_patch"), F.col("_parsed"))
     )
     return status.assemble_predictions(checked, backend, alias, F.col("_problem"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators count on. All but the first two are Spark's defaults,
 # stated here because the plans rely on them.
@@ -36,3 +36,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="runlens-")
     return f"{root.rstrip('/')}/runlens/{name}-{uuid.uuid4().hex}"
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a scan over all cores if it has fewer than two splits per core.
+
+    For work that is heavy per row on files that Spark can hardly split. Any input of
+    some size has more splits and is left as it is read, so the exchange stays small.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < 2 * cores else scan

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens import schemas
-from runlens.functions.jsonl import as_text, parse_objects, typed
+from runlens.functions.jsonl import as_text, not_objects, only_objects, parse_objects, typed
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -45,7 +45,7 @@ def parse_score_log(lines: DataFrame, line: str = "line") -> DataFrame:
     Other columns (such as ``seq``) are kept. Missing and null fields both become null.
     """
     kept = [c for c in lines.columns if c not in (line, "path")]
-    parsed = parse_objects(lines, as_text(schemas.RUN), "_run", line).where(F.col("_run").isNotNull())
+    parsed = only_objects(lines, as_text(schemas.RUN), "_run", line)
     return parsed.select(*kept, *typed("_run", schemas.RUN))
 
 
@@ -55,8 +55,7 @@ def read_score_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def faulty_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """The lines that :func:`parse_score_log` leaves out, for reporting."""
-    parsed = parse_objects(lines, as_text(schemas.RUN), "_run", line)
-    return parsed.where(F.col("_run").isNull()).drop("_run")
+    return not_objects(lines, as_text(schemas.RUN), line)
 
 
 def read_documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -96,8 +95,7 @@ def read_result_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def parse_raw_results(documents: DataFrame) -> DataFrame:
     """Raw model runs, one JSON document each; documents that are no JSON object are left out."""
-    parsed = parse_objects(documents, schemas.RAW_RESULT.simpleString(), "_raw", "text")
-    return parsed.where(F.col("_raw").isNotNull()).select("_raw.*")
+    return only_objects(documents, schemas.RAW_RESULT.simpleString(), "_raw", "text").select("_raw.*")
 
 
 def read_raw_results(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens import schemas
-from runlens.functions.jsonl import as_text, parse_objects, typed
+from runlens.functions.jsonl import as_text, only_objects, parse_objects, typed
 from runlens.functions.text import RUN_NAME_PATTERN, name_timestamp
 from runlens.sources.logs import read_lines
 
@@ -34,10 +34,8 @@ def read_prediction_lines(spark: SparkSession, path: str | list[str]) -> DataFra
 def parse_predictions(lines: DataFrame, line: str = "line") -> DataFrame:
     """Predictions from lines; a line that holds no JSON object gives no row."""
     kept = [c for c in lines.columns if c != line]
-    parsed = parse_objects(lines, as_text(schemas.PREDICTION), "_prediction", line)
-    return parsed.where(F.col("_prediction").isNotNull()).select(
-        *kept, *typed("_prediction", schemas.PREDICTION)
-    )
+    parsed = only_objects(lines, as_text(schemas.PREDICTION), "_prediction", line)
+    return parsed.select(*kept, *typed("_prediction", schemas.PREDICTION))
 
 
 def read_predictions(spark: SparkSession, path: str | list[str]) -> DataFrame:

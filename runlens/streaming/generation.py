@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from runlens import schemas
-from runlens.functions.jsonl import as_text, parse_objects, typed
+from runlens.functions.jsonl import as_text, only_objects, typed
 from runlens.operators.scoring import generation_scores
 
 
@@ -25,10 +25,8 @@ def prediction_stream(spark: SparkSession, path: str, files_per_batch: int = 100
             F.regexp_extract("_metadata.file_path", r"([^/=]*\.jsonl)(?:/[^/]*)?$", 1).alias("name"),
         )
     )
-    parsed = parse_objects(lines, as_text(schemas.PREDICTION), "_prediction")
-    return parsed.where(F.col("_prediction").isNotNull()).select(
-        "name", *typed("_prediction", schemas.PREDICTION)
-    )
+    parsed = only_objects(lines, as_text(schemas.PREDICTION), "_prediction")
+    return parsed.select("name", *typed("_prediction", schemas.PREDICTION))
 
 
 def keep_scores(

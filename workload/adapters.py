@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from runlens.session import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
     "pages benchmark labels conversations"
@@ -202,12 +204,16 @@ def uses(sql: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{([a-z_]+)\}", sql)))
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, or a view over the given tables, as a DataFrame."""
+def view(spark: SparkSession, sf_dir: str, name: str, spread_over: tuple[str, ...] = ()) -> DataFrame:
+    """A given table, or a view over the given tables, as a DataFrame.
+
+    Tables in ``spread_over`` are spread over the cores if their files are few.
+    """
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        table = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        return spread(table) if name in spread_over else table
     sql = VIEWS[name]
-    return spark.sql(sql, **{used: view(spark, sf_dir, used) for used in uses(sql)})
+    return spark.sql(sql, **{used: view(spark, sf_dir, used, spread_over) for used in uses(sql)})
 
 
 def with_views(sql: str) -> str:

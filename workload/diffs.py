@@ -91,7 +91,7 @@ _LINES = """
 
 @query(f"WITH {_LINES} SELECT patch_id, problem IS NULL AS valid, problem FROM verdicts")
 def patch_validation(spark: SparkSession, sf: str) -> DataFrame:
-    checked = patches.validate_patches(view(spark, sf, "patches"))
+    checked = patches.validate_patches(view(spark, sf, "patches", ("documents",)))
     # What is wrong inside an invalid patch is told in other words by every parser.
     return checked.select("patch_id", "valid", F.substring_index("problem", ":", 1).alias("problem"))
 
@@ -121,7 +121,7 @@ def patch_validation(spark: SparkSession, sf: str) -> DataFrame:
     SELECT v.patch_id, v.problem IS NULL AND f.patch_id IS NULL AS applies
     FROM verdicts v LEFT JOIN failing f ON f.patch_id = v.patch_id""")
 def patch_applicability(spark: SparkSession, sf: str) -> DataFrame:
-    fits = patches.patches_applying(view(spark, sf, "patches"), view(spark, sf, "before"))
+    fits = patches.patches_applying(view(spark, sf, "patches", ("documents",)), view(spark, sf, "before"))
     return fits.select("patch_id", "applies")
 
 
@@ -138,7 +138,7 @@ def patch_applicability(spark: SparkSession, sf: str) -> DataFrame:
     FROM {{results}} r JOIN verdicts v ON v.patch_id = r.patch_id""")
 def assembled_predictions(spark: SparkSession, sf: str) -> DataFrame:
     output = F.struct("success", F.lit("").alias("stdout"), "stderr", F.lit(0).alias("returncode"))
-    raw = view(spark, sf, "results").withColumn(
+    raw = view(spark, sf, "results", ("documents",)).withColumn(
         "claude_output", F.when(F.col("success").isNotNull(), output)
     )
     return predictions(raw, F.col("backend"), F.col("alias"))

@@ -30,7 +30,7 @@ def _shown(files: DataFrame) -> DataFrame:
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions as the JSON lines of their files, some lines broken off."""
-    rows = view(spark, sf, "file_lines").withColumn(
+    rows = view(spark, sf, "file_lines", ("lineitem",)).withColumn(
         "instance_id", F.concat(F.lit("task__task-"), F.col("l_partkey").cast("string"))
     )
     whole = object_line("instance_id")

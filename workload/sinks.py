@@ -23,7 +23,7 @@ _RUN = """
 
 def _log_lines(spark: SparkSession, sf: str) -> DataFrame:
     """The runs as log lines, some of them damaged in the ways a log can be."""
-    runs = view(spark, sf, "runs").withColumn("seq", F.col("seq"))
+    runs = view(spark, sf, "runs", ("orders",))
     lines = writers.run_lines(runs.withColumn("_status", F.col("evaluation_status")))
     kind, line = F.col("_status"), F.col("line")
     damaged = (
