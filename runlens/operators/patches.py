@@ -45,13 +45,15 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
 def change_set(before: DataFrame, after: DataFrame) -> DataFrame:
     """Changed files with the numbers of lines added and removed.
 
-    Lines are compared as a multiset per file: equal lines are counted together
-    before the shuffle, so a line that repeats very often stays one row.
+    Lines are compared with their ends, as a multiset per file: equal lines are
+    counted together before the shuffle, so a line that repeats very often stays one row.
     """
     changed = changed_files(before, after)
-    side = lambda text, sign: F.transform(
-        lines_of(text), lambda line: F.struct(line.alias("line"), F.lit(sign).alias("sign"))
-    )
+
+    def side(text: str, sign: int) -> Column:
+        lines = F.filter(F.split(text, r"(?<=\n)"), lambda line: line != "")
+        return F.transform(lines, lambda line: F.struct(line.alias("line"), F.lit(sign).alias("sign")))
+
     lines = changed.select(
         *_KEY, "change", F.explode(F.concat(side("before", -1), side("after", 1))).alias("_line")
     )

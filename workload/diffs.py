@@ -19,10 +19,11 @@ from workload.catalog import query
       FROM {before} b FULL JOIN {after} a ON a.snapshot_id = b.snapshot_id AND a.path = b.path),
     changed AS (SELECT * FROM both_sides WHERE old <> new),
     sides AS (
-      SELECT snapshot_id, path, change, -1 AS sign, regexp_replace(old, '\\n\\z', '') AS text FROM changed WHERE old <> ''
+      SELECT snapshot_id, path, change, -1 AS sign, old AS text FROM changed
       UNION ALL
-      SELECT snapshot_id, path, change, 1, regexp_replace(new, '\\n\\z', '') FROM changed WHERE new <> ''),
-    lines AS (SELECT snapshot_id, path, change, sign, unnest(string_split(text, chr(10))) AS line FROM sides),
+      SELECT snapshot_id, path, change, 1, new FROM changed),
+    lines AS (
+      SELECT snapshot_id, path, change, sign, unnest(regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+')) AS line FROM sides),
     net AS (SELECT snapshot_id, path, change, line, sum(sign) AS n FROM lines GROUP BY ALL)
     SELECT snapshot_id, path, change, cast(sum(greatest(n, 0)) AS bigint) AS lines_added,
            cast(sum(greatest(-n, 0)) AS bigint) AS lines_removed
