@@ -155,12 +155,13 @@ def response_changes(text: Column) -> Column:
     return F.concat(diffs, mentions)
 
 
-def result_score(text: Column, predictions: Column, with_resolved_line: bool = True) -> Column:
-    """Score stated in harness output: struct(resolved, total, percent), null if none is.
+def result_score(text: Column, with_resolved_line: bool = True) -> Column:
+    """Score stated in harness output: struct(resolved, total, percent, no_total), null if none is.
 
     The patterns are tried in order over the whole text, so an early pattern wins
     over one that matches further left. ``with_resolved_line`` adds the pattern
-    known only when a run is scored right after it was generated.
+    known only when a run is scored right after it was generated; it states no total,
+    which is then the number of predictions.
     """
     found = lambda pattern, i: F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
     number = lambda pattern, i: found(pattern, i).try_cast("bigint")
@@ -169,13 +170,17 @@ def result_score(text: Column, predictions: Column, with_resolved_line: bool = T
     def outcome(pattern: str, resolved: Column, total: Column, percent: Column) -> Column:
         return F.when(
             text.rlike(pattern),
-            F.struct(resolved.alias("resolved"), total.alias("total"), percent.alias("percent")),
+            F.struct(
+                resolved.alias("resolved"),
+                total.alias("total"),
+                percent.alias("percent"),
+                F.lit(pattern == INSTANCES_RESOLVED).alias("no_total"),
+            ),
         )
 
     cases = []
     if with_resolved_line:
-        first = number(INSTANCES_RESOLVED, 1)
-        cases.append(outcome(INSTANCES_RESOLVED, first, predictions.cast("bigint"), no_percent))
+        cases.append(outcome(INSTANCES_RESOLVED, number(INSTANCES_RESOLVED, 1), no_number, no_percent))
     for pattern in RESOLVED_OF_TOTAL:
         cases.append(outcome(pattern, number(pattern, 1), number(pattern, 2), no_percent))
     rate = found(SUCCESS_RATE, 1).try_cast("double")

@@ -24,40 +24,52 @@ def extracted_changes(responses: DataFrame, text: str = "text") -> DataFrame:
     ).select(*kept, "ordinal", "_change.*")
 
 
-def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Files whose content differs between two snapshots (snapshot_id, path, content).
+def changed_paths(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Paths whose content differs between two snapshots (snapshot_id, path, content).
 
-    A file missing on one side counts as empty, so an empty file equals none.
+    A file missing on one side counts as empty, so an empty file equals none. Only
+    digests of the contents are joined, not the contents.
     """
-    old = before.select(*_KEY, F.col("content").alias("_old"))
-    new = after.select(*_KEY, F.col("content").alias("_new"))
-    joined = old.join(new, list(_KEY), "full")
+    digest = F.sha2("content", 256)
+    old = before.select(*_KEY, digest.alias("_old"))
+    new = after.select(*_KEY, digest.alias("_new"))
+    of_nothing = F.sha2(F.lit(""), 256)
+    differs = F.coalesce("_old", of_nothing) != F.coalesce("_new", of_nothing)
     kind = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed")
-    text = lambda name: F.coalesce(F.col(name), F.lit(""))
-    return joined.where(text("_old") != text("_new")).select(
-        *_KEY,
-        kind.otherwise("modified").alias("change"),
-        text("_old").alias("before"),
-        text("_new").alias("after"),
+    return (
+        old.join(new, list(_KEY), "full")
+        .where(differs)
+        .select(*_KEY, kind.otherwise("modified").alias("change"))
+    )
+
+
+def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Changed paths with both contents, empty where a file is missing."""
+    text = lambda frame, name: frame.select(*_KEY, F.col("content").alias(name))
+    joined = (
+        changed_paths(before, after)
+        .join(text(before, "before"), list(_KEY), "left")
+        .join(text(after, "after"), list(_KEY), "left")
     )
+    return joined.na.fill("", ["before", "after"])
 
 
 def change_set(before: DataFrame, after: DataFrame) -> DataFrame:
     """Changed files with the numbers of lines added and removed.
 
-    Lines are compared with their ends, as a multiset per file: equal lines are
-    counted together before the shuffle, so a line that repeats very often stays one row.
+    Lines are compared with their ends, as a multiset per file. Contents stay where
+    they are read: each side's lines are counted by themselves, combined before the
+    shuffle, and only for files that did change.
     """
-    changed = changed_files(before, after)
+    lines = F.filter(F.split("content", r"(?<=\n)"), lambda line: line != "")
 
-    def side(text: str, sign: int) -> Column:
-        lines = F.filter(F.split(text, r"(?<=\n)"), lambda line: line != "")
-        return F.transform(lines, lambda line: F.struct(line.alias("line"), F.lit(sign).alias("sign")))
+    def side(frame: DataFrame, sign: int) -> DataFrame:
+        return frame.select(*_KEY, "content", F.lit(sign).alias("_sign"))
 
-    lines = changed.select(
-        *_KEY, "change", F.explode(F.concat(side("before", -1), side("after", 1))).alias("_line")
-    )
-    net = lines.groupBy(*_KEY, "change", "_line.line").agg(F.sum("_line.sign").alias("_net"))
+    changed = changed_paths(before, after)
+    both = side(before, -1).unionByName(side(after, 1)).join(changed, list(_KEY))
+    exploded = both.select(*_KEY, "change", "_sign", F.explode(lines).alias("_line"))
+    net = exploded.groupBy(*_KEY, "change", "_line").agg(F.sum("_sign").alias("_net"))
     plus = F.when(F.col("_net") > 0, F.col("_net")).otherwise(0)
     minus = F.when(F.col("_net") < 0, -F.col("_net")).otherwise(0)
     return net.groupBy(*_KEY, "change").agg(

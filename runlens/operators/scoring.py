@@ -83,28 +83,20 @@ def evaluation_scores(
     score, or for a bare percentage found when a past file is evaluated.
     ``after_run`` selects the rules of scoring right after a run.
     """
-    joined = runs.join(
-        reports.select(on, "resolved_instances", "total_instances", F.lit(True).alias("_has_report")),
-        on,
-        "left",
-    ).join(texts.select(on, "output"), on, "left")
-    stated = F.coalesce(F.nullif("total_instances", F.lit(0)), F.col("predictions"))
-    from_report = F.col("resolved_instances").isNotNull() & stated.isNotNull()
-    parsed = joined.withColumn(
-        "_text",
-        F.when(
-            ~F.coalesce(from_report & F.col("_has_report"), F.lit(False)),
-            result_score(F.col("output"), F.col("predictions"), with_resolved_line=after_run),
-        ),
-    )
-    use_report = F.coalesce(from_report & F.col("_has_report"), F.lit(False))
+    # Output texts are long: only what they state goes through the join.
+    stated = texts.select(on, result_score(F.col("output"), with_resolved_line=after_run).alias("_text"))
+    reported = reports.select(on, "resolved_instances", "total_instances")
+    parsed = runs.join(reported, on, "left").join(stated, on, "left")
+    report_total = F.coalesce(F.nullif("total_instances", F.lit(0)), F.col("predictions"))
+    use_report = F.col("resolved_instances").isNotNull() & report_total.isNotNull()
+    text_total = F.when(F.col("_text.no_total"), F.col("predictions")).otherwise(F.col("_text.total"))
     resolved = F.when(use_report, F.col("resolved_instances")).otherwise(F.col("_text.resolved"))
-    total = F.when(use_report, stated).otherwise(F.col("_text.total"))
+    total = F.when(use_report, report_total).otherwise(text_total)
+    percentage = F.when(~use_report, F.col("_text.percent"))
     scored = parsed.withColumns({"resolved": resolved.cast("bigint"), "total": total.cast("bigint")})
-    score = F.coalesce(percent(F.col("resolved"), F.col("total")), F.col("_text.percent"))
-    bare_percentage = F.col("_text.percent").isNotNull()
+    score = F.coalesce(percent(F.col("resolved"), F.col("total")), percentage)
     scored = scored.withColumn("score", score)
-    logged = F.col("score").isNotNull() & (F.lit(after_run) | ~bare_percentage)
+    logged = F.col("score").isNotNull() & (F.lit(after_run) | percentage.isNull())
     return scored.select(*runs.columns, "resolved", "total", "score", logged.alias("update_log"))
 
 

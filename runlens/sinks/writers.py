@@ -5,7 +5,6 @@ from __future__ import annotations
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from runlens import schemas
 from runlens.functions.jsonl import object_line
@@ -37,17 +36,16 @@ def append_runs(runs: DataFrame, path: str, batch: str | None = None) -> str:
     return target
 
 
-def append_predictions(predictions: DataFrame, path: str, file: str = "prediction_file", salts: int = 16) -> None:
+def append_predictions(predictions: DataFrame, path: str, file: str = "prediction_file") -> None:
     """Append predictions, one folder ``<file>=<name>`` per prediction file.
 
-    Rows are spread by file and salt before writing, so no file passes through a
-    single task and no task holds many files open.
+    Rows are gathered by file before writing, so that no task has many files open.
+    The hint lets adaptive execution split a very large file over several tasks.
     """
-    salt = F.pmod(F.xxhash64("instance_id"), F.lit(salts))
     names = [f.name for f in schemas.PREDICTION.fields if f.name in predictions.columns]
     (
         predictions.select(file, *names)
-        .repartition(F.col(file), salt)
+        .hint("rebalance", file)
         .write.mode("append")
         .option("ignoreNullFields", "false")
         .partitionBy(file)
@@ -56,10 +54,11 @@ def append_predictions(predictions: DataFrame, path: str, file: str = "predictio
 
 
 def write_submissions(submissions: DataFrame, path: str, run: str = "run_id") -> None:
-    """Submission rows as JSON lines, one folder per run."""
+    """Submission rows as JSON lines, one folder per run; large runs are split over tasks."""
     names = [f.name for f in schemas.SUBMISSION.fields]
     (
         submissions.select(run, *names)
+        .hint("rebalance", run)
         .write.mode("append")
         .option("ignoreNullFields", "false")
         .partitionBy(run)

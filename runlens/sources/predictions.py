@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runlens import schemas
 from runlens.functions.jsonl import as_text, only_objects, parse_objects, typed
 from runlens.functions.text import RUN_NAME_PATTERN, name_timestamp
-from runlens.sources.logs import read_lines
+from runlens.sources.logs import read_documents, read_lines
 
 # A prediction file is a plain file, or a folder of part files written by Spark,
 # which may be a partition folder ``column=<name>``.
@@ -42,6 +42,19 @@ def read_predictions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_predictions(read_prediction_lines(spark, path))
 
 
+def parse_prediction_arrays(documents: DataFrame) -> DataFrame:
+    """Predictions from whole files that hold one JSON array each, with their position."""
+    rows = F.from_json("text", f"array<{as_text(schemas.PREDICTION)}>")
+    kept = [c for c in documents.columns if c != "text"]
+    return documents.select(*kept, F.posexplode(rows).alias("ordinal", "_prediction")).select(
+        *kept, "ordinal", *typed("_prediction", schemas.PREDICTION)
+    )
+
+
+def read_prediction_arrays(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return parse_prediction_arrays(read_documents(spark, path))
+
+
 def listed_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Path and name of every prediction file, empty ones included.
 

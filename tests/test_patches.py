@@ -119,3 +119,12 @@ def test_snapshot_line_counts_against_brute_force(spark, seed):
             expected[path] = ((lines(new) - lines(old)).total(), (lines(old) - lines(new)).total())
     found = {r.path: (r.lines_added, r.lines_removed) for r in patches.change_set(frame(before), frame(after)).collect()}
     assert found == expected
+
+
+def test_changed_files_carry_both_contents(spark):
+    frame = lambda files: spark.createDataFrame([("s", p, c) for p, c in files.items()],
+                                                "snapshot_id string, path string, content string")
+    rows = patches.changed_files(frame({"a": "1", "b": "2", "c": ""}), frame({"b": "3", "d": "4"})).collect()
+    assert {r.path: (r.change, r.before, r.after) for r in rows} == {
+        "a": ("removed", "1", ""), "b": ("modified", "2", "3"), "d": ("added", "", "4"),
+    }

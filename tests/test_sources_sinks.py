@@ -193,7 +193,7 @@ def test_stream_gives_the_scores_of_a_batch(spark, tmp_path):
     schema = "prediction_file string, instance_id string, prediction string"
 
     def append(rows):
-        writers.append_predictions(spark.createDataFrame(rows, schema), source, salts=2)
+        writers.append_predictions(spark.createDataFrame(rows, schema), source)
 
     def run():
         stream = generation.prediction_stream(spark, source, files_per_batch=2)
@@ -213,3 +213,13 @@ def test_stream_gives_the_scores_of_a_batch(spark, tmp_path):
 
 def test_scratch_lies_in_the_shared_folder(spark):
     assert scratch_path(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def test_prediction_arrays(spark, tmp_path):
+    rows = [{"instance_id": "a", "model": "m", "prediction": "p\nq"}, {"instance_id": "b", "prediction": "", "error": "e"}]
+    (tmp_path / "predictions_20250902_163415.json").write_text(json.dumps(rows, indent=2))
+    found = predictions.read_prediction_arrays(spark, str(tmp_path)).orderBy("ordinal").collect()
+    assert [(r.name, r.instance_id, r.model, r.prediction, r.error) for r in found] == [
+        ("predictions_20250902_163415.json", "a", "m", "p\nq", None),
+        ("predictions_20250902_163415.json", "b", None, "", "e"),
+    ]

@@ -110,8 +110,8 @@ def prediction_append(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_returnflag").alias("prediction"),
     )
     blank = F.col("prediction") == "N"
-    writers.append_predictions(rows.where(blank), path, salts=2)
-    writers.append_predictions(rows.where(~blank), path, salts=2)
+    writers.append_predictions(rows.where(blank), path)
+    writers.append_predictions(rows.where(~blank), path)
     catalog = predictions.read_file_catalog(spark, path)
     return catalog.select("name", F.col("ts").cast("string").alias("ts"), "instances")
 
@@ -168,6 +168,20 @@ def raw_result_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query("""
+    SELECT instance_id, cast(0 AS int) AS ordinal, repo AS model, problem_statement AS prediction, NULL AS error
+    FROM {instances}
+    UNION ALL
+    SELECT instance_id, 1, NULL, '', hints_text FROM {instances}""")
+def prediction_array_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold an array of two predictions each."""
+    rows = view(spark, sf, "instances", ("documents",))
+    full = F.struct("instance_id", F.col("repo").alias("model"), F.col("problem_statement").alias("prediction"))
+    failed = F.struct("instance_id", F.lit("").alias("prediction"), F.col("hints_text").alias("error"))
+    text = F.concat(F.lit("[\n"), F.to_json(full), F.lit(",\n"), F.to_json(failed), F.lit("\n]"))
+    return predictions.parse_prediction_arrays(rows.select(text.alias("text")))
+
+
 @query("""
     SELECT concat('eval_', cast(run_id AS string)) AS run_id, 'gpt-4.1' AS model,
            CASE WHEN has_report THEN resolved_instances END AS resolved_instances,
