@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 # --- fixed values -----------------------------------------------------------
 # Log and file-name formats, labels, patterns and bands that results must match.
 RUN_NAME_PATTERN = r"predictions_(\d{8})_(\d{6})\.jsonl"
-RUN_NAME_FORMAT = "yyyyMMdd_HHmmss"
 COMPLETED = "completed"
 STATUS_LABELS = {
     "completed": "Evaluated",
@@ -79,12 +78,11 @@ def base_name(path: Column) -> Column:
 
 def name_timestamp(name: Column) -> Column:
     """Time stamp in a prediction file's name; null if there is none or it is no date."""
-    stamp = F.concat(
-        F.regexp_extract(name, RUN_NAME_PATTERN, 1),
-        F.lit("_"),
-        F.regexp_extract(name, RUN_NAME_PATTERN, 2),
-    )
-    return F.try_to_timestamp(stamp, F.lit(RUN_NAME_FORMAT)).cast("timestamp_ntz")
+    digits = F.concat(*[F.regexp_extract(name, RUN_NAME_PATTERN, i) for i in (1, 2)])
+    # Parsed without a time zone, in which some times of day may not exist.
+    return F.regexp_replace(
+        digits, "^(....)(..)(..)(..)(..)(..)$", "$1-$2-$3 $4:$5:$6"
+    ).try_cast("timestamp_ntz")
 
 
 def glob_regex(pattern: str) -> str:

@@ -128,7 +128,8 @@ def numbered(files: DataFrame) -> DataFrame:
     each minute its first number, and only files of one minute are sorted together.
     Names carry whole seconds, so a minute holds at most 60 files per folder.
     """
-    day, minute = F.to_date("ts"), F.date_trunc("minute", "ts")
+    shown = F.col("ts").cast("string")
+    day, minute = F.substring(shown, 1, len("2025-01-31")), F.substring(shown, 1, len("2025-01-31 23:59"))
     dated = files.withColumns({"_day": day, "_minute": minute})
     per_minute = dated.groupBy("_day", "_minute").agg(F.count(F.lit(1)).alias("_n"))
     per_day = per_minute.groupBy("_day").agg(F.sum("_n").alias("_n"))

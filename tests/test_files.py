@@ -262,3 +262,19 @@ def test_run_outcomes(spark):
     assert (found["no file"].generation_score, found["no file"].notes) == (0.0, "Failed to generate predictions. note")
     assert (found["ok"].generation_score, found["ok"].num_instances) == (50.0, 2)
     assert status.log_records(finished_runs(runs, predictions, reports, texts)).columns[0] == "timestamp"
+
+
+def test_names_and_numbers_do_not_depend_on_the_time_zone(spark):
+    """Half past two did not exist in New York on that day, and half past one was there twice."""
+    names = [f"predictions_{t}.jsonl" for t in ("20250309_023000", "20250309_033000", "20251102_013000", "20251102_003000")]
+    frame = spark.createDataFrame([(n, n) for n in names], "path string, name string")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = selection.numbered(frame.withColumn("ts", name_timestamp(F.col("name")))).collect()
+        assert {r.name[12:27]: (r.ordinal, str(r.ts)) for r in rows} == {
+            "20251102_013000": (1, "2025-11-02 01:30:00"), "20251102_003000": (2, "2025-11-02 00:30:00"),
+            "20250309_033000": (3, "2025-03-09 03:30:00"), "20250309_023000": (4, "2025-03-09 02:30:00"),
+        }
+        assert selection.files_on(frame.withColumn("ts", name_timestamp(F.col("name"))), "2025-03-09").count() == 2
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
