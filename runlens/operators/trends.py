@@ -57,11 +57,34 @@ def recent_evaluations(
     )
 
 
-def _with_split(rows: DataFrame, split: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The rows of each group's split bucket; a missing group key is a key like any other."""
-    renamed = split.withColumnsRenamed({key: f"_s_{key}" for key in keys})
-    same = [F.col(key).eqNullSafe(F.col(f"_s_{key}")) for key in keys]
-    return rows.join(renamed, reduce(and_, same)).drop(*[f"_s_{key}" for key in keys])
+_CARRIED = ("_runs", "_all", "_needed", "_first")
+
+
+def _narrowed(sums: DataFrame, by: Sequence[str], keys: Sequence[str], bucket: str) -> DataFrame:
+    """Per group, the bucket that the last run of the earlier half falls into.
+
+    ``sums`` has rows ``_n`` and scores ``_score`` per bucket. ``_needed`` becomes the
+    number of runs needed from that bucket, ``_first`` includes all buckets before it.
+    """
+    before = Window.partitionBy(*by).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = lambda column: F.coalesce(F.sum(column).over(before), F.lit(0))
+    placed = sums.withColumns({"_n_before": earlier("_n"), "_score_before": earlier("_score")})
+    left = F.col("_needed") - F.col("_n_before")
+    return placed.where((left > 0) & (left <= F.col("_n"))).select(
+        *keys,
+        bucket,
+        "_runs",
+        "_all",
+        left.alias("_needed"),
+        (F.col("_first") + F.col("_score_before")).alias("_first"),
+    )
+
+
+def _within(rows: DataFrame, split: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of each group's bucket; a missing group key is a key like any other."""
+    renamed = split.withColumnsRenamed({key: f"_s{key}" for key in keys})
+    same = [F.col(key).eqNullSafe(F.col(f"_s{key}")) for key in keys]
+    return rows.join(renamed, reduce(and_, same)).drop(*[f"_s{key}" for key in keys])
 
 
 def score_trend(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -70,11 +93,11 @@ def score_trend(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     The earlier half holds floor(n/2) runs; runs of equal time keep log order. Fewer
     than three runs give no trend; groups with fewer than two are left out.
 
-    No group is ever sorted in one task. The split point is narrowed down from the
-    day to the second to a chunk of log positions: each step sums the rows per
-    bucket, which combines before the shuffle, and only rows of the one bucket that
-    holds the split go on to the next step. The last step sorts single rows, at most
-    2**20 per group, because a chunk holds no more log positions.
+    No group is ever sorted in one task. Runs are summed up per second and chunk of
+    log positions, which combines before the shuffle. Over these sums, the end of the
+    earlier half is narrowed down from the day to the second to the chunk; each step
+    sees one group's days, seconds of a day, or chunks of a second. Only the runs of
+    that last chunk, at most 2**20 per group, are looked at one by one.
     """
     by = list(by)
     done = _completed(runs, by)
@@ -84,51 +107,44 @@ def score_trend(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         F.col("at").alias("_second"),
         seq_chunk(F.col("seq"), done.schema["seq"].dataType).alias("_chunk"),
         F.col("seq").alias("_row"),
-        "score",
+        F.lit(1).alias("_n"),
+        F.col("score").alias("_score"),
     )
+    total = [F.sum("_n").alias("_n"), F.sum("_score").alias("_score")]
+    sums = rows.groupBy(*by, "_day", "_second", "_chunk").agg(*total)
+
     group = Window.partitionBy(*by)
-    keys, parts, split = list(by), [], None
-    for bucket in ("_day", "_second", "_chunk", "_row"):
-        left = rows if split is None else _with_split(rows, split, keys)
-        sums = left.groupBy(*keys, bucket).agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.sum("score").alias("_score"),
-            *([] if split is None else [F.first("_needed").alias("_needed")]),
-        )
-        upto = group.orderBy(bucket).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        placed = sums.withColumns(
-            {"_upto": F.sum("_n").over(upto), "_total": F.sum("_n").over(group)}
-        )
-        if split is None:
-            placed = placed.withColumn("_needed", F.floor(F.col("_total") / 2).cast("bigint"))
-        # Whole buckets before the split belong to the earlier half.
-        early = F.sum(F.when(F.col("_upto") <= F.col("_needed"), F.col("_score")))
-        totals = [F.first("_total").alias("runs"), F.sum("_score").alias("_all")]
-        parts.append(placed.groupBy(*by).agg(early.alias("_first"), *(totals if split is None else [])))
-        before = F.col("_upto") - F.col("_n")
-        keys.append(bucket)
-        split = placed.where((before < F.col("_needed")) & (F.col("_needed") < F.col("_upto"))).select(
-            *keys, (F.col("_needed") - before).alias("_needed")
-        )
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part, allowMissingColumns=True)
-    summed = merged.groupBy(*by).agg(
-        F.max("runs").alias("runs"),
-        F.coalesce(F.sum("_first"), F.lit(0.0)).alias("_first"),
-        F.max("_all").alias("_all"),
+    days = sums.groupBy(*by, "_day").agg(*total).withColumns(
+        {"_runs": F.sum("_n").over(group), "_all": F.sum("_score").over(group), "_first": F.lit(0.0)}
     )
+    days = days.withColumn("_needed", F.floor(F.col("_runs") / 2))
+    keys = [*by, "_day"]
+    split = _narrowed(days, by, by, "_day")
+    seconds = _within(sums, split, keys).groupBy(*keys, "_second", *_CARRIED).agg(*total)
+    split = _narrowed(seconds, by, keys, "_second")
+    keys.append("_second")
+    split = _narrowed(_within(sums, split, keys), by, keys, "_chunk")
+    keys.append("_chunk")
+    place = F.row_number().over(group.orderBy("_row"))
+    last = _within(rows, split, keys).withColumn("_place", place)
+
     n, half = F.col("runs"), F.floor(F.col("runs") / 2)
+    halves = last.where(F.col("_place") <= F.col("_needed")).groupBy(*by).agg(
+        F.first("_runs").alias("runs"),
+        F.first("_all").alias("_all"),
+        (F.first("_first") + F.sum("_score")).alias("_first"),
+    )
     enough = n >= MIN_RUNS_FOR_TREND
-    halves = summed.where(n >= MIN_RUNS_FOR_HISTORY).select(
+    averages = halves.where(n >= MIN_RUNS_FOR_HISTORY).select(
         *by,
         "runs",
         F.when(enough, F.col("_first") / half).alias("first_avg"),
         F.when(enough, (F.col("_all") - F.col("_first")) / (n - half)).alias("second_avg"),
     )
-    trend = F.col("second_avg") - F.col("first_avg")
+    # What is left beyond nine digits comes from adding doubles in another order.
+    trend = F.round(F.col("second_avg") - F.col("first_avg"), 9)
     direction = F.when(F.col("trend") > 0, "improving").when(F.col("trend") < 0, "declining")
-    return halves.withColumn("trend", trend).withColumn(
+    return averages.withColumn("trend", trend).withColumn(
         "direction", direction.when(F.col("trend") == 0, "stable")
     )
 

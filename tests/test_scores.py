@@ -207,3 +207,9 @@ def test_run_sizes():
     assert selection.run_size(7, "quick") == 7
     assert [selection.run_size(preset=p) for p in ("quick", "standard", "full", None)] == [10, 50, 300, 300]
     assert selection.run_size(0, "quick") == 10
+
+
+def test_equal_scores_are_stable_however_they_add_up(runs_of):
+    for count in (3, 7, 10):
+        runs = runs_of(*[done(100 / 3, timestamp=f"2025-01-{i % 4 + 1:02d} 00:00:00") for i in range(count)])
+        assert only(trends.score_trend(runs)).direction == "stable"
