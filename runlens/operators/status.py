@@ -21,26 +21,28 @@ TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 # ----------------------------------------------------------------------------
 
 
-def _logged_name(runs: DataFrame) -> Column:
+def _logged_name() -> Column:
     return base_name(F.col("prediction_file"))
 
 
-def evaluation_status(files: DataFrame, runs: DataFrame) -> DataFrame:
-    """Add each file's status from its first log line; ``unknown`` without one."""
-    first = runs.groupBy(_logged_name(runs).alias("name")).agg(
+def _first_status(runs: DataFrame) -> DataFrame:
+    """Status on the first log line of each file name."""
+    return runs.groupBy(_logged_name().alias("name")).agg(
         F.min_by("evaluation_status", "seq").alias("status")
     )
-    return files.join(first, "name", "left").withColumn(
+
+
+def evaluation_status(files: DataFrame, runs: DataFrame) -> DataFrame:
+    """Add each file's status from its first log line; ``unknown`` without one."""
+    return files.join(_first_status(runs), "name", "left").withColumn(
         "status", F.coalesce("status", F.lit("unknown"))
     )
 
 
 def unevaluated_files(files: DataFrame, runs: DataFrame) -> DataFrame:
     """Files whose first log line is not ``completed``, unlogged files included."""
-    first = runs.groupBy(_logged_name(runs).alias("name")).agg(
-        F.min_by("evaluation_status", "seq").alias("status")
-    )
-    return files.join(first.where(is_completed(F.col("status"))).select("name"), "name", "left_anti")
+    completed = _first_status(runs).where(is_completed(F.col("status")))
+    return files.join(completed.select("name"), "name", "left_anti")
 
 
 def latest_updates(updates: DataFrame) -> DataFrame:
@@ -51,31 +53,25 @@ def latest_updates(updates: DataFrame) -> DataFrame:
     return updates.groupBy("name").agg(newest.alias("_update"))
 
 
-def apply_updates(runs: DataFrame, updates: DataFrame) -> DataFrame:
-    """Set score, time, status and evaluation time on every run of an updated file."""
-    named = runs.withColumn("name", _logged_name(runs))
-    joined = salted_lookup(named, latest_updates(updates), ["name"], spread="seq")
-    hit = F.col("_update").isNotNull()
-    changed = {
+def _updated_fields() -> dict[str, Column]:
+    """Log fields that an update sets, from its row."""
+    return {
         "evaluation_score": F.col("_update.score"),
         "evaluation_time": F.col("_update.seconds"),
         "evaluation_status": F.lit(COMPLETED),
         "evaluation_timestamp": F.col("_update.evaluated_at"),
     }
-    columns = dict.fromkeys(runs.columns) | dict.fromkeys(changed)
-    present = set(runs.columns)
-    return joined.select(
-        *[
-            (
-                F.when(hit, changed[name])
-                .otherwise(F.col(name) if name in present else F.lit(None))
-                .alias(name)
-                if name in changed
-                else F.col(name)
-            )
-            for name in columns
-        ]
-    )
+
+
+def apply_updates(runs: DataFrame, updates: DataFrame) -> DataFrame:
+    """Set score, time, status and evaluation time on every run of an updated file."""
+    named = runs.withColumn("name", _logged_name())
+    joined = salted_lookup(named, latest_updates(updates), ["name"], spread="seq")
+    hit, new = F.col("_update").isNotNull(), _updated_fields()
+    old = lambda name: F.col(name) if name in runs.columns else F.lit(None)
+    merged = {name: F.when(hit, value).otherwise(old(name)) for name, value in new.items()}
+    columns = list(dict.fromkeys([*runs.columns, *new]))
+    return joined.select(*[merged.get(name, F.col(name)).alias(name) for name in columns])
 
 
 def update_log_lines(lines: DataFrame, updates: DataFrame) -> DataFrame:
@@ -88,12 +84,7 @@ def update_log_lines(lines: DataFrame, updates: DataFrame) -> DataFrame:
     file = F.col("_entry")["prediction_file"].try_cast("string")
     named = parsed.withColumn("name", base_name(file))
     joined = salted_lookup(named, latest_updates(updates), ["name"], spread="seq")
-    new = {
-        "evaluation_score": F.col("_update.score"),
-        "evaluation_time": F.col("_update.seconds"),
-        "evaluation_status": F.lit(COMPLETED),
-        "evaluation_timestamp": F.col("_update.evaluated_at"),
-    }
+    new = _updated_fields()
     pairs = [part for key, value in new.items() for part in (F.lit(key), value.cast("variant"))]
     others = F.map_filter("_entry", lambda key, _: ~key.isin(*new))
     rewritten = F.to_json(F.map_concat(others, F.create_map(*pairs)))
