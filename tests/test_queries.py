@@ -6,9 +6,9 @@ import pytest
 
 import __spark_entry__ as registered
 from tests.compare import connect, differences
+from workload.catalog import CHECKS, QUERIES
 
 SF = "/root/testdata/sf0.001"
-CHECKS = registered.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -16,13 +16,13 @@ def connection():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_gives_what_its_sql_gives(spark, connection, name):
-    assert differences(registered.queries()[name](spark, SF), connection, CHECKS[name]) == []
+    assert differences(QUERIES[name](spark, SF), connection, CHECKS[name]) == []
 
 
 def test_every_query_has_a_check():
-    assert set(CHECKS) == set(registered.queries())
+    assert set(CHECKS) == set(QUERIES)
 
 
 def test_entry_gives_rows(spark):
@@ -33,9 +33,9 @@ def plan_of(frame) -> str:
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_joins_and_no_python_in_plans(spark, name):
-    plan = plan_of(registered.queries()[name](spark, SF))
+    plan = plan_of(QUERIES[name](spark, SF))
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython", "MapInPandas"):
         assert word not in plan
 
@@ -70,19 +70,19 @@ def test_window_keys_are_told_from_the_order():
 FEW_ROWS = {"numbered_files", "files_by_number", "score_trend", "recent_evaluations"}
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_windows_have_a_partition_key(spark, name):
-    plan = plan_of(registered.queries()[name](spark, SF))
+    plan = plan_of(QUERIES[name](spark, SF))
     windows = re.findall(r"(?:^|[ +*)-])(Window \[.*)$", plan, re.M)
     unkeyed = [window for window in windows if not has_keys(window)]
     assert bool(unkeyed) == (name in FEW_ROWS)
 
 
 def test_scans_read_only_the_columns_they_need(spark):
-    plan = plan_of(registered.queries()["score_bands"](spark, SF))
+    plan = plan_of(QUERIES["score_bands"](spark, SF))
     assert "struct<o_orderstatus:string,o_totalprice:double,o_orderpriority:string>" in plan
 
 
 def test_large_groups_are_cut_before_the_shuffle(spark):
-    plan = plan_of(registered.queries()["recent_evaluations_by_model"](spark, SF))
+    plan = plan_of(QUERIES["recent_evaluations_by_model"](spark, SF))
     assert re.search(r"Exchange hashpartitioning\(model.*\n.*WindowGroupLimit.*Partial", plan)
