@@ -22,6 +22,9 @@ SYMBOLS = "#*$%&|<>"
 SAMPLE, SHARE = 500, 0.05
 
 
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
 @dataclass(frozen=True)
 class Rule:
     """``breaks`` is true for documents to reject, over ``text`` and the base measures."""
@@ -80,7 +83,10 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         """aggregate(repeated, named_struct('end', 0, 'n', 0L), (s, i) ->
               named_struct('end', i + 3, 'n', s.n + i + 3 - greatest(i, s.end)), s -> s.n)"""
     )
-    return rows.select("*", covered.alias("n_repeat_words")).drop("repeated")
+    rows = rows.select("*", covered.alias("n_repeat_words")).drop("repeated")
+    # An explode of one struct keeps Spark from copying these expressions into later filters.
+    one = F.explode(F.array(F.struct(*MEASURES, "n_lines"))).alias("m")
+    return rows.select("row", "text", one).select("row", "text", "m.*")
 
 
 def base_failed() -> Column:
@@ -139,8 +145,7 @@ def judged(
     repeated texts get the same verdict; an empty table gives none. Other columns are ignored.
     """
     rows = with_verdicts(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), rules, "text")
-    measures = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return rows.select(F.col("row.doc_id").alias("doc_id"), *measures)
+    return rows.select(F.col("row.doc_id").alias("doc_id"), *MEASURES, "base_failed", "kept")
 
 
 def passing(docs: DataFrame, rules: Sequence[Rule] | None = None, text: str = "text") -> DataFrame:
