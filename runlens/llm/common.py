@@ -86,7 +86,7 @@ def numbered_rows(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 class WordHashes(dict):
     """64-bit hashes of words; the common ones are remembered, up to ``most``."""
 
-    def __init__(self, most: int = 200_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most = most
 

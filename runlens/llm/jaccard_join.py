@@ -27,7 +27,7 @@ WORDS, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.9999, 4
 # A band shared by more nodes than this is compared in blocks.
 PAIRED = 32
 # Blocks have about so many nodes, and about so many n-grams, if that is less nodes.
-BLOCK_NODES, BLOCK_NGRAMS = 1_024, 1_000_000
+BLOCK_NODES, BLOCK_NGRAMS = 512, 500_000
 
 
 def bands_for(similarity: float, recall: float, rows: int = ROWS) -> int:
@@ -176,7 +176,7 @@ def linked(grams: list[np.ndarray], left: np.ndarray, right: np.ndarray, similar
     common = np.zeros((len(left), len(right)), dtype=np.float32)
     to_left, to_right = np.full(len(grams), -1), np.full(len(grams), -1)
     to_left[left], to_right[right] = np.arange(len(left)), np.arange(len(right))
-    step = 4_096
+    step = 2_048
     order = np.argsort(place, kind="stable")
     owner, place = owner[order], place[order]
     edges = np.searchsorted(place, np.arange(0, int(often.sum()) + step, step))

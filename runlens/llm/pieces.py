@@ -16,7 +16,7 @@ from itertools import filterfalse
 
 import numpy as np
 
-REMEMBERED = 600_000  # about 130 MB
+REMEMBERED = 300_000  # about 65 MB
 LONGEST = 64  # characters of a remembered piece
 GROUP = 1_000_000  # characters of texts that are cut at once
 TOGETHER = 50  # pieces in one string, with a special token between them
