@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import id_of, key_of, mixed, word_hashes, written
+from runlens.llm.common import id_of, key_of, mixed, small, word_hashes, written
 
 BUCKETS = 65_536
 BIGRAM = np.uint64(0x9E3779B97F4A7C15)
@@ -125,7 +125,7 @@ def resampled(
     n_good, n_labelled = targets.agg(F.count_if("target"), F.count("*")).first()
     if share is None:
         share = n_good / n_labelled if n_labelled else 1.0
-    rows = texts.join(targets, "doc", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
+    rows = texts.join(small(targets), "doc", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     ratios = log_ratios(bucket_counts(rows, buckets), buckets) if n_good else np.zeros(buckets)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
