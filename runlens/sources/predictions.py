@@ -74,7 +74,8 @@ def file_catalog(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     whose digits are no date keeps a null time stamp. ``files`` (path, name) adds
     files that have no lines.
     """
-    named = F.col("name").rlike(RUN_NAME_PATTERN) & ~F.col("path").contains("_eval.jsonl")
+    whole_name = F.col("name").rlike(r"^predictions_.*\.jsonl$")
+    named = whole_name & F.col("name").rlike(RUN_NAME_PATTERN) & ~F.col("path").contains("_eval.jsonl")
     parsed = parse_objects(lines.where(named), as_text(schemas.PREDICTION), "_prediction")
     counted = parsed.groupBy("path", "name").agg(
         F.count("_prediction").alias("instances"), F.count(F.lit(1)).alias("_lines")

@@ -278,3 +278,11 @@ def test_names_and_numbers_do_not_depend_on_the_time_zone(spark):
         assert selection.files_on(frame.withColumn("ts", name_timestamp(F.col("name"))), "2025-03-09").count() == 2
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_catalog_lists_whole_names_only(spark):
+    from runlens.sources.predictions import file_catalog
+
+    names = ["predictions_20250902_163415.jsonl", "old_predictions_20250902_163415.jsonl"]
+    lines = spark.createDataFrame([(f"p/{n}", n, '{"instance_id":"a"}') for n in names], "path string, name string, line string")
+    assert [r.name for r in file_catalog(lines).collect()] == names[:1]
