@@ -51,9 +51,18 @@ def _next(**fields: str) -> str:
     return f"named_struct('at', s.at + 1, {', '.join(kept)})"
 
 
+def _digits(group: int) -> str:
+    return f"nullif(regexp_extract(x.line, r'{HUNK_HEADER}', {group}), '')"
+
+
 def _number(group: int, default: int) -> str:
-    found = f"try_cast(nullif(regexp_extract(x.line, r'{HUNK_HEADER}', {group}), '') AS int)"
-    return f"coalesce({found}, {default})"
+    return f"coalesce(try_cast({_digits(group)} AS int), {default})"
+
+
+# A number that no text's lines can reach; only an absent count takes its default.
+_TOO_LARGE = " OR ".join(
+    f"({_digits(group)} IS NOT NULL AND try_cast({_digits(group)} AS int) IS NULL)" for group in (1, 2, 3, 4)
+)
 
 
 def _path(prefix: str) -> str:
@@ -80,7 +89,8 @@ CASE
       new_left=_number(4, 1),
       hunks=f"array_append(s.hunks, {_HUNK})",
       problem="coalesce(s.problem,"
-      f" CASE WHEN s.path IS NULL OR {_NAMELESS} THEN 'hunk outside of a file' END)",
+      f" CASE WHEN s.path IS NULL OR {_NAMELESS} THEN 'hunk outside of a file'"
+      f" WHEN {_TOO_LARGE} THEN 'hunk number is too large' END)",
   )}
   WHEN x.kind = 'source' THEN {_next(
       source=_path("a"), path=f"CASE WHEN {_NAMELESS} THEN s.path END"

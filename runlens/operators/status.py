@@ -86,8 +86,14 @@ def update_log_lines(lines: DataFrame, updates: DataFrame) -> DataFrame:
     joined = salted_lookup(named, latest_updates(updates), ["name"], spread="seq")
     new = _updated_fields()
     pairs = [part for key, value in new.items() for part in (F.lit(key), value.cast("variant"))]
-    others = F.map_filter("_entry", lambda key, _: ~key.isin(*new))
-    rewritten = F.to_json(F.map_concat(others, F.create_map(*pairs)))
+    entries = F.map_entries("_entry")
+    later = lambda i: F.slice(entries, i + F.lit(2), F.size(entries))
+    # Of a repeated key the last value counts.
+    others = F.filter(
+        entries,
+        lambda e, i: ~e["key"].isin(*new) & ~F.exists(later(i), lambda other: other["key"] == e["key"]),
+    )
+    rewritten = F.to_json(F.map_concat(F.map_from_entries(others), F.create_map(*pairs)))
     kept = F.when(F.col("_entry").isNull(), strip(F.col("line"))).otherwise(F.col("line"))
     return joined.select(
         "seq", F.when(F.col("_update").isNotNull(), rewritten).otherwise(kept).alias("line")

@@ -9,11 +9,22 @@ from runlens import schemas
 from runlens.functions.jsonl import as_text, not_objects, only_objects, parse_objects, typed
 
 
+def _file_order(path: Column) -> Column:
+    """Sort key of a path in which numbers count by value: ``part-99999`` before ``part-100000``.
+
+    Numbers are padded to 20 digits. Paths that differ in leading zeros only are told
+    apart by their text.
+    """
+    padded = F.regexp_replace(path, r"\d+", "0" * 19 + "$0")
+    return F.concat_ws("\n", F.regexp_replace(padded, r"0{0,19}(\d{20,})", "$1"), path)
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Lines of text files with their position.
 
-    ``seq`` orders lines by file, block and line. A block is read by one task from
-    top to bottom, so the order holds however Spark spreads blocks over tasks.
+    ``seq`` orders lines by file, block and line, files by the numbers in their names.
+    A block is read by one task from top to bottom, so the order holds however Spark
+    spreads blocks over tasks.
     """
     return (
         spark.read.option("recursiveFileLookup", "true")
@@ -22,7 +33,7 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
             F.col("value").alias("line"),
             F.col("_metadata.file_path").alias("path"),
             F.struct(
-                F.col("_metadata.file_path").alias("file"),
+                _file_order(F.col("_metadata.file_path")).alias("file"),
                 F.col("_metadata.file_block_start").alias("block"),
                 F.monotonically_increasing_id().alias("line"),
             ).alias("seq"),
