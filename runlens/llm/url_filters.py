@@ -20,6 +20,8 @@ from runlens.llm.common import components, written
 # Rules become one expression of the plan; a list of this length at most.
 MOST_RULES = 1_000
 
+SCHEME = "[A-Za-z][A-Za-z0-9+.-]*"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -61,35 +63,109 @@ def attribute(tag: Column, name: str) -> Column:
     return F.trim(F.concat(*(F.regexp_extract(tag, quoted, i) for i in (1, 2, 3))))
 
 
-def absolute(link: Column, page: Column) -> Column:
-    """A link as a URL, resolved against its page: absolute, ``//host/…`` or ``/path``."""
-    scheme, site = F.regexp_extract(page, r"^([^:]*):", 1), F.regexp_extract(page, r"(?s)^(.*?://[^/?#]*)", 1)
-    return (
-        F.when(link.contains("://"), link)
-        .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+def plain_text(value: Column) -> Column:
+    """An attribute's value with its character references decoded: numbers and the five names of XML."""
+
+    def decoded(token: Column) -> Column:
+        number = F.coalesce(
+            F.conv(F.nullif(F.regexp_extract(token, r"^&#(\d{1,7});$", 1), F.lit("")), 10, 10),
+            F.conv(F.nullif(F.regexp_extract(token, r"(?i)^&#x([0-9a-f]{1,6});$", 1), F.lit("")), 16, 10),
+        ).cast("long")
+        valid = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number)), 8, "0")), "UTF-32")
+        named = F.lower(token)
+        for name, text in (("amp", "&"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'")):
+            char = F.when(named == f"&{name};", text).otherwise(char)
+        return F.coalesce(char, token)
+
+    # Each reference is decoded once: ``&amp;#47;`` is the text ``&#47;``.
+    tokens = F.regexp_extract_all(value, F.lit(r"(?is)(&(?:#\d{1,7}|#x[0-9a-f]{1,6}|[a-z]+);|&|[^&]+)"), 1)
+    return F.when(value.contains("&"), F.array_join(F.transform(tokens, decoded), "")).otherwise(value)
+
+
+def without_dots(path: Column) -> Column:
+    """A path that starts with ``/``, with the segments ``.`` and ``..`` worked out."""
+    parts = F.split(path, "/")
+    done = F.aggregate(
+        F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))),
+        F.array().cast("array<string>"),
+        lambda kept, part: F.when(part == ".", kept)
+        .when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
+        .otherwise(F.concat(kept, F.array(part))),
+    )
+    ended = F.when(path.rlike(r"/\.\.?$"), F.concat(done, F.array(F.lit("")))).otherwise(done)
+    return F.when(path.rlike(r"/\.\.?(/|$)"), F.concat(F.lit("/"), F.array_join(ended, "/"))).otherwise(path)
+
+
+def absolute(link: Column, base: Column) -> Column:
+    """A link as a URL, resolved against its base as RFC 3986 says, without its fragment.
+
+    Null if the link has a scheme without ``//`` (``mailto:``, ``javascript:``), or has none
+    and the base is no URL with a scheme and ``//``.
+    """
+    link = F.regexp_replace(link, "(?s)#.*$", "")
+    site = F.regexp_extract(base, rf"(?s)^({SCHEME}://[^/?#]*)", 1)
+    path = F.regexp_extract(base, rf"(?s)^{SCHEME}://[^/?#]*([^?#]*)", 1)
+    query = F.regexp_extract(base, rf"(?s)^{SCHEME}://[^/?#]*[^?#]*(\?[^#]*)", 1)
+    folder = F.when(path == "", "/").otherwise(F.regexp_extract(path, "(?s)^(.*/)", 1))
+    full = (
+        F.when(link.rlike(f"^{SCHEME}://"), link)
+        .when(link.rlike(f"^{SCHEME}:") | (site == ""), None)
+        .when(link.startswith("//"), F.concat(F.regexp_extract(base, f"^({SCHEME}:)", 1), link))
         .when(link.startswith("/"), F.concat(site, link))
+        .when(link.startswith("?"), F.concat(site, path, link))
+        .when(link == "", F.concat(site, path, query))
+        .otherwise(F.concat(site, folder, link))
     )
+    parts = [F.regexp_extract(full, rf"(?s)^({SCHEME}://[^/?#]*)([^?#]*)(.*)$", i) for i in (1, 2, 3)]
+    return F.concat(parts[0], without_dots(parts[1]), parts[2])
+
+
+def node_of(url: Column) -> Column:
+    """The name of a URL in groups: no fragment, scheme and host in small letters.
+
+    Spellings with one name have one host and path, so one rule. Text that is no URL
+    with a scheme and ``//`` is its own name.
+    """
+    pattern = rf"(?s)^({SCHEME}://)((?:[^/?#]*@)?)([^/?#]*)([^#]*)"
+    scheme, user, host, rest = (F.regexp_extract(url, pattern, i) for i in (1, 2, 3, 4))
+    small = [F.translate(part, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") for part in (scheme, host)]
+    return F.when(scheme == "", url).otherwise(F.concat(small[0], user, small[1], rest))
 
 
 def edges_of(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """Columns ``a`` and ``b``: URLs joined by a canonical link or an immediate redirect.
+    """Columns ``a`` and ``b``: names of URLs joined by a canonical link or an immediate redirect.
 
-    A page without such a tag costs two searches for fixed words. Links relative to
-    a folder are no edges.
+    A page without such a tag costs two searches for fixed words. Links are resolved against
+    the page's ``base`` tag, if it has one, else against its URL.
     """
     rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).filter(
         F.col("url").isNotNull() & (F.lower("html").contains("canonical") | F.lower("html").contains("http-equiv"))
     )
-    tags = rows.select("url", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)(<(?:link|meta)\s[^>]*>)"), 1)).alias("tag"))
+    tags = rows.select(
+        "url",
+        F.regexp_extract_all("html", F.lit(r"(?is)(<base\s[^>]*>)"), 1).alias("bases"),
+        F.explode(F.regexp_extract_all("html", F.lit(r"(?is)(<(?:link|meta)\s[^>]*>)"), 1)).alias("tag"),
+    )
     tag = F.col("tag")
     canonical = F.when(F.lower(attribute(tag, "rel")) == "canonical", attribute(tag, "href"))
     content = F.when(F.lower(attribute(tag, "http-equiv")) == "refresh", attribute(tag, "content"))
     redirect = F.trim(F.regexp_extract(content, r"(?is)^\s*\d+\s*[;,]\s*url\s*=\s*['\"]?([^'\"]+)", 1))
     # An explode keeps Spark from working out a link anew in each place that uses it.
     link = F.explode(F.array(F.when(tag.rlike("(?is)^<link"), canonical).otherwise(redirect)))
-    found = tags.select("url", link.alias("link")).filter("link <> ''")
-    found = found.select(F.col("url").alias("a"), absolute(F.col("link"), F.col("url")).alias("b"))
-    return found.filter("b IS NOT NULL AND a <> b").distinct()
+    found = tags.select("url", "bases", link.alias("link")).filter("link <> ''")
+    hrefs = F.filter(F.transform("bases", lambda t: attribute(t, "href")), lambda href: href != "")
+    found = found.select("url", "link", F.explode(F.array(F.get(hrefs, F.lit(0)))).alias("base"))
+    base = F.coalesce(absolute(address(F.col("base")), F.col("url")), F.col("url"))
+    found = found.select("url", "link", F.explode(F.array(base)).alias("base"))
+    found = found.select("url", F.explode(F.array(absolute(address(F.col("link")), F.col("base")))).alias("b"))
+    found = found.select(F.explode(F.array(F.struct(node_of(F.col("url")).alias("a"), node_of(F.col("b")).alias("b")))).alias("e"))
+    return found.select("e.a", "e.b").filter("b IS NOT NULL AND a <> b").distinct()
+
+
+def address(value: Column) -> Column:
+    """The URL that an attribute states: references decoded, no line breaks, no blanks around."""
+    return F.trim(F.regexp_replace(plain_text(value), r"[\t\r\n]", ""))
 
 
 def judged(
@@ -102,13 +178,14 @@ def judged(
 ) -> DataFrame:
     """One row per page: host, path, the rule that fits, the verdict, and its group.
 
-    ``redirects`` may add edges (columns ``a``, ``b``) from a crawl's log. URLs without
+    ``redirects`` may add edges (columns ``a``, ``b``, whole URLs) from a crawl's log. URLs that
+    differ in their fragment, or in the case of scheme and host, are one in groups. URLs without
     ``://`` and null URLs have an empty host and path, and no rule. Null ids and repeated
     rows keep their rows; other columns are ignored.
     """
     rows = pages.select(
         F.col(page_id).alias("page_id"),
-        F.col(url).alias("url"),
+        node_of(F.col(url)).alias("node"),
         host_of(F.col(url)).alias("host"),
         path_of(F.col(url)).alias("path"),
     )
@@ -116,14 +193,15 @@ def judged(
     rows = rows.select("*", text.alias("rule"), verdict.alias("own"))
     edges = edges_of(pages, url, html)
     if redirects is not None:
-        edges = edges.unionByName(redirects.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL AND a <> b"))
+        more = redirects.select(node_of(F.col("a")).alias("a"), node_of(F.col("b")).alias("b"))
+        edges = edges.unionByName(more.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b"))
     groups = components(edges, "url-groups")
     own = rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)[1]
     verdicts = groups.groupBy("root").agg(
         F.when(F.max(own.eqNullSafe("allow")), "allow").when(F.max(own.eqNullSafe("block")), "block").alias("passed_on")
     )
-    groups = written(groups.join(verdicts, "root").select(F.col("node").alias("url"), F.col("root").alias("alias_of"), "passed_on"), "url-verdicts")
-    return rows.join(groups, "url", "left").select(
+    groups = written(groups.join(verdicts, "root").select("node", F.col("root").alias("alias_of"), "passed_on"), "url-verdicts")
+    return rows.join(groups, "node", "left").select(
         "page_id",
         "host",
         "path",

@@ -1,0 +1,83 @@
+"""Which pages op 9 takes for aliases: links of all forms against their bases, spellings of one URL."""
+
+from urllib.parse import urldefrag, urljoin
+
+import pytest
+from pyspark.sql import functions as F
+
+from runlens.llm import url_filters
+from runlens.llm.queries import URL_RULES
+
+BASES = ["http://h.com", "http://h.com/", "https://h.com/en/a/b.html?x=1#top", "http://h.com/en/?u=http://a.net/x", "https://u@h.com:80/a/b/"]
+LINKS = """page2.html ./x ../x ../../../x a/./b/../c . .. ./ ../ ?p=1 #top /share?u=http://a.net/x x?u=http://a.net/../y //o.org/z
+    /a/../b http://o.org/a?b /..x/.y a.html?b=/../c#d/../e""".split()
+
+
+def test_links_are_resolved(spark):
+    pairs = [(base, link) for base in BASES for link in LINKS]
+    rows = spark.createDataFrame(pairs, "base string, link string")
+    found = rows.select("base", "link", url_filters.absolute(F.col("link"), F.col("base"))).collect()
+    assert sorted(map(tuple, found)) == sorted((base, link, urldefrag(urljoin(base, link)).url) for base, link in pairs)
+
+
+def test_dots_of_whole_urls_and_empty_segments(spark):
+    cases = {("http://o.org/a/../b/.", "http://h.com/"): "http://o.org/b/", ("../c", "http://h.com/a//b/"): "http://h.com/a//c"}
+    rows = spark.createDataFrame([*cases], "l string, b string")
+    found = rows.select("l", "b", url_filters.absolute(F.col("l"), F.col("b"))).collect()
+    assert {(r.l, r.b): r[2] for r in found} == cases
+
+
+@pytest.mark.parametrize(("base", "link"), [("http://h.com/", "mailto:a@b.net"), ("http://h.com/", 'javascript:go("http://a.net/x")'), ("nonsense", "/x")])
+def test_links_that_are_no_pages(spark, base, link):
+    assert spark.createDataFrame([(base, link)], "b string, l string").select(url_filters.absolute(F.col("l"), F.col("b"))).first()[0] is None
+
+
+def test_character_references(spark):
+    texts = {"?a&amp;b": "?a&b", "&#x2F;x&#61;1": "/x=1", "&amp;#47;": "&#47;", "a&b;&": "a&b;&", "&#233;&#128512;": "é😀", "&#0;&#xD800;": "&#0;&#xD800;"}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert dict(map(tuple, rows.select("t", url_filters.plain_text(F.col("t"))).collect())) == texts
+
+
+def refresh(url):
+    return f'<meta http-equiv="refresh" content="0; url={url}">'
+
+
+def canonical(url, more=""):
+    return f'{more}<link rel="canonical" href="{url}">'
+
+
+# A page whose own URL has no rule, what it links to, and the verdict it has to take.
+CASES = [
+    ("http://r.com/a/start.html", refresh("next.html"), "http://r.com/a/next.html", "block"),
+    ("http://r.com/b/c/start", refresh("./next"), "http://r.com/b/c/next", "block"),
+    ("http://r.com/d/e/start", canonical("../next"), "http://r.com/d/next", "block"),
+    ("http://r.com/f?p=2", canonical("?p=1"), "http://r.com/f?p=1", "block"),
+    ("http://r.com/g", canonical("h#part"), "http://r.com/h#top", "block"),
+    ("http://r.com/i", canonical("HTTP://R.com/j"), "http://r.COM/j", "block"),
+    ("http://r.com/k", canonical("/l?a=1&amp;b=2"), "http://r.com/l?a=1&b=2", "block"),
+    ("http://r.com/m", canonical("n", '<base target="_top"><base href="/o/">'), "http://r.com/o/n", "block"),
+    ("http://r.com/p#top", canonical("q"), "http://r.com/q", "block"),
+    ("http://r.com/share", canonical("/share?u=http://a.net/x"), None, "allow"),
+    ("http://r.com/js", canonical("javascript:go('http://a.net/x')"), None, "allow"),
+]
+
+
+def test_verdicts_pass_along_links_of_all_forms(spark):
+    rows = []
+    for n, (url, html, target, _) in enumerate(CASES):
+        rows.append((n, url, html))
+        if target:  # it names a blocked page as its canonical one
+            rows.append((100 + n, target, canonical(f"http://w{n}.net/1")))
+    rows.append((200, "http://r.com/p", None))  # the page of #top without its fragment
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = url_filters.judged(pages, url_filters.rules_from(URL_RULES)).collect()
+    wanted = {n: verdict for n, (*_, verdict) in enumerate(CASES)} | {100 + n: "block" for n, case in enumerate(CASES) if case[2]}
+    assert {r.page_id: r.verdict for r in found} == {**wanted, 200: "block"}
+    groups = {r.page_id: r.alias_of for r in found}
+    assert groups[8] == groups[108] == groups[200]
+
+
+def test_a_redirect_log_meets_other_spellings(spark):
+    pages = spark.createDataFrame([(1, "http://r.com/a#top", "")], "page_id long, url string, html string")
+    log = spark.createDataFrame([("HTTP://R.com/a", "http://w.net/1#x")], "a string, b string")
+    assert url_filters.judged(pages, url_filters.rules_from(URL_RULES), redirects=log).first().verdict == "block"
