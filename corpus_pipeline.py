@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm import decontamination, jaccard_join, packing, quality_rules, suffix_dedup
-from runlens.llm.common import numbered_rows, small, written
+from runlens.llm.common import numbered_rows, small, spare_name, written
 from runlens.llm.queries import table, tokenizer, with_shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -25,10 +25,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the least id."""
-    rows = numbered_rows(docs)
-    found = jaccard_join.near_duplicates(rows, doc_id="row_key")
-    others = written(found.filter("doc_id <> class_id").select(F.col("doc_id").alias("row_key")), "other-copies")
-    return rows.join(small(others), "row_key", "left_anti").select(*docs.columns)
+    key = spare_name(docs, "row_key")
+    rows = numbered_rows(docs, key=key)
+    found = jaccard_join.near_duplicates(rows, doc_id=key)
+    others = written(found.filter("doc_id <> class_id").select(F.col("doc_id").alias(key)), "other-copies")
+    return rows.join(small(others), key, "left_anti").select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +37,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     A cut never splits a character. ``n_chars``, where there is one, is counted anew.
     """
-    rows = numbered_rows(docs)
-    kept = suffix_dedup.deduplicated(rows, doc_id="row_key", with_kept=True, whole_characters=True)
+    key = spare_name(docs, "row_key")
+    rows = numbered_rows(docs, key=key)
+    kept_text = spare_name(docs, "kept_text")
+    kept = suffix_dedup.deduplicated(rows, doc_id=key, with_kept=True, whole_characters=True)
     kept = kept.filter("n_removed < n_bytes").select(
-        F.col("doc_id").alias("row_key"), F.col("kept").cast("string").alias("kept_text")
+        F.col("doc_id").alias(key), F.col("kept").cast("string").alias(kept_text)
     )
-    joined = rows.drop("text").join(kept, "row_key").withColumn("text", F.col("kept_text"))
+    joined = rows.drop("text").join(kept, key).withColumn("text", F.col(kept_text))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return joined.select(*docs.columns)
@@ -49,10 +52,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    rows = numbered_rows(docs)
-    found = decontamination.decontaminated(rows, table(spark, sf_dir, "benchmark"), near=0, doc_id="row_key")
-    bad = written(found.filter("contaminated").select(F.col("doc_id").alias("row_key")), "contaminated")
-    return rows.join(small(bad), "row_key", "left_anti").select(*docs.columns)
+    key = spare_name(docs, "row_key")
+    rows = numbered_rows(docs, key=key)
+    found = decontamination.decontaminated(rows, table(spark, sf_dir, "benchmark"), near=0, doc_id=key)
+    bad = written(found.filter("contaminated").select(F.col("doc_id").alias(key)), "contaminated")
+    return rows.join(small(bad), key, "left_anti").select(*docs.columns)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,8 +69,16 @@ def keyed_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return written(numbered, "numbered")
 
 
-def numbered_rows(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The documents with a ``row_key`` that is unique and in the order of the ids.
+def spare_name(frame: DataFrame, name: str) -> str:
+    """The name, with as many underscores after it as keep it apart from the frame's columns."""
+    taken = {c.lower() for c in frame.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def numbered_rows(docs: DataFrame, doc_id: str = "doc_id", key: str = "row_key") -> DataFrame:
+    """The documents with a column ``key`` that is unique and in the order of the ids.
 
     It is the id itself if ids are unique and none is null, else the place of the row in a
     sorted table written for it.
@@ -78,9 +86,9 @@ def numbered_rows(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     ids = docs.select(key_of(doc_id).alias("doc"))
     odd = ids.groupBy("doc").count().filter((F.col("count") > 1) | (F.col("doc") == NO_ID)).limit(1).count()
     if not odd:
-        return docs.withColumn("row_key", F.col(doc_id).cast("long"))
+        return docs.withColumn(key, F.col(doc_id).cast("long"))
     by = [F.col(doc_id), *(F.col(c) for c, kind in docs.dtypes if kind == "string")]
-    return written(docs.orderBy(*by).withColumn("row_key", F.monotonically_increasing_id()), "numbered")
+    return written(docs.orderBy(*by).withColumn(key, F.monotonically_increasing_id()), "numbered")
 
 
 class WordHashes(dict):
