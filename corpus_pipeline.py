@@ -35,18 +35,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 100 bytes that occur before; emptied documents go.
 
-    A cut never splits a character. ``n_chars``, where there is one, is counted anew.
+    Null and empty texts have nothing to lose and stay as they are. A cut never splits a character. ``n_chars``, where there is one, is counted anew.
     """
     key = spare_name(docs, "row_key")
     rows = numbered_rows(docs, key=key)
     kept_text = spare_name(docs, "kept_text")
     kept = suffix_dedup.deduplicated(rows, doc_id=key, with_kept=True, whole_characters=True)
-    kept = kept.filter("n_removed < n_bytes").select(
+    kept = kept.filter("n_removed < n_bytes OR n_removed = 0").select(
         F.col("doc_id").alias(key), F.col("kept").cast("string").alias(kept_text)
     )
-    joined = rows.drop("text").join(kept, key).withColumn("text", F.col(kept_text))
+    there = F.col("text").isNotNull()
+    joined = rows.join(kept, key)
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+        counted = F.length(kept_text).cast(docs.schema["n_chars"].dataType)
+        joined = joined.withColumn("n_chars", F.when(there, counted).otherwise(F.col("n_chars")))
+    joined = joined.withColumn("text", F.when(there, F.col(kept_text)))
     return joined.select(*docs.columns)
 
 

@@ -203,6 +203,13 @@ def test_stage_without_odd_texts(spark, sf_dir, name):
     assert plain(found.collect()) == plain(BRUTE[name](rows, BENCHMARK))
 
 
+@pytest.mark.parametrize("name", list(BRUTE))
+def test_stage_with_null_and_empty_texts(spark, sf_dir, name):
+    docs = spark.createDataFrame(ROWS, SCHEMA).repartition(3)
+    found = dict(corpus_pipeline.STAGES)[name](spark, docs, sf_dir)
+    assert plain(found.collect()) == plain(BRUTE[name](ROWS, BENCHMARK))
+
+
 def test_packing_stage(spark, sf_dir):
     check_packed(corpus_pipeline.sequences(spark, spark.createDataFrame(ROWS, SCHEMA), sf_dir).collect(), ROWS)
 
