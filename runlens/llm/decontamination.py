@@ -136,18 +136,27 @@ class Block:
             return np.zeros(len(terms), dtype=np.int64), np.zeros(len(terms), dtype=np.int64)
         return self.starts[at], np.where(self.terms[at] == terms, self.sizes[at], 0)
 
-    def occurrences(self, starts: np.ndarray, sizes: np.ndarray, slop: int) -> np.ndarray:
-        """First positions of a window, given the lists of its terms."""
+    def occurrences(self, starts: np.ndarray, sizes: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """First positions of a window, given the lists of its terms, and where its rarest term stands.
+
+        With ``slop`` a first position is one from which each term stands within so many
+        places of where it should; which term is the rarest does not change whether there is one.
+        """
         order = np.argsort(sizes, kind="stable")
         rarest = order[0]
-        found = self.places[starts[rarest] : starts[rarest] + sizes[rarest]] - rarest
+        anchors = self.places[starts[rarest] : starts[rarest] + sizes[rarest]]
+        found = anchors - rarest
+        if slop:
+            shifts = np.arange(-slop, slop + 1)
+            found, anchors = (found[:, None] + shifts).ravel(), np.repeat(anchors, len(shifts))
         for k in order[1:]:
             own = self.places[starts[k] : starts[k] + sizes[k]]
             at = np.searchsorted(own, found + (k - slop))
-            found = found[(at < len(own)) & (own[np.minimum(at, len(own) - 1)] <= found + (k + slop))]
+            fits = (at < len(own)) & (own[np.minimum(at, len(own) - 1)] <= found + (k + slop))
+            found, anchors = found[fits], anchors[fits]
             if not len(found):
                 break
-        return found
+        return found, anchors
 
 
 class Windows:
@@ -173,7 +182,7 @@ def search(index: DataFrame, items: DataFrame, window: int, near: int, item_id:
     """Matches of every item in every document, one row per document.
 
     ``spans`` are the word ranges of exact phrases, ``items`` their items; ``near`` has the
-    items of which a window's terms stand within ``near`` places of where they should.
+    items of which a window's terms all stand within ``near`` places of where they should.
     """
     chosen = items.select(
         F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("name"), F.coalesce(F.col(text), F.lit("")).alias("text")
@@ -220,9 +229,9 @@ def matches_in_block(row: dict, windows: Windows, near: int) -> pa.RecordBatch:
         for w in np.flatnonzero(sizes[terms].min(axis=1) > 0):
             lists = starts[terms[w]], sizes[terms[w]]
             for slop in {0, near}:
-                found = block.occurrences(*lists, slop)
-                for doc, place in zip((np.searchsorted(firsts, found, side="right") - 1).tolist(), found.tolist()):
-                    doc = max(doc, 0)
+                found, anchors = block.occurrences(*lists, slop)
+                # A near match may begin before its document does; its terms stand in it.
+                for doc, place in zip((np.searchsorted(firsts, anchors, side="right") - 1).tolist(), found.tolist()):
                     if slop == 0:
                         spans[doc].append((place - int(firsts[doc]), place - int(firsts[doc]) + length))
                         exact[doc].update(names[w])
@@ -257,10 +266,13 @@ def decontaminated(
 
     Words are runs of letters, digits and characters beyond ASCII, with A-Z lower-cased. An item of
     fewer words than ``window`` is one window; one without words never occurs. ``near``
-    (below ``GAP``) is the slack of proximity matches, which are reported and hit no words.
+    is the slack of proximity matches, which are reported in ``near_items`` (with the items
+    that occur exactly) and hit no words; twice that and ``window`` have to be below ``GAP``.
     Null texts have no words, null ids stay null, repeated rows are judged alike, items of one id count
     once. Without documents there are no rows; without items nothing is hit.
     """
+    if near and 2 * near + window >= GAP:
+        raise ValueError(f"twice near and the window have to be below {GAP}")
     found = search(build_index(docs, doc_id, text), items, window, near, item_id, item_text)
     hit = F.expr(
         """aggregate(array_sort(spans), named_struct('end', 0L, 'n', 0L), (s, x) ->
@@ -275,4 +287,5 @@ def decontaminated(
         (F.size("spans") > 0).alias("contaminated"),
         F.size("near").cast("long").alias("n_near_items"),
         "items",
+        F.col("near").alias("near_items"),
     )

@@ -11,6 +11,7 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from runlens.llm import (
     decontamination,
@@ -132,7 +133,8 @@ FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
 )
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.drop("n_near_items", "items")
+    near = F.sha2(F.array_join(F.array_sort("near_items"), ","), 256).alias("near_items_sha256")
+    return found.select("*", near).drop("items", "near_items")
 
 
 @query(
