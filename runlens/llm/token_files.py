@@ -3,7 +3,8 @@
 Format: a table of blocks in ascending order of documents. A block has the ids of some
 whole documents, each compressed on its own as a zstandard frame, and an index with each
 document's id, number of tokens, and where its frame starts. ``dictionary`` is the digest
-of the zstandard dictionary, which lies in a table of its own beside the blocks. To read
+of the zstandard dictionary, which lies in a table of its own beside the blocks; where none could
+be trained it is empty, and ``reason`` there says why. To read
 one short document, filter blocks by ``first_doc`` and ``last_doc``, take its index entry and
 decompress only its frame. Ids take two bytes if the vocabulary allows it, else four.
 """
@@ -30,6 +31,8 @@ BLOCK_BYTES = 4_000_000
 # The dictionary is fit on this many documents at most, chosen by a hash of their ids, and
 # on this many bytes of each. It only changes how well ids are compressed.
 SAMPLE_DOCUMENTS, SAMPLE_BYTES, DICTIONARY_BYTES = 2_000, 8_192, 65_536
+# What zstandard says of samples that are too few or unfit.
+TOO_FEW = ("Src size is incorrect", "Cannot create Dictionary from provided samples")
 
 BLOCKS = """part int, block int, first_doc long, last_doc long, tokens long, width int, dictionary string,
     docs array<long>, counts array<long>, starts array<long>, payload binary"""
@@ -78,15 +81,19 @@ def in_runs(values: Iterator[bytes], most: int) -> Iterator[tuple[int, list[byte
         yield start, run
 
 
-def trained(rows: DataFrame) -> bytes:
-    """A zstandard dictionary for the ids in ``rows``; empty if they are too few or too alike."""
+def trained(rows: DataFrame) -> tuple[bytes, str | None]:
+    """A zstandard dictionary for the ids in ``rows``; empty, with zstandard's reason, if they are too few or unfit."""
     chosen = rows.select("doc").distinct().orderBy(F.xxhash64("doc"), "doc").limit(SAMPLE_DOCUMENTS)
     sample = rows.join(F.broadcast(chosen), "doc").select("doc", F.substring("ids", 1, SAMPLE_BYTES).alias("ids"))
     texts = [bytes(r.ids) for r in sample.orderBy("doc", "ids").limit(SAMPLE_DOCUMENTS).collect()]
+    if not texts:
+        return b"", "no samples"
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
-    except (zstandard.ZstdError, ValueError, MemoryError):
-        return b""
+        return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes(), None
+    except zstandard.ZstdError as error:
+        if not any(known in str(error) for known in TOO_FEW):
+            raise
+        return b"", str(error)
 
 
 def write_token_files(
@@ -106,9 +113,9 @@ def write_token_files(
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark)}/llm/token-files-{uuid.uuid4().hex}"
     rows = written(encoded(docs, tokenizer, blanks, end_id, doc_id, text), "encoded")
-    dictionary = trained(rows)
+    dictionary, reason = trained(rows)
     digest = hashlib.sha256(dictionary).hexdigest()
-    spark.createDataFrame([(digest, bytearray(dictionary))], "dictionary string, content binary").coalesce(
+    spark.createDataFrame([(digest, bytearray(dictionary), reason)], "dictionary string, content binary, reason string").coalesce(
         1
     ).write.parquet(f"{path}/dictionaries")
 
