@@ -23,6 +23,7 @@ from runlens.llm import (
     suffix_dedup,
     token_counts,
     token_files,
+    toxicity,
     url_filters,
 )
 from runlens.llm.common import shared_folder
@@ -231,3 +232,8 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
