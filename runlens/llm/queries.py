@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from runlens.llm import (
     decontamination,
     jaccard_join,
+    merkle,
     packing,
     quality_classifier,
     quality_rules,
@@ -237,3 +238,54 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    r"""
+WITH RECURSIVE rows AS (
+    SELECT doc_id, n_chars, coalesce('=' || lang, '') AS tree, concat(
+        coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+        coalesce(strlen(lang) || ':' || lang, '-')) AS head, coalesce(strlen(text) || ':' || text, '-') AS tail,
+        xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda s, c:
+            list_reduce(range(8), lambda b, i: xor(b >> 1, 3988292384 * (b & 1)), xor(s, c)), 4294967295), 4294967295) AS crc
+    FROM documents),
+hashed AS (
+    SELECT doc_id, tree, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+           sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) AS changed, crc FROM rows),
+leaves AS (
+    SELECT doc_id, tree, leaf, CASE WHEN crc % 7 = 0 THEN changed ELSE leaf END AS start,
+           row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM hashed),
+levels AS (
+    SELECT tree, 0 AS level, list(leaf ORDER BY place) AS nodes FROM leaves GROUP BY tree
+    UNION ALL
+    SELECT tree, level + 1, list_transform(range((len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))
+    FROM levels WHERE len(nodes) > 1),
+subroots AS (
+    SELECT tree, nodes[1] AS subroot, row_number() OVER (ORDER BY encode(tree)) - 1 AS place FROM levels WHERE len(nodes) = 1),
+top_levels AS (
+    SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM subroots
+    UNION ALL
+    SELECT level + 1, list_transform(range((len(nodes) + 1) // 2), lambda i: sha256(nodes[2 * i + 1] || coalesce(nodes[2 * i + 2], '')))
+    FROM top_levels WHERE len(nodes) > 1),
+steps AS (
+    SELECT l.tree, l.place, v.level, l.place >> v.level AS own, v.nodes FROM leaves l JOIN levels v ON v.tree = l.tree AND len(v.nodes) > 1
+    UNION ALL
+    SELECT l.tree, l.place, 1000 + v.level, s.place >> v.level, v.nodes
+    FROM leaves l JOIN subroots s ON s.tree = l.tree JOIN top_levels v ON len(v.nodes) > 1),
+path AS (
+    SELECT tree, place, row_number() OVER (PARTITION BY tree, place ORDER BY level) AS k, own % 2 = 1 AS sibling_first,
+           coalesce(nodes[xor(own, 1) + 1], '') AS sibling FROM steps),
+proofs AS (SELECT tree, place, string_agg(sibling, '' ORDER BY k) AS proof, count(*) AS n FROM path GROUP BY tree, place),
+folds AS (
+    SELECT tree, place, 0 AS k, start AS h FROM leaves
+    UNION ALL
+    SELECT f.tree, f.place, f.k + 1, sha256(CASE WHEN sibling_first THEN sibling || h ELSE h || sibling END)
+    FROM folds f JOIN path p ON p.tree = f.tree AND p.place = f.place AND p.k = f.k + 1)
+SELECT l.doc_id, l.leaf, s.subroot, r.nodes[1] AS root, sha256(coalesce(p.proof, '')) AS proof_sha256, f.h AS folded_root, f.h = r.nodes[1] AS verified
+FROM leaves l JOIN subroots s ON s.tree = l.tree JOIN top_levels r ON len(r.nodes) = 1
+LEFT JOIN proofs p ON p.tree = l.tree AND p.place = l.place
+JOIN folds f ON f.tree = l.tree AND f.place = l.place AND f.k = coalesce(p.n, 0)"""
+)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), changed=tampered).drop("proof")
