@@ -333,9 +333,10 @@ def repaired(
     ordered = written(spread.withColumn("at", F.monotonically_increasing_id()), "ordered")
     # Each (conversation, role, text) has one first place. Places are unique keys, however often a text repeats.
     firsts = ordered.groupBy("conv", "role", F.unhex(F.sha2("text", 256)).alias("digest")).agg(F.min("at").alias("at"))
-    firsts = firsts.select(block(), "at", F.lit(True).alias("is_first"))
-    marked = ordered.select("conv", "role", "text", "at", block()).repartition("block").join(firsts, ["block", "at"], "left")
-    marked = marked.sortWithinPartitions("at").select("conv", "at", "role", "text", F.coalesce("is_first", F.lit(False)).alias("is_first"))
+    # A block has at most 256 of them, so they come as one list per block, and rows stay dealt by block.
+    firsts = firsts.select(block(), "at").groupBy("block").agg(F.collect_list("at").alias("firsts"))
+    marked = ordered.select("conv", "role", "text", "at", block()).repartition("block").join(firsts, "block")
+    marked = marked.sortWithinPartitions("at").select("conv", "at", "role", "text", F.array_contains("firsts", F.col("at")).alias("is_first"))
     found = written(marked.mapInArrow(segments, SEGMENT), "segments")
     whole = found.filter("complete").select(
         "conv", "blank", "duplicate", "truncated", "illegal", F.col("ways")[0]["cost"].alias("cost"),
