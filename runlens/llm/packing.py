@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.common import id_of, key_of, small, written
-from runlens.llm.pieces import encoder
+from runlens.llm.pieces import REMEMBERED, encoder
 from runlens.llm.token_files import in_runs
 
 ROWS = "part int, doc long, local_start long, n_tokens long, width int, ids binary"
@@ -25,11 +25,11 @@ PIECES = """doc long, start long, length long, ids_crc32 long, doc_tokens long,
     from_before boolean, goes_on boolean"""
 
 
-def placed(docs: DataFrame, tokenizer: str, end_id: int, blanks: bool, doc_id: str, text: str) -> DataFrame:
+def placed(docs: DataFrame, tokenizer: str, end_id: int, blanks: bool, doc_id: str, text: str, remembered: int) -> DataFrame:
     """Ids of each document and its start in the long row of all ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, end = encoder(tokenizer, blanks), np.array([end_id], dtype="<u4").tobytes()
+        pieces, end = encoder(tokenizer, blanks, remembered), np.array([end_id], dtype="<u4").tobytes()
         kind = "<u2" if max(pieces.tokenizer.get_vocab_size(), end_id + 1) <= 65_536 else "<u4"
         part, total = TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -69,13 +69,15 @@ def packed(
     doc_id: str = "doc_id",
     text: str = "text",
     with_ids: bool = False,
+    remembered: int = REMEMBERED,
 ) -> DataFrame:
     """One row per piece of a document in a sequence.
 
     ``from_before`` and ``goes_on`` mark pieces at a boundary: the document began in the
     sequence before, or continues in the next. Null texts are empty and only have the end
     id; null ids stay null; rows that share an id are documents of their own; an empty
-    table gives no pieces. With ``with_ids`` the ids are there too.
+    table gives no pieces; other columns are ignored. With ``with_ids`` the ids are there too. ``remembered``
+    is the number of text pieces whose ids a worker keeps; it changes time and memory only.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +106,7 @@ def packed(
             arrays, names = [*arrays, pa.array(columns[-1], pa.binary())], [*names, "ids"]
         return pa.record_batch(arrays, names=names)
 
-    pieces = placed(docs, tokenizer, end_id, blanks, doc_id, text).mapInArrow(
+    pieces = placed(docs, tokenizer, end_id, blanks, doc_id, text, remembered).mapInArrow(
         cut, PIECES + (", ids binary" if with_ids else "")
     )
     return pieces.select(id_of("doc").alias("doc_id"), *pieces.columns[1:])

@@ -4,7 +4,8 @@ The pre-tokenizers of these files never join what stands on both sides of certai
 blanks and line ends. A text is cut there, new pieces of a group of texts are encoded by
 the tokenizers library, many in one call, and the ids are put together again. The result
 equals the ids of the whole text. Memory is bounded by the remembered pieces and the group
-in hand.
+in hand. Pieces are remembered in two generations: when the younger one is full it becomes
+the older one, and what is used again moves back, so that pieces in use stay and others go.
 """
 
 from __future__ import annotations
@@ -16,29 +17,58 @@ from itertools import filterfalse
 
 import numpy as np
 
-REMEMBERED = 300_000  # about 65 MB
+REMEMBERED = 900_000  # pieces, of both generations; about 200 MB at most
 LONGEST = 64  # characters of a remembered piece
 GROUP = 1_000_000  # characters of texts that are cut at once
 TOGETHER = 50  # pieces in one string, with a special token between them
 
 
 class Known(dict):
-    """Ids by piece; ``spare`` has those of the group in hand that are not remembered."""
+    """Ids by piece, the younger generation; ``old`` is the older one.
 
-    spare: dict[str, bytes] = {}
+    ``spare`` has those of the group in hand that are not remembered.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+        self.spare: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
         return self.spare[piece]
 
+    def unknown(self, pieces: set[str]) -> set[str]:
+        """Those that have to be encoded; pieces of the older generation move to the younger one."""
+        back = pieces & self.old.keys()
+        self.update((piece, self.old.pop(piece)) for piece in back)
+        return pieces - back
+
+    def learn(self, new: dict[str, bytes], most: int) -> None:
+        """Remember new pieces, and let go of the older generation if there are too many."""
+        self.spare = {piece: ids for piece, ids in new.items() if len(piece) > LONGEST}
+        if len(self) + len(new) > most // 2:
+            # The group in hand needs the pieces it has found known until now.
+            self.spare.update(self)
+            self.old = dict(self)
+            self.clear()
+        room = most // 2
+        for piece, ids in new.items():
+            if len(piece) <= LONGEST:
+                if room:
+                    self[piece] = ids
+                    room -= 1
+                else:
+                    self.spare[piece] = ids
+
 
 class PieceEncoder:
     """``blanks``: blanks belong to the word behind them; else white space is dropped."""
 
-    def __init__(self, path: str, blanks: bool):
+    def __init__(self, path: str, blanks: bool, remembered: int = REMEMBERED):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.blanks = Tokenizer.from_file(path), blanks
+        self.tokenizer, self.blanks, self.remembered = Tokenizer.from_file(path), blanks, remembered
         added = self.tokenizer.get_added_tokens_decoder()
         self.special = {token.content: number for number, token in added.items()}
         self.mark, self.mark_id = next(iter(self.special.items()))
@@ -63,15 +93,6 @@ class PieceEncoder:
             ids.update((p, raw[4 * a + 4 : 4 * b]) for p, a, b in zip(group, cuts, cuts[1:]))
         return ids
 
-    def _learn(self, new: dict[str, bytes]) -> None:
-        """Remember as many as there is room for; the rest is spare."""
-        self.known.spare = {}
-        for piece, ids in new.items():
-            if len(self.known) < REMEMBERED and len(piece) <= LONGEST:
-                self.known[piece] = ids
-            else:
-                self.known.spare[piece] = ids
-
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, in order."""
         one_group = self._with_blanks if self.blanks else self._without_blanks
@@ -88,7 +109,7 @@ class PieceEncoder:
         cut, new = [text.replace("\n", " ").split(" ") for text in texts], set()
         for words in cut:
             new.update(filterfalse(self.known.__contains__, words))
-        self._learn(self._encoded(new))
+        self.known.learn(self._encoded(self.known.unknown(new)), self.remembered)
         for words in cut:
             yield b"".join(map(self.known.__getitem__, words))
 
@@ -98,6 +119,7 @@ class PieceEncoder:
         for words in cut:
             firsts.add(words[0])
             new.update(filterfalse(self.known.__contains__, words[1:]))
+        new = self.known.unknown(new)
         odd = {w for w in new if unclear(w[1:] if w[:1] == "\n" else w)}
         odd_firsts = {w for w in firsts if unclear(w)}
         merged = {}
@@ -107,7 +129,7 @@ class PieceEncoder:
                     merged[i] = list(merged_pieces(texts[i]))
         as_text = {w: w[1:] if w[0] == "\n" else " " + w for w in new - odd}
         found = self._encoded({*as_text.values(), *firsts, *(p for pieces in merged.values() for p in pieces)})
-        self._learn({w: self.newline + found[t] if w[0] == "\n" else found[t] for w, t in as_text.items()})
+        self.known.learn({w: self.newline + found[t] if w[0] == "\n" else found[t] for w, t in as_text.items()}, self.remembered)
         for i, words in enumerate(cut):
             if i in merged:
                 yield b"".join(map(found.__getitem__, merged[i]))
@@ -135,6 +157,6 @@ def merged_pieces(text: str) -> Iterator[str]:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, blanks: bool) -> PieceEncoder:
+def encoder(path: str, blanks: bool, remembered: int = REMEMBERED) -> PieceEncoder:
     """The encoder of this worker process."""
-    return PieceEncoder(path, blanks)
+    return PieceEncoder(path, blanks, remembered)

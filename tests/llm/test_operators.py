@@ -65,10 +65,10 @@ def ids(name, text, end):
 
 @pytest.mark.parametrize(("name", "blanks"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_pieces_give_the_ids_of_whole_texts(name, blanks, monkeypatch):
-    monkeypatch.setattr("runlens.llm.pieces.REMEMBERED", 40)
+    monkeypatch.setattr("runlens.llm.pieces.GROUP", 300)
     rng, marks = random.Random(5), [" ", "\n", "\t", "a", "B", "'s", "é", "1", "!", " ", "<|endoftext|>", "  ", "中", "\x1c"]
     odd = ["".join(rng.choices(marks, k=rng.randint(0, 40))) for _ in range(400)] + texts()
-    pieces = PieceEncoder(tokenizer(name), blanks)
+    pieces = PieceEncoder(tokenizer(name), blanks, remembered=40)
     for text, found in zip(odd, pieces.encode(odd)):
         assert np.frombuffer(found, "<u4").tolist() == pieces.tokenizer.encode(text, add_special_tokens=False).ids
 
