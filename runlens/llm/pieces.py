@@ -13,11 +13,11 @@ from __future__ import annotations
 import os
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import filterfalse
+from itertools import islice
 
 import numpy as np
 
-REMEMBERED = 900_000  # pieces, of both generations; about 200 MB at most
+REMEMBERED = 1_400_000  # pieces, of both generations; about 300 MB at most
 LONGEST = 64  # characters of a remembered piece
 GROUP = 1_000_000  # characters of texts that are cut at once
 TOGETHER = 50  # pieces in one string, with a special token between them
@@ -26,39 +26,39 @@ TOGETHER = 50  # pieces in one string, with a special token between them
 class Known(dict):
     """Ids by piece, the younger generation; ``old`` is the older one.
 
-    ``spare`` has those of the group in hand that are not remembered.
+    A look-up of a piece that neither has gives None and notes the piece in ``missing``.
     """
 
     def __init__(self):
         super().__init__()
         self.old: dict[str, bytes] = {}
-        self.spare: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        return self.spare[piece]
-
-    def unknown(self, pieces: set[str]) -> set[str]:
-        """Those that have to be encoded; pieces of the older generation move to the younger one."""
-        back = pieces & self.old.keys()
-        self.update((piece, self.old.pop(piece)) for piece in back)
-        return pieces - back
+        self.missing: set[str] = set()
+
+    def __missing__(self, piece: str) -> bytes | None:
+        ids = self.old.pop(piece, None)
+        if ids is None:
+            self.missing.add(piece)
+        else:
+            self[piece] = ids
+        return ids
 
     def learn(self, new: dict[str, bytes], most: int) -> None:
         """Remember new pieces, and let go of the older generation if there are too many."""
-        self.spare = {piece: ids for piece, ids in new.items() if len(piece) > LONGEST}
+        self.missing = set()
         if len(self) + len(new) > most // 2:
-            # The group in hand needs the pieces it has found known until now.
-            self.spare.update(self)
             self.old = dict(self)
             self.clear()
-        room = most // 2
-        for piece, ids in new.items():
-            if len(piece) <= LONGEST:
-                if room:
-                    self[piece] = ids
-                    room -= 1
-                else:
-                    self.spare[piece] = ids
+        short = ((piece, ids) for piece, ids in new.items() if len(piece) <= LONGEST)
+        self.update(islice(short, most // 2))
+
+
+def filled(words: list[str], ids: list[bytes | None], new: dict[str, bytes]) -> bytes:
+    """The ids of the words, those that were missing taken from ``new``."""
+    at = -1
+    for _ in range(ids.count(None)):
+        at = ids.index(None, at + 1)
+        ids[at] = new[words[at]]
+    return b"".join(ids)
 
 
 class PieceEncoder:
@@ -106,35 +106,36 @@ class PieceEncoder:
         yield from one_group(group)
 
     def _without_blanks(self, texts: list[str]) -> Iterator[bytes]:
-        cut, new = [text.replace("\n", " ").split(" ") for text in texts], set()
-        for words in cut:
-            new.update(filterfalse(self.known.__contains__, words))
-        self.known.learn(self._encoded(self.known.unknown(new)), self.remembered)
-        for words in cut:
-            yield b"".join(map(self.known.__getitem__, words))
+        cut = [text.replace("\n", " ").split(" ") for text in texts]
+        looked_up = [list(map(self.known.__getitem__, words)) for words in cut]
+        new = self._encoded(self.known.missing)
+        self.known.learn(new, self.remembered)
+        for words, ids in zip(cut, looked_up):
+            yield filled(words, ids, new)
 
     def _with_blanks(self, texts: list[str]) -> Iterator[bytes]:
         """A piece with a line end in front stands behind a line end, others behind a blank."""
-        cut, new, firsts = [text.replace("\n", " \n").split(" ") for text in texts], set(), set()
-        for words in cut:
-            firsts.add(words[0])
-            new.update(filterfalse(self.known.__contains__, words[1:]))
-        new = self.known.unknown(new)
-        odd = {w for w in new if unclear(w[1:] if w[:1] == "\n" else w)}
-        odd_firsts = {w for w in firsts if unclear(w)}
+        firsts, cut, looked_up = [], [], []
+        for text in texts:
+            first, *words = text.replace("\n", " \n").split(" ")
+            firsts.append(first)
+            cut.append(words)
+            looked_up.append(list(map(self.known.__getitem__, words)))
+        missing = self.known.missing
+        odd = {w for w in missing if unclear(w[1:] if w[:1] == "\n" else w)}
         merged = {}
-        if odd or odd_firsts:
-            for i, words in enumerate(cut):
-                if words[0] in odd_firsts or not odd.isdisjoint(words[1:]):
-                    merged[i] = list(merged_pieces(texts[i]))
-        as_text = {w: w[1:] if w[0] == "\n" else " " + w for w in new - odd}
+        for i, (first, words) in enumerate(zip(firsts, cut)):
+            if unclear(first) or (odd and not odd.isdisjoint(words)):
+                merged[i] = list(merged_pieces(texts[i]))
+        as_text = {w: w[1:] if w[0] == "\n" else " " + w for w in missing - odd}
         found = self._encoded({*as_text.values(), *firsts, *(p for pieces in merged.values() for p in pieces)})
-        self.known.learn({w: self.newline + found[t] if w[0] == "\n" else found[t] for w, t in as_text.items()}, self.remembered)
-        for i, words in enumerate(cut):
+        new = {w: self.newline + found[t] if w[0] == "\n" else found[t] for w, t in as_text.items()}
+        self.known.learn(new, self.remembered)
+        for i, (first, words, ids) in enumerate(zip(firsts, cut, looked_up)):
             if i in merged:
                 yield b"".join(map(found.__getitem__, merged[i]))
             else:
-                yield found[words[0]] + b"".join(map(self.known.__getitem__, words[1:]))
+                yield found[first] + filled(words, ids, new)
 
 
 def unclear(piece: str) -> bool:
