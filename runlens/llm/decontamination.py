@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +24,8 @@ from runlens.llm.common import id_of, key_of, mixed, written
 
 WINDOW = 10
 BLOCK_BYTES = 8_000_000
-# Items are searched in sets of about so many bytes of text; each set goes to all tasks.
-SET_BYTES = 8_000_000
+# Items are searched in sets of about so many bytes of text, one set after the other; each goes to all tasks.
+SET_BYTES = 2_000_000
 # Positions left free between documents, so that no match reaches into the next one.
 GAP = 4_096
 
@@ -32,8 +33,8 @@ INDEX = """part int, block int, docs array<long>, counts array<long>, terms bina
 FOUND = """part int, block int, i int, doc long, n_words long, spans array<struct<a:long,b:long>>,
     items array<string>, near array<string>"""
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_powers = {"up": np.ones(1, dtype=np.uint64), "down": np.ones(1, dtype=np.uint64)}
+# Words of more bytes are hashed one by one.
+LONG_WORD = 64
 
 # Word bytes by byte: digits, letters with A-Z as a-z, and all bytes from 0x80; else 0.
 LETTERS = np.zeros(256, dtype=np.uint8)
@@ -43,28 +44,35 @@ for _byte in range(0x41, 0x5B):
     LETTERS[_byte] = _byte + 32
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64."""
-    if len(_powers["up"]) < n:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            row = np.full(n, base, dtype=np.uint64)
-            row[0] = 1
-            _powers[name] = np.cumprod(row, dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
+# Keeps the first bytes of eight, by their number.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], dtype=np.uint64)
 
 
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Digests of all words of all texts in order, and the number of words of each text."""
+    """Digests of all words of all texts in order, and the number of words of each text.
+
+    A word is taken eight bytes at a time; all bits are stirred after each of them, so that no sums of
+    letters can cancel out.
+    """
     raw = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)
-    letters = LETTERS[raw]
+    letters = np.zeros(len(raw) + 8, dtype=np.uint8)
+    letters[: len(raw)] = LETTERS[raw]
     inside = np.zeros(len(raw) + 1, dtype=np.int8)
-    inside[1:] = letters > 0
+    inside[1:] = letters[: len(raw)] > 0
     edges = np.flatnonzero(np.diff(inside))
     starts, ends = edges[0::2], edges[1::2]
-    up, down = powers(len(raw))
-    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(letters * up, out=sums[1:])
-    digests = mixed((sums[ends] - sums[starts]) * down[starts])
+    sizes = ends - starts
+    eights = np.ndarray(len(raw), dtype="<u8", buffer=letters, strides=(1,))
+    digests = sizes.astype(np.uint64)
+    some = np.flatnonzero(sizes <= LONG_WORD)
+    for step in range(0, LONG_WORD, 8):
+        some = some[sizes[some] > step]
+        if not len(some):
+            break
+        part = eights[starts[some] + step] & _KEEP[np.minimum(sizes[some] - step, 8)]
+        digests[some] = mixed(digests[some] ^ part) + np.uint64(0x9E3779B97F4A7C15)
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        digests[i] = xxhash.xxh3_64_intdigest(letters[starts[i] : ends[i]].tobytes())
     limits = np.cumsum([len(text) + 1 for text in texts])
     return digests, np.diff(np.searchsorted(starts, limits), prepend=0)
 
@@ -193,9 +201,10 @@ def search(index: DataFrame, items: DataFrame, window: int, near: int, item_id:
     for k in range(sets):
         some = chosen.filter(F.pmod(F.xxhash64("name", "text"), F.lit(sets)) == k)
         windows = Windows([(r.name_, r.text) for r in some.withColumnRenamed("name", "name_").collect()], window)
-        parts.append(matches(index, windows, near))
-    if sets == 1:
-        return parts[0]
+        if sets == 1:
+            return matches(index, windows, near)
+        # The driver holds one set at a time.
+        parts.append(written(matches(index, windows, near), "matches"))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)

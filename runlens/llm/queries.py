@@ -129,10 +129,28 @@ hit AS (
         SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM found)) GROUP BY doc_id),
 items AS (
     SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names, list(item ORDER BY item) AS items
-    FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+    FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id),
+places AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS at FROM doc_words),
+windows AS (
+    SELECT row_number() OVER () AS wid, item, w[i:i + n - 1] AS ts, n, len(list_distinct(w[i:i + n - 1])) AS n_terms FROM (
+        SELECT item, w, least(len(w), 10) AS n, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)),
+window_terms AS (SELECT wid, item, n, unnest(ts) AS t, unnest(range(n)) AS k FROM windows),
+together AS (
+    SELECT doc_id, wid FROM (
+        SELECT p.doc_id, u.wid, u.n_terms FROM (SELECT DISTINCT doc_id, t FROM places) p
+        JOIN (SELECT wid, n_terms, unnest(list_distinct(ts)) AS t FROM windows) u ON u.t = p.t)
+    GROUP BY doc_id, wid, n_terms HAVING count(*) = n_terms),
+shifted AS (
+    SELECT DISTINCT g.doc_id, u.item, u.wid, u.n, u.k, unnest(range(p.at - u.k - 2, p.at - u.k + 3)) AS start
+    FROM together g JOIN window_terms u ON u.wid = g.wid JOIN places p ON p.doc_id = g.doc_id AND p.t = u.t),
+near AS (
+    SELECT DISTINCT doc_id, item FROM (SELECT doc_id, item, wid, start FROM shifted GROUP BY doc_id, item, wid, start HAVING count(*) = any_value(n))
+    UNION SELECT DISTINCT doc_id, item FROM found),
+near_items AS (SELECT doc_id, count(*) AS n_near, string_agg(item, ',' ORDER BY item) AS near_names FROM near GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)"""
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(n_near, 0) AS n_near_items, sha256(coalesce(near_names, '')) AS near_items_sha256
+FROM doc_words LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN near_items USING (doc_id)"""
 )
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

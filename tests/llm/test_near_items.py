@@ -74,3 +74,22 @@ def test_slack_beyond_the_gap(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     with pytest.raises(ValueError):
         decontamination.decontaminated(docs, docs, near=3_000, item_id="doc_id")
+
+
+def test_words_whose_letters_add_up_alike_are_told_apart(spark):
+    signs = ["ab"[bin(i).count("1") % 2] for i in range(1_024)]
+    one, other = "".join(signs), "".join("ba"[c == "b"] for c in signs)
+    texts = [(1, f"x {one} y"), (2, f"x {other} y"), (3, "x " + "q" * 64 + "z y"), (4, "12345678 1234567 123456789")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame([("i", other), ("j", "q" * 64), ("k", "123456789")], "item_id string, text string")
+    found = {r.doc_id: (r.n_hit, r["items"]) for r in decontamination.decontaminated(docs, items).collect()}
+    assert found == {1: (0, []), 2: (1, ["i"]), 3: (0, []), 4: (1, ["k"])}
+
+
+def test_items_in_several_sets_give_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a{i} b c d e f g h i j k{i % 3} l") for i in range(20)], "doc_id long, text string")
+    items = spark.createDataFrame([(n, f"b c d e f g h i j k{n} l") for n in range(3)], "item_id int, text string")
+    columns = ["doc_id", "n_hit", "n_items", "items_sha256", "n_near_items"]
+    whole = decontamination.decontaminated(docs, items).select(columns).collect()
+    monkeypatch.setattr("runlens.llm.decontamination.SET_BYTES", 20)
+    assert sorted(decontamination.decontaminated(docs, items).select(columns).collect()) == sorted(whole)

@@ -41,9 +41,7 @@ def test_query_gives_what_its_sql_gives(spark, name):
     connection = duckdb.connect()
     for table in ("documents", "benchmark", "pages"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
-    frame, sql = registered.queries()[name](spark, SF), registered.oracle_sql()[name]
-    columns = [d[0] for d in connection.execute(f"SELECT * FROM ({sql}) LIMIT 0").description]
-    assert differences(frame.select(*columns), connection, sql) == []
+    assert differences(registered.queries()[name](spark, SF), connection, registered.oracle_sql()[name]) == []
 
 
 def test_token_files(spark, rows):
