@@ -4,60 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot if it has more than this many rows and this share of all rows.
-HOT_ROWS = 100_000
-HOT_SHARE = 1 / 1000
-HOT_SALTS = 256
-SALTS = 8
+# Rows of one key that may go to one part, and how many keys may be split at most.
+PART_ROWS = 1_000_000
+MOST_SPLIT = 10_000
 
 
-def _part(spread: str, parts: int) -> Column:
+def _part(spread: str, parts: Column) -> Column:
     """Part of a row. A hash, unlike a random number, is the same when a task runs again."""
-    return F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int")
+    return F.pmod(F.xxhash64(spread), parts)
 
 
-def _numbers(count: Column) -> Column:
-    return F.explode(F.sequence(F.lit(0), count - 1))
-
-
-def salted_lookup(facts: DataFrame, table: DataFrame, on: Sequence[str], spread: str) -> DataFrame:
-    """Left join ``facts`` to a smaller table with one row per key, every key split up.
-
-    Facts are spread over the parts of their key by ``spread``, a column that differs
-    within a key, and each table row is repeated once per part.
-    """
-    left = facts.withColumn("_part", _part(spread, SALTS))
-    right = table.withColumn("_part", _numbers(F.lit(SALTS)))
-    return left.join(right, [*on, "_part"], "left").drop("_part")
-
-
-def hot_salted_lookup(
+def split_lookup(
     facts: DataFrame,
     table: DataFrame,
     on: Sequence[str],
     spread: str,
-    rows: str,
-    hot_rows: int = HOT_ROWS,
+    rows: str | None = None,
+    part_rows: int = PART_ROWS,
 ) -> DataFrame:
-    """Like :func:`salted_lookup`, splitting hot keys only, for tables about as long as the facts.
+    """Left join ``facts`` to a table with one row per key, keys of many rows split up.
 
-    ``rows`` is a column of the table with the number of facts per key. At most
-    1/HOT_SHARE keys can hold such a share of the rows, however many rows there are,
-    so the list of hot keys is small enough to broadcast. Facts without a key match
-    nothing and are spread as well.
+    Rows are counted per key, and a key goes to as many parts as ``part_rows`` fits into its
+    count. Facts are spread over the parts of their key by ``spread``, a column that differs within
+    a key, and only the table rows of split keys are repeated, once per part. Facts without
+    a key match nothing and are spread like a key of their own.
+
+    ``rows`` is a column of the table with the number of facts per key (the null key
+    included), where that is known already. So that the list of split keys may be broadcast, a key is only
+    split if it also holds more than 1/``MOST_SPLIT`` of all rows, which as many keys can do at most.
     """
     on = list(on)
-    total = table.agg(F.sum(rows)).scalar()
-    is_hot = (F.col(rows) > hot_rows) & (F.col(rows) > total * HOT_SHARE)
-    hot = table.where(is_hot).select(*[F.col(key).alias(f"_hot_{key}") for key in on], F.lit(True).alias("_hot"))
-    same = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_hot_{key}")) for key in on])
-    no_key = reduce(or_, [F.col(key).isNull() for key in on])
-    part = F.when(F.coalesce("_hot", F.lit(False)) | no_key, _part(spread, HOT_SALTS)).otherwise(0)
-    left = facts.join(F.broadcast(hot), same, "left").select(*facts.columns, part.alias("_part"))
-    right = table.withColumn("_part", _numbers(F.when(is_hot, HOT_SALTS).otherwise(1)))
-    return left.join(right.drop(rows), [*on, "_part"], "left").drop("_part")
+    counts = table.select(*on, F.col(rows).alias("_count")) if rows else facts.groupBy(*on).agg(F.count(F.lit(1)).alias("_count"))
+    total = counts.agg(F.sum("_count")).scalar()
+    limit = F.greatest(F.lit(part_rows).cast("double"), total / MOST_SPLIT)
+    many = counts.where(F.col("_count") > limit).select(
+        *[F.col(key).alias(f"_split_{key}") for key in on], F.ceil(F.col("_count") / limit).cast("bigint").alias("_parts")
+    )
+    same = reduce(and_, [F.col(key).eqNullSafe(F.col(f"_split_{key}")) for key in on])
+    parts = F.coalesce("_parts", F.lit(1).cast("bigint"))
+    left = facts.join(F.broadcast(many), same, "left").select(*facts.columns, _part(spread, parts).alias("_part"))
+    numbers = F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("_part")
+    right = table.drop(rows) if rows else table
+    right = right.join(F.broadcast(many), same, "left").select(*right.columns, numbers)
+    return left.join(right, [*on, "_part"], "left").drop("_part")

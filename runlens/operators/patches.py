@@ -14,6 +14,8 @@ DOES_NOT_APPLY = "Patch application failed: "
 # ----------------------------------------------------------------------------
 
 _KEY = ("snapshot_id", "path")
+# Lines of a file that are compared in one place.
+BLOCK_LINES = 256
 
 
 def extracted_changes(responses: DataFrame, text: str = "text") -> DataFrame:
@@ -24,6 +26,17 @@ def extracted_changes(responses: DataFrame, text: str = "text") -> DataFrame:
     ).select(*kept, "ordinal", "_change.*")
 
 
+def _differs() -> Column:
+    """Whether the digests ``_old`` and ``_new`` differ, a missing file being empty."""
+    of_nothing = F.sha2(F.lit(""), 256)
+    return F.coalesce("_old", of_nothing) != F.coalesce("_new", of_nothing)
+
+
+def _change() -> Column:
+    kind = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed")
+    return kind.otherwise("modified").alias("change")
+
+
 def changed_paths(before: DataFrame, after: DataFrame) -> DataFrame:
     """Paths whose content differs between two snapshots (snapshot_id, path, content).
 
@@ -33,14 +46,7 @@ def changed_paths(before: DataFrame, after: DataFrame) -> DataFrame:
     digest = F.sha2("content", 256)
     old = before.select(*_KEY, digest.alias("_old"))
     new = after.select(*_KEY, digest.alias("_new"))
-    of_nothing = F.sha2(F.lit(""), 256)
-    differs = F.coalesce("_old", of_nothing) != F.coalesce("_new", of_nothing)
-    kind = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed")
-    return (
-        old.join(new, list(_KEY), "full")
-        .where(differs)
-        .select(*_KEY, kind.otherwise("modified").alias("change"))
-    )
+    return old.join(new, list(_KEY), "full").where(_differs()).select(*_KEY, _change())
 
 
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -57,19 +63,23 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
 def change_set(before: DataFrame, after: DataFrame) -> DataFrame:
     """Changed files with the numbers of lines added and removed.
 
-    Lines are compared with their ends, as a multiset per file. Contents stay where
-    they are read: each side's lines are counted by themselves, combined before the
-    shuffle, and only for files that did change.
+    Lines are compared with their ends, as a multiset per file, by 64-bit hashes. Each
+    side is read once and gives a digest and the hashes of its lines per file; contents
+    never leave their scan. Hashes are counted for the files whose digests differ only.
     """
     lines = F.filter(F.split("content", r"(?<=\n)"), lambda line: line != "")
+    hashes = F.transform(lines, lambda line: F.xxhash64(line))
+
+    def side(frame: DataFrame, name: str) -> DataFrame:
+        return frame.select(*_KEY, F.sha2("content", 256).alias(f"_{name}"), hashes.alias(f"_{name}_lines"))
 
-    def side(frame: DataFrame, sign: int) -> DataFrame:
-        return frame.select(*_KEY, "content", F.lit(sign).alias("_sign"))
+    def signed(name: str, sign: int) -> Column:
+        known = F.coalesce(f"_{name}_lines", F.array().cast("array<bigint>"))
+        return F.transform(known, lambda line: F.struct(line.alias("line"), F.lit(sign).alias("sign")))
 
-    changed = changed_paths(before, after)
-    both = side(before, -1).unionByName(side(after, 1)).join(changed, list(_KEY))
-    exploded = both.select(*_KEY, "change", "_sign", F.explode(lines).alias("_line"))
-    net = exploded.groupBy(*_KEY, "change", "_line").agg(F.sum("_sign").alias("_net"))
+    both = side(before, "old").join(side(after, "new"), list(_KEY), "full").where(_differs())
+    exploded = both.select(*_KEY, _change(), F.inline(F.concat(signed("old", -1), signed("new", 1))))
+    net = exploded.groupBy(*_KEY, "change", "line").agg(F.sum("sign").alias("_net"))
     plus = F.when(F.col("_net") > 0, F.col("_net")).otherwise(0)
     minus = F.when(F.col("_net") < 0, -F.col("_net")).otherwise(0)
     return net.groupBy(*_KEY, "change").agg(
@@ -87,9 +97,36 @@ def validate_patches(patches: DataFrame, patch: str = "patch") -> DataFrame:
     )
 
 
-def _stands_at(lines: Column, hunk: Column) -> Column:
-    wanted, start = hunk.getField("lines"), F.greatest(hunk.getField("start"), F.lit(1))
-    return (F.size(wanted) == 0) | (F.slice(lines, start, F.size(wanted)) == wanted)
+def _hashes(lines: Column) -> Column:
+    return F.transform(lines, lambda line: F.xxhash64(line))
+
+
+def _file_blocks(files: DataFrame) -> DataFrame:
+    """Hashes of the lines of each file, ``BLOCK_LINES`` lines a row; an empty file has one empty block."""
+    hashed = files.select(*_KEY, _hashes(lines_of("coalesce(content, '')")).alias("_lines"), F.col("content").isNotNull().alias("_present"))
+    last = F.floor((F.greatest(F.size("_lines"), F.lit(1)) - 1) / BLOCK_LINES)
+    blocks = F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda b: F.slice("_lines", (b * BLOCK_LINES + 1).cast("int"), F.lit(BLOCK_LINES)))
+    return hashed.select(*_KEY, "_present", F.posexplode(blocks).alias("_block", "_known"))
+
+
+def _pieces(hunk: Column) -> Column:
+    """A hunk's old lines, cut where blocks of file lines end."""
+    lines = hunk.getField("lines")
+    start = F.greatest(hunk.getField("start"), F.lit(1)) - 1
+    end = start + F.size(lines) - 1
+
+    def piece(block: Column) -> Column:
+        first = F.greatest(block * BLOCK_LINES, start)
+        size = F.least((block + 1) * BLOCK_LINES - 1, end) - first + 1
+        return F.struct(
+            hunk.getField("path").alias("path"),
+            block.cast("int").alias("_block"),
+            (first - block * BLOCK_LINES).cast("int").alias("_offset"),
+            F.slice(lines, (first - start + 1).cast("int"), size.cast("int")).alias("_wanted"),
+        )
+
+    blocks = F.sequence(F.floor(start / BLOCK_LINES), F.floor(F.greatest(end, start) / BLOCK_LINES))
+    return F.transform(F.filter(blocks, lambda _: F.size(lines) > 0), piece)
 
 
 def patches_applying(patches: DataFrame, files: DataFrame) -> DataFrame:
@@ -97,8 +134,9 @@ def patches_applying(patches: DataFrame, files: DataFrame) -> DataFrame:
 
     ``patches`` has patch_id, snapshot_id and patch; ``files`` is the snapshot. Hunks
     are matched at their stated position only. A file that a patch creates must not
-    exist yet. Patches meet files by snapshot and path, one row per patch and file,
-    so files are split once and never expanded into line rows.
+    exist yet. Lines are compared by 64-bit hashes. Hunks and files are cut into blocks
+    of lines that meet by snapshot, path and block, so that a file which many patches touch is
+    read once and its blocks go to different tasks; contents and patches are not shuffled.
     """
     parsed = patches.select("patch_id", "snapshot_id", "patch").withColumn(
         "_parsed", parse_patch("patch")
@@ -110,7 +148,7 @@ def patches_applying(patches: DataFrame, files: DataFrame) -> DataFrame:
             lambda hunk: F.struct(
                 hunk.getField("path").alias("path"),
                 hunk.getField("start").alias("start"),
-                old_side(lines, hunk).alias("lines"),
+                _hashes(old_side(lines, hunk)).alias("lines"),
             ),
         ),
     )
@@ -122,26 +160,29 @@ def patches_applying(patches: DataFrame, files: DataFrame) -> DataFrame:
         hunks.alias("_hunks"),
     )
     paths = F.array_distinct(F.transform("_hunks", lambda hunk: hunk.getField("path")))
-    # Outer, as a patch without hunks must keep its row.
-    targets = checked.withColumn("path", F.explode_outer(paths)).select(
-        "patch_id",
-        *_KEY,
-        "_problem",
-        F.array_contains("_created", F.col("path")).alias("_creates"),
-        F.filter("_hunks", lambda hunk: hunk.getField("path") == F.col("path")).alias("_hunks"),
+    # One piece without lines per path asks whether the file is there.
+    asked = F.transform(
+        paths,
+        lambda path: F.struct(
+            path.alias("path"), F.lit(0).alias("_block"), F.lit(0).alias("_offset"), F.array().cast("array<bigint>").alias("_wanted")
+        ),
     )
-    met = targets.join(files.select(*_KEY, "content"), list(_KEY), "left")
-    fits = with_value(
-        lines_of("coalesce(content, '')"),
-        lambda lines: F.forall("_hunks", lambda hunk: _stands_at(lines, hunk)),
+    pieces = F.concat(asked, F.flatten(F.transform("_hunks", _pieces)))
+    # Outer, as a patch without hunks must keep its row.
+    targets = checked.select("patch_id", "snapshot_id", "_problem", "_created", F.inline_outer(pieces))
+    targets = targets.select(
+        "patch_id", *_KEY, "_problem", F.array_contains("_created", F.col("path")).alias("_creates"), "_block", "_offset", "_wanted"
     )
-    present = F.col("content").isNotNull()
+    met = targets.join(_file_blocks(files), [*_KEY, "_block"], "left")
+    present, asks = F.coalesce("_present", F.lit(False)), F.size("_wanted") == 0
+    stands = F.slice("_known", F.col("_offset") + 1, F.size("_wanted")) == F.col("_wanted")
     reason = (
         F.when(F.col("path").isNull(), None)
-        .when(F.col("_creates") & present, "file exists already")
-        .when(~F.col("_creates") & ~present, "file does not exist")
-        .when(~F.col("_creates") & ~fits, "hunk does not fit")
+        .when(asks & F.col("_creates") & present, "file exists already")
+        .when(asks & ~F.col("_creates") & ~present, "file does not exist")
+        .when(~asks & ~F.col("_creates") & ~F.coalesce(stands, F.lit(False)), "hunk does not fit")
     )
+    # Of several reasons the least is told, so a missing file comes before its hunks.
     judged = met.withColumn("_reason", F.coalesce("_problem", reason))
     return judged.groupBy("patch_id").agg(F.min("_reason").alias("_why")).select(
         "patch_id",

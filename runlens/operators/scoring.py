@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.text import has_text, result_score
-from runlens.operators.joins import hot_salted_lookup
+from runlens.operators.joins import split_lookup
 from runlens.operators.status import DEFAULT_SUBMISSION_MODEL, MODEL_SUFFIX
 
 
@@ -59,7 +59,7 @@ def submissions(predictions: DataFrame, by: Sequence[str], seq: str = "seq") ->
     """Submission rows of past files: all rows of a file carry its first row's model."""
     first = F.min_by(F.coalesce("model", F.lit(DEFAULT_SUBMISSION_MODEL)), seq)
     models = predictions.groupBy(*by).agg(first.alias("_model"), F.count(F.lit(1)).alias("_rows"))
-    named = hot_salted_lookup(predictions, models, by, spread=seq, rows="_rows")
+    named = split_lookup(predictions, models, by, spread=seq, rows="_rows")
     return _submission(named, F.col("_model"), by)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runlens import schemas
 from runlens.functions.jsonl import parse_objects
 from runlens.functions.text import COMPLETED, base_name, failure_kind, is_completed, strip
-from runlens.operators.joins import salted_lookup
+from runlens.operators.joins import split_lookup
 
 # --- fixed values -----------------------------------------------------------
 SETUP_ERROR = "Failed to set up repository"
@@ -64,9 +64,12 @@ def _updated_fields() -> dict[str, Column]:
 
 
 def apply_updates(runs: DataFrame, updates: DataFrame) -> DataFrame:
-    """Set score, time, status and evaluation time on every run of an updated file."""
-    named = runs.withColumn("name", _logged_name())
-    joined = salted_lookup(named, latest_updates(updates), ["name"], spread="seq")
+    """Set score, time, status and evaluation time on every run of an updated file.
+
+    Runs without a file (null or ``"None"``) have none to update.
+    """
+    named = runs.withColumn("name", F.nullif(_logged_name(), F.lit(NO_FILE)))
+    joined = split_lookup(named, latest_updates(updates), ["name"], spread="seq")
     hit, new = F.col("_update").isNotNull(), _updated_fields()
     old = lambda name: F.col(name) if name in runs.columns else F.lit(None)
     merged = {name: F.when(hit, value).otherwise(old(name)) for name, value in new.items()}
@@ -82,8 +85,8 @@ def update_log_lines(lines: DataFrame, updates: DataFrame) -> DataFrame:
     """
     parsed = parse_objects(lines, "map<string,variant>", "_entry")
     file = F.col("_entry")["prediction_file"].try_cast("string")
-    named = parsed.withColumn("name", base_name(file))
-    joined = salted_lookup(named, latest_updates(updates), ["name"], spread="seq")
+    named = parsed.withColumn("name", F.nullif(base_name(file), F.lit(NO_FILE)))
+    joined = split_lookup(named, latest_updates(updates), ["name"], spread="seq")
     new = _updated_fields()
     pairs = [part for key, value in new.items() for part in (F.lit(key), value.cast("variant"))]
     entries = F.map_entries("_entry")

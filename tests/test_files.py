@@ -150,23 +150,37 @@ def test_submissions_carry_the_first_rows_model(spark):
     assert {r.model_name_or_path for r in after_run} == {"gemini-code"}
 
 
-@pytest.mark.parametrize("lookup", ["plain", "hot"])
-def test_hot_keys_are_split_without_losing_rows(spark, lookup):
+@pytest.mark.parametrize("counted", [False, True])
+def test_hot_keys_are_split_without_losing_rows(spark, counted):
+    """One key has 90 % of the rows, null a few, the others one each."""
     facts = spark.range(3000).selectExpr(
-        "id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN NULL ELSE concat('k', id % 50) END AS key"
+        "id", "CASE WHEN id % 10 > 0 THEN 'hot' WHEN id % 30 = 0 THEN NULL ELSE concat('k', id) END AS key"
     )
-    table = facts.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("top"))
-    if lookup == "plain":
-        joined = joins.salted_lookup(facts, table.drop("n"), ["key"], spread="id")
-    else:
-        joined = joins.hot_salted_lookup(facts, table, ["key"], spread="id", rows="n", hot_rows=100)
+    table = facts.groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    rows = "n" if counted else None
+    joined = joins.split_lookup(facts, table if counted else table.drop("n"), ["key"], "id", rows, part_rows=100)
     assert joined.columns == ["key", "id", "top"]
     expected = facts.join(table.drop("n"), "key", "left")
     assert sorted(map(tuple, joined.collect()), key=repr) == sorted(
         map(tuple, expected.select("key", "id", "top").collect()), key=repr
     )
-    parts = joined.where("key = 'hot'").selectExpr("count(distinct id) AS n").first().n
-    assert parts == 1000
+
+
+def test_parts_of_a_hot_key_follow_its_count(spark):
+    facts = spark.range(9000).selectExpr("id", "IF(id < 8100, 'hot', concat('k', id)) AS key")
+    table = facts.groupBy("key").agg(F.max("id").alias("top"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.shuffle.partitions", "30")
+    try:
+        joined = joins.split_lookup(facts, table, ["key"], "id", part_rows=50)
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sum(sizes) == 9000 and max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
 
 
 RESULTS = [

@@ -128,3 +128,49 @@ def test_changed_files_carry_both_contents(spark):
     assert {r.path: (r.change, r.before, r.after) for r in rows} == {
         "a": ("removed", "1", ""), "b": ("modified", "2", "3"), "d": ("added", "", "4"),
     }
+
+
+def test_a_file_that_many_patches_touch(spark):
+    """Half of all patches are hunks of one long file; blocks of its lines end inside hunks."""
+    rng = random.Random(8)
+    lines = [f"line {i} {rng.randrange(5)}" for i in range(2_000)]
+    rows, wanted = [], {}
+    for i in range(200):
+        size = rng.randint(1, 600)
+        at = rng.choice([0, 255, 256, 511, rng.randrange(len(lines) - size)])
+        old = lines[at : at + size]
+        if i % 3 == 0:
+            old[rng.randrange(size)] = "other"
+        path = "popular" if i % 2 else f"f{i}"
+        hunk = "".join(f"-{line}\n" for line in old)
+        rows.append((i, "s", f"--- a/{path}\n+++ b/{path}\n@@ -{at + 1},{size} +0,0 @@\n{hunk}"))
+        wanted[i] = bool(i % 3) and path == "popular"
+    made = spark.createDataFrame(rows, "patch_id int, snapshot_id string, patch string")
+    files = spark.createDataFrame([("s", "popular", "\n".join(lines))], "snapshot_id string, path string, content string")
+    assert {r.patch_id: r.applies for r in patches.patches_applying(made, files).collect()} == wanted
+
+
+@pytest.mark.parametrize("operator", ["change_set", "patches_applying"])
+def test_contents_are_not_shuffled(spark, operator, tmp_path):
+    folder = str(tmp_path / "files")
+    spark.createDataFrame([("s", "p", "a\nb", 1)], "snapshot_id string, path string, content string, patch_id int").write.parquet(folder)
+    files = spark.read.parquet(folder)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        if operator == "change_set":
+            frame = patches.change_set(files, files)
+        else:
+            frame = patches.patches_applying(files.withColumnRenamed("content", "patch"), files)
+        plan = frame._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    nodes, exchanged, scans = [plan.initialPlan()], [], 0
+    while nodes:
+        node = nodes.pop()
+        children = [node.children().apply(i) for i in range(node.children().size())]
+        nodes += children
+        scans += node.nodeName().startswith("Scan")
+        if node.nodeName() == "Exchange":
+            exchanged += [str(a.name()) for i in range(node.output().size()) for a in [node.output().apply(i)]]
+    assert scans == 2 and exchanged and not {"content", "patch"} & {*exchanged}
