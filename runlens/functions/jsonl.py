@@ -75,3 +75,60 @@ def typed(record: str, schema: T.StructType) -> list[Column]:
 def object_line(*columns: str) -> Column:
     """JSON text of a row; null fields are written, as readers tell null from missing."""
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
+# Pieces that a JSON text is made of: strings, marks, and what stands between them.
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_TOKEN = rf'(?s){_STRING}|[{{}}\[\],:]|[^"{{}}\[\],:]++'
+_MEMBER = rf'(?s)^(\s*({_STRING})\s*:\s*)(.*?)(\s*)$'
+# A fold over the pieces that keeps the place, the depth, and where the members of the outer object end.
+_CUTS = """aggregate(regexp_extract_all({line}, '{token}', 0),
+    named_struct('at', 0, 'depth', 0, 'cuts', CAST(array() AS array<int>)),
+    (s, t) -> named_struct(
+        'at', s.at + length(t),
+        'depth', s.depth + CASE WHEN t IN ('{{', '[') THEN 1 WHEN t IN ('}}', ']') THEN -1 ELSE 0 END,
+        'cuts', CASE WHEN s.depth = 1 AND t IN (',', '}}') OR s.depth = 0 AND t = '{{' THEN array_append(s.cuts, s.at) ELSE s.cuts END),
+    s -> s.cuts)"""
+
+
+def with_members(line: str, values: dict[str, Column]) -> Column:
+    """The JSON object in a text column with other values (JSON texts) for some keys of the outer object.
+
+    Only the spans of these values are replaced, in each place where such a key stands, and keys that
+    are missing are added at the end; all other text stays as it is. The column has to hold one JSON object.
+    """
+    text = F.col(line)
+    cuts = F.expr(_CUTS.format(line=line, token=_TOKEN.replace("\\", "\\\\")))
+
+    def between(ends: Column) -> Column:
+        start = lambda i: F.get(ends, i) + 2
+        spans = lambda i: F.substr(text, start(i), F.get(ends, i + 1) - start(i) + 1)
+        return F.transform(F.sequence(F.lit(0), F.size(ends) - 2), spans)
+
+    def part(member: Column, n: int) -> Column:
+        return F.regexp_extract(member, _MEMBER, n)
+
+    def key_of(member: Column) -> Column:
+        return F.get(F.from_json(F.concat(F.lit("["), part(member, 2), F.lit("]")), "array<string>"), F.lit(0))
+
+    def replaced(member: Column) -> Column:
+        key, out = key_of(member), member
+        for name, value in values.items():
+            out = F.when(key == name, F.concat(part(member, 1), value, part(member, 4))).otherwise(out)
+        return out
+
+    members = F.get(F.transform(F.array(cuts), between), F.lit(0))
+    # An object without members has one empty span.
+    own = F.filter(members, lambda member: F.trim(member) != "")
+    keys = F.transform(own, key_of)
+    added = [F.when(~F.array_contains(keys, name), F.concat(F.lit(f'"{name}":'), value)) for name, value in values.items()]
+    rest = F.filter(F.array(*added), lambda member: member.isNotNull())
+    return F.concat(F.lit("{"), F.array_join(F.concat(F.transform(own, replaced), rest), ","), F.lit("}"))
+
+
+def json_value(value: Column, kind: T.DataType) -> Column:
+    """A value as JSON text; null is ``null``."""
+    if isinstance(kind, T.StringType):
+        listed = F.to_json(F.array(value), {"ignoreNullFields": "false"})
+        return F.substr(listed, F.lit(2), F.length(listed) - 2)
+    return F.coalesce(value.cast("string"), F.lit("null"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runlens import schemas
-from runlens.functions.jsonl import parse_objects
+from runlens.functions.jsonl import json_value, parse_objects, with_members
 from runlens.functions.text import COMPLETED, base_name, failure_kind, is_completed, strip
 from runlens.operators.joins import split_lookup
 
@@ -81,25 +82,17 @@ def update_log_lines(lines: DataFrame, updates: DataFrame) -> DataFrame:
     """The whole log as lines, updated; input columns ``line`` and ``seq``.
 
     Lines without an update are passed on as they are, faulty ones included (only
-    stripped). Updated lines keep every other field, known or not.
+    stripped). In updated lines four values change and nothing else: numbers keep their
+    spelling, keys their order, and what is nested or unknown stays.
     """
-    parsed = parse_objects(lines, "map<string,variant>", "_entry")
-    file = F.col("_entry")["prediction_file"].try_cast("string")
-    named = parsed.withColumn("name", F.nullif(base_name(file), F.lit(NO_FILE)))
-    joined = split_lookup(named, latest_updates(updates), ["name"], spread="seq")
-    new = _updated_fields()
-    pairs = [part for key, value in new.items() for part in (F.lit(key), value.cast("variant"))]
-    entries = F.map_entries("_entry")
-    later = lambda i: F.slice(entries, i + F.lit(2), F.size(entries))
-    # Of a repeated key the last value counts.
-    others = F.filter(
-        entries,
-        lambda e, i: ~e["key"].isin(*new) & ~F.exists(later(i), lambda other: other["key"] == e["key"]),
-    )
-    rewritten = F.to_json(F.map_concat(F.map_from_entries(others), F.create_map(*pairs)))
-    kept = F.when(F.col("_entry").isNull(), strip(F.col("line"))).otherwise(F.col("line"))
+    parsed = parse_objects(lines, "struct<prediction_file:string>", "_entry")
+    named = parsed.withColumn("name", F.nullif(base_name(F.col("_entry.prediction_file")), F.lit(NO_FILE)))
+    joined = split_lookup(named, latest_updates(updates), ["name"], spread="seq").withColumn("_text", strip(F.col("line")))
+    kinds = {"evaluation_score": T.DoubleType(), "evaluation_time": T.DoubleType()}
+    new = {key: json_value(value, kinds.get(key, T.StringType())) for key, value in _updated_fields().items()}
+    kept = F.when(F.col("_entry").isNull(), F.col("_text")).otherwise(F.col("line"))
     return joined.select(
-        "seq", F.when(F.col("_update").isNotNull(), rewritten).otherwise(kept).alias("line")
+        "seq", F.when(F.col("_update").isNotNull(), with_members("_text", new)).otherwise(kept).alias("line")
     )
 
 

@@ -19,6 +19,10 @@ MIN_RUNS_FOR_HISTORY = 2
 MIN_RUNS_FOR_TREND = 3
 # ----------------------------------------------------------------------------
 
+# Scores as exact numbers, whose sums do not depend on their order, and sums of them. A sum
+# times half the number of runs (up to 10**11) still fits into 38 digits.
+SCORE, SUM, RUNS = "decimal(16,12)", "decimal(26,12)", "decimal(11,0)"
+
 
 def _completed(runs: DataFrame, by: Sequence[str]) -> DataFrame:
     """Completed runs with their sort key; a missing time sorts first, a missing score is 0."""
@@ -76,7 +80,7 @@ def _narrowed(sums: DataFrame, by: Sequence[str], keys: Sequence[str], bucket: s
         "_runs",
         "_all",
         left.alias("_needed"),
-        (F.col("_first") + F.col("_score_before")).alias("_first"),
+        (F.col("_first") + F.col("_score_before")).cast(SUM).alias("_first"),
     )
 
 
@@ -98,6 +102,9 @@ def score_trend(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     earlier half is narrowed down from the day to the second to the chunk; each step
     sees one group's days, seconds of a day, or chunks of a second. Only the runs of
     that last chunk, at most 2**20 per group, are looked at one by one.
+
+    Scores are added as decimals of twelve digits behind the point, and the direction is that of the exact
+    difference. A score that is no number below 10,000 counts as 0.
     """
     by = list(by)
     done = _completed(runs, by)
@@ -108,14 +115,14 @@ def score_trend(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         seq_chunk(F.col("seq"), done.schema["seq"].dataType).alias("_chunk"),
         F.col("seq").alias("_row"),
         F.lit(1).alias("_n"),
-        F.col("score").alias("_score"),
+        F.coalesce(F.col("score").try_cast(SCORE), F.lit(0).cast(SCORE)).alias("_score"),
     )
-    total = [F.sum("_n").alias("_n"), F.sum("_score").alias("_score")]
+    total = [F.sum("_n").alias("_n"), F.sum("_score").cast(SUM).alias("_score")]
     sums = rows.groupBy(*by, "_day", "_second", "_chunk").agg(*total)
 
     group = Window.partitionBy(*by)
     days = sums.groupBy(*by, "_day").agg(*total).withColumns(
-        {"_runs": F.sum("_n").over(group), "_all": F.sum("_score").over(group), "_first": F.lit(0.0)}
+        {"_runs": F.sum("_n").over(group), "_all": F.sum("_score").over(group).cast(SUM), "_first": F.lit(0).cast(SUM)}
     )
     days = days.withColumn("_needed", F.floor(F.col("_runs") / 2))
     keys = [*by, "_day"]
@@ -132,20 +139,23 @@ def score_trend(runs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     halves = last.where(F.col("_place") <= F.col("_needed")).groupBy(*by).agg(
         F.first("_runs").alias("runs"),
         F.first("_all").alias("_all"),
-        (F.first("_first") + F.sum("_score")).alias("_first"),
+        (F.first("_first") + F.sum("_score")).cast(SUM).alias("_first"),
     )
     enough = n >= MIN_RUNS_FOR_TREND
+    second = (F.col("_all") - F.col("_first")).cast(SUM)
     averages = halves.where(n >= MIN_RUNS_FOR_HISTORY).select(
         *by,
         "runs",
-        F.when(enough, F.col("_first") / half).alias("first_avg"),
-        F.when(enough, (F.col("_all") - F.col("_first")) / (n - half)).alias("second_avg"),
+        F.when(enough, F.col("_first").cast("double") / half).alias("first_avg"),
+        F.when(enough, second.cast("double") / (n - half)).alias("second_avg"),
+        # Both averages times both numbers of runs.
+        F.when(enough, second * half.cast(RUNS)).alias("_second_share"),
+        F.when(enough, F.col("_first") * (n - half).cast(RUNS)).alias("_first_share"),
     )
-    # What is left beyond nine digits comes from adding doubles in another order.
-    trend = F.round(F.col("second_avg") - F.col("first_avg"), 9)
-    direction = F.when(F.col("trend") > 0, "improving").when(F.col("trend") < 0, "declining")
-    return averages.withColumn("trend", trend).withColumn(
-        "direction", direction.when(F.col("trend") == 0, "stable")
+    first, second = F.col("_first_share"), F.col("_second_share")
+    direction = F.when(second > first, "improving").when(second < first, "declining").when(second == first, "stable")
+    return averages.select(
+        *by, "runs", "first_avg", "second_avg", (F.col("second_avg") - F.col("first_avg")).alias("trend"), direction.alias("direction")
     )
 
 

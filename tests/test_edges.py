@@ -26,11 +26,36 @@ def test_hunk_numbers_beyond_the_range_are_a_problem(spark):
     assert problems == [None, "hunk number is too large"]
 
 
+UPDATES = [("f.jsonl", 50.0, 1.0, "2025-01-01 00:00:00")], "name string, score double, seconds double, evaluated_at string"
+
+
+def rewritten(spark, *texts):
+    lines = spark.createDataFrame([(text, i) for i, text in enumerate(texts)], "line string, seq long")
+    return [r.line for r in update_log_lines(lines, spark.createDataFrame(*UPDATES)).orderBy("seq").collect()]
+
+
 def test_a_repeated_key_keeps_its_last_value(spark):
-    line = '{"prediction_file":"p/f.jsonl","a":1,"a":2}'
-    lines = spark.createDataFrame([(line, 0)], "line string, seq long")
-    updates = spark.createDataFrame(
-        [("f.jsonl", 50.0, 1.0, "2025-01-01 00:00:00")], "name string, score double, seconds double, evaluated_at string"
-    )
-    done = json.loads(update_log_lines(lines, updates).select(F.col("line")).first().line)
+    done = json.loads(rewritten(spark, '{"prediction_file":"p/f.jsonl","a":1,"a":2}')[0])
     assert done["a"] == 2 and done["evaluation_score"] == 50.0 and done["prediction_file"] == "p/f.jsonl"
+
+
+def test_a_rewritten_line_changes_in_four_values_only(spark):
+    long = ("x" + chr(92) + "n" + chr(92) + chr(34)) * 20_000
+    lines = [
+        '{"prediction_file": "p/f.jsonl", "a": 33.0, "b" : 1e5, "c":NaN, "evaluation_score": null , "z": {"evaluation_score": [1.0, {"q": "}"}]}}',
+        '\t{ "evaluation_status":"pending","prediction_file":"f.jsonl","notes":"a, \\"b\\": {[","evaluation_time":12} ',
+        f'{{"prediction_file":"f.jsonl","notes":"{long}"}}',
+        '{"prediction_file":"other.jsonl","evaluation_score":1.50}',
+        '{"\\u0065valuation_score":7,"prediction_file":"f.jsonl","list":[],"empty":{}}',
+        '{"prediction_file":"None","a":1}',
+    ]
+    end = '"evaluation_time":1.0,"evaluation_status":"completed","evaluation_timestamp":"2025-01-01 00:00:00"}'
+    assert rewritten(spark, *lines) == [
+        lines[0][:-1].replace("null", "50.0", 1) + "," + end,
+        '{ "evaluation_status":"completed","prediction_file":"f.jsonl","notes":"a, \\"b\\": {[","evaluation_time":1.0,'
+        '"evaluation_score":50.0,"evaluation_timestamp":"2025-01-01 00:00:00"}',
+        lines[2][:-1] + ',"evaluation_score":50.0,' + end,
+        lines[3],
+        lines[4][:-1].replace(":7", ":50.0") + "," + end,
+        lines[5],
+    ]

@@ -213,3 +213,17 @@ def test_equal_scores_are_stable_however_they_add_up(runs_of):
     for count in (3, 7, 10):
         runs = runs_of(*[done(100 / 3, timestamp=f"2025-01-{i % 4 + 1:02d} 00:00:00") for i in range(count)])
         assert only(trends.score_trend(runs)).direction == "stable"
+
+
+def test_the_smallest_change_has_a_direction(runs_of):
+    for last, direction in ((10.0000000008, "improving"), (9.9999999992, "declining"), (10.0, "stable")):
+        runs = runs_of(*[done(score, timestamp=f"2025-01-0{i + 1}") for i, score in enumerate([10.0, 10.0, 10.0, last])])
+        assert only(trends.score_trend(runs)).direction == direction
+
+
+def test_odd_numbers_of_runs_and_odd_scores(runs_of):
+    third = 100 / 3
+    runs = runs_of(*[done(score, timestamp=f"2025-01-0{i + 1}") for i, score in enumerate([third, third, third, third, third])])
+    assert only(trends.score_trend(runs)).direction == "stable"
+    runs = runs_of(*[done(score, timestamp=f"2025-01-0{i + 1}") for i, score in enumerate([5.0, float("nan"), 1e300])])
+    assert only(trends.score_trend(runs)).direction == "declining"

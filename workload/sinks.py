@@ -72,25 +72,34 @@ def score_log_append(spark: SparkSession, sf: str) -> DataFrame:
     SELECT seq, prediction_file, notes, coalesce(evaluation_status, '') IN ('completed', 'pending', 'skipped') AS readable,
            CASE WHEN evaluated_at IS NULL THEN evaluation_status ELSE 'completed' END AS evaluation_status,
            round(coalesce(score, evaluation_score), 4) AS evaluation_score,
-           round(coalesce(seconds, evaluation_time), 4) AS evaluation_time, evaluated_at AS evaluation_timestamp
+           round(coalesce(seconds, evaluation_time), 4) AS evaluation_time, evaluated_at AS evaluation_timestamp,
+           true AS spelt_as_before
     FROM entries WHERE evaluation_status IN ('completed', 'pending', 'skipped')
     UNION ALL
-    SELECT count(*), NULL, NULL, false, NULL, NULL, NULL, NULL FROM entries
+    SELECT count(*), NULL, NULL, false, NULL, NULL, NULL, NULL, NULL FROM entries
     WHERE coalesce(evaluation_status, '') NOT IN ('completed', 'pending', 'skipped')""")
 def score_log_rewrite(spark: SparkSession, sf: str) -> DataFrame:
-    """The updated log written as text and read again; faulty lines are only counted here."""
+    """The updated log written as text and read again; faulty lines are only counted here.
+
+    Each line also has unknown fields with numbers spelt in their own ways and a nested one,
+    which an update must leave as they are, and its key.
+    """
+    odd = '"odd":33.0,"big":1e5,"none":NaN,"nested":{"evaluation_score":[1.0, "}"]},'
     path = scratch_path(spark, "rewritten")
-    lines = _log_lines(spark, sf).withColumn("line", F.regexp_replace("line", r"^  \{", '{"order":0,'))
-    # The key travels in an unknown field, which an update must keep.
-    keyed = lines.withColumn("line", F.expr("replace(line, '\"order\":0', concat('\"order\":', seq))"))
+    start = F.concat(F.lit('{"order":'), F.col("seq").cast("string"), F.lit(f",{odd}"))
+    keyed = _log_lines(spark, sf).withColumn(
+        "line", F.when(F.col("line").startswith("  {"), F.concat(start, F.substring("line", 4, 1_000_000))).otherwise(F.col("line"))
+    )
     writers.write_lines(status.update_log_lines(keyed, view(spark, sf, "updates")), path)
     back = logs.read_lines(spark, path)
-    order = F.get_json_object("line", "$.order").cast("bigint")
-    good = logs.parse_score_log(back.select(order.alias("key"), "line"))
+    order = F.regexp_extract("line", r'"order":(\d+),', 1).try_cast("bigint")
+    spelt = F.contains("line", F.lit(f",{odd}")).alias("spelt_as_before")
+    good = logs.parse_score_log(back.select(order.alias("key"), spelt, "line"))
     shown = ("prediction_file", "notes", "evaluation_status", "evaluation_score", "evaluation_time", "evaluation_timestamp")
-    rows = good.select(F.col("key").alias("seq"), *shown, F.lit(True).alias("readable"))
+    rows = good.select(F.col("key").alias("seq"), *shown, F.lit(True).alias("readable"), "spelt_as_before")
     faulty = logs.faulty_lines(back).agg(F.count(F.lit(1)).alias("seq")).select(
-        "seq", *[F.lit(None).cast(schemas.RUN[c].dataType).alias(c) for c in shown], F.lit(False).alias("readable")
+        "seq", *[F.lit(None).cast(schemas.RUN[c].dataType).alias(c) for c in shown], F.lit(False).alias("readable"),
+        F.lit(None).cast("boolean").alias("spelt_as_before"),
     )
     return rounded(rows.unionByName(faulty))
 
