@@ -153,11 +153,10 @@ def response_changes(text: Column) -> Column:
     return F.concat(diffs, mentions)
 
 
-def result_score(text: Column, with_resolved_line: bool = True) -> Column:
-    """Score stated in harness output: struct(resolved, total, percent, no_total), null if none is.
+def result_cases(text: Column, with_resolved_line: bool = True) -> list[Column]:
+    """What each pattern finds in harness output, or null: struct(resolved, total, percent, no_total).
 
-    The patterns are tried in order over the whole text, so an early pattern wins
-    over one that matches further left. ``with_resolved_line`` adds the pattern
+    No pattern matches beyond the end of a line. ``with_resolved_line`` adds the pattern
     known only when a run is scored right after it was generated; it states no total,
     which is then the number of predictions.
     """
@@ -183,7 +182,16 @@ def result_score(text: Column, with_resolved_line: bool = True) -> Column:
         cases.append(outcome(pattern, number(pattern, 1), number(pattern, 2), no_percent))
     rate = found(SUCCESS_RATE, 1).try_cast("double")
     cases.append(outcome(SUCCESS_RATE, no_number, no_number, rate))
-    return F.coalesce(*cases)
+    return cases
+
+
+def result_score(text: Column, with_resolved_line: bool = True) -> Column:
+    """Score stated in harness output, null if none is.
+
+    The patterns are tried in order over the whole text, so an early pattern wins
+    over one that matches further left.
+    """
+    return F.coalesce(*result_cases(text, with_resolved_line))
 
 
 def render_template(template: str, values: dict[str, Column]) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.text import has_text, result_score
+from runlens.functions.text import has_text, result_cases, result_score
 from runlens.operators.joins import split_lookup
 from runlens.operators.status import DEFAULT_SUBMISSION_MODEL, MODEL_SUFFIX
 
@@ -68,6 +68,20 @@ def run_submissions(predictions: DataFrame, backend: Column, by: Sequence[str])
     return _submission(predictions, F.concat(backend, F.lit(MODEL_SUFFIX)), by)
 
 
+def stated_in_lines(lines: DataFrame, on: str, after_run: bool = False) -> DataFrame:
+    """What harness output states, from its lines (``line``, and ``seq`` in their order).
+
+    Each line is matched by itself, and a run keeps the first hit of each pattern, combined before
+    the shuffle; so output of any length is read by many tasks and never becomes one row.
+    """
+    cases = result_cases(F.col("line"), with_resolved_line=after_run)
+    names = [f"_case_{i}" for i in range(len(cases))]
+    hits = lines.select(on, "seq", *[case.alias(name) for case, name in zip(cases, names)])
+    hits = hits.where(F.coalesce(*names).isNotNull())
+    first = [F.min_by(name, F.when(F.col(name).isNotNull(), F.col("seq"))).alias(name) for name in names]
+    return hits.groupBy(on).agg(*first).select(on, F.coalesce(*names).alias("_text"))
+
+
 def evaluation_scores(
     runs: DataFrame,
     reports: DataFrame,
@@ -78,13 +92,17 @@ def evaluation_scores(
     """Evaluation score per run from its report or, failing that, the harness output.
 
     ``runs`` has the run's key and ``predictions``, its number of predictions, which
-    stands in where a report has no total. Adds ``resolved``, ``total``, ``score``
+    stands in where a report has no total. ``texts`` has the output as one text per run
+    (``output``), or as its lines (``line`` and ``seq``). Adds ``resolved``, ``total``, ``score``
     and ``update_log``; the latter is false where nothing is to be logged: without a
     score, or for a bare percentage found when a past file is evaluated.
     ``after_run`` selects the rules of scoring right after a run.
     """
     # Output texts are long: only what they state goes through the join.
-    stated = texts.select(on, result_score(F.col("output"), with_resolved_line=after_run).alias("_text"))
+    if "line" in texts.columns:
+        stated = stated_in_lines(texts, on, after_run)
+    else:
+        stated = texts.select(on, result_score(F.col("output"), with_resolved_line=after_run).alias("_text"))
     reported = reports.select(on, "resolved_instances", "total_instances")
     parsed = runs.join(reported, on, "left").join(stated, on, "left")
     report_total = F.coalesce(F.nullif("total_instances", F.lit(0)), F.col("predictions"))

@@ -72,12 +72,14 @@ def evaluate(
     force: bool = False,
     dry_run: bool = False,
     update_log: bool = True,
+    on: str = "path",
 ) -> Evaluation:
     """Score the selected files from the harness's reports and output.
 
-    ``predictions``, ``reports``, ``texts`` and ``times`` (name, seconds) are keyed
-    by file ``name``; running the harness itself lies between the submissions and
-    these inputs. ``evaluated_at`` is the time to log. ``updates`` is ready for
+    ``predictions``, ``reports``, ``texts`` and ``times`` (with ``seconds``) are keyed
+    by the file's path, or another column ``on`` of the selected files; files of one name in two folders are
+    two files. Running the harness itself lies between the submissions and
+    these inputs. ``evaluated_at`` is the time to log. ``updates`` goes by name, as the log does, and is ready for
     :func:`runlens.operators.status.apply_updates`.
     """
     overview = status.evaluation_status(selected, runs)
@@ -85,15 +87,15 @@ def evaluate(
     if dry_run:
         return Evaluation(overview, totals)
     todo = files_to_evaluate(selected, runs, force)
-    rows = predictions.join(todo.select("name"), "name", "left_semi")
+    rows = predictions.join(todo.select(on), on, "left_semi")
     sized = todo.withColumnRenamed("instances", "predictions")
-    scored = scoring.evaluation_scores(sized, reports, texts, on="name").join(times, "name", "left")
+    scored = scoring.evaluation_scores(sized, reports, texts, on=on).join(times, on, "left")
     stamp = F.lit(evaluated_at) if isinstance(evaluated_at, str) else evaluated_at
     updates = scored.where(F.col("update_log")).select("name", "score", "seconds", stamp.alias("evaluated_at"))
     return Evaluation(
         selected=overview,
         totals=totals,
-        submissions=scoring.submissions(rows, ["name"]),
+        submissions=scoring.submissions(rows, [on]),
         scored=scored,
         updates=updates if update_log else updates.where(F.lit(False)),
         summary=scoring.batch_summary(scored),

@@ -104,6 +104,12 @@ def read_result_texts(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def read_result_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Harness output by lines, for files of any length; the run id is the file's name without its ending."""
+    run_id = F.regexp_extract("path", r"([^/]*?)(?:\.[^./]*)?$", 1)
+    return read_lines(spark, path).select(run_id.alias("run_id"), "seq", "line")
+
+
 def parse_raw_results(documents: DataFrame) -> DataFrame:
     """Raw model runs, one JSON document each; documents that are no JSON object are left out."""
     return only_objects(documents, schemas.RAW_RESULT.simpleString(), "_raw", "text").select("_raw.*")

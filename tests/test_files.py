@@ -238,7 +238,7 @@ def test_evaluation_from_selection_to_log(spark, files, runs_of):
     times = spark.createDataFrame([(first, 5.0), (second, 7.0)], "name string, seconds double")
     chosen = select_files(files, date_range=("2025-09-01", "2025-09-02")).withColumn("instances", F.lit(2).cast("bigint"))
     args = (chosen, runs, predictions, reports, texts, times, "2025-10-01 00:00:00")
-    result = evaluate(*args)
+    result = evaluate(*args, on="name")
     assert {r.name: r.status for r in result.selected.collect()} == {first: "completed", second: "pending"}
     assert tuple(result.totals.first()) == (2, 4)
     assert {r.instance_id for r in result.submissions.collect()} == {"j", "k"}
@@ -246,11 +246,11 @@ def test_evaluation_from_selection_to_log(spark, files, runs_of):
     logged = status.apply_updates(runs, result.updates).orderBy("seq").collect()
     assert [(r.evaluation_score, r.evaluation_status) for r in logged] == [(1.0, "completed"), (50.0, "completed")]
     assert result.summary.first().average_score is None
-    forced = evaluate(*args, force=True)
+    forced = evaluate(*args, force=True, on="name")
     assert {r.name: r.score for r in forced.scored.collect()} == {first: 50.0, second: 50.0}
     assert forced.summary.first().total_seconds == 12.0
-    assert evaluate(*args, update_log=False).updates.count() == 0
-    dry = evaluate(*args, dry_run=True)
+    assert evaluate(*args, update_log=False, on="name").updates.count() == 0
+    dry = evaluate(*args, dry_run=True, on="name")
     assert dry.scored is None and dry.selected.count() == 2
 
 
@@ -300,3 +300,18 @@ def test_catalog_lists_whole_names_only(spark):
     names = ["predictions_20250902_163415.jsonl", "old_predictions_20250902_163415.jsonl"]
     lines = spark.createDataFrame([(f"p/{n}", n, '{"instance_id":"a"}') for n in names], "path string, name string, line string")
     assert [r.name for r in file_catalog(lines).collect()] == names[:1]
+
+
+def test_files_of_one_name_in_two_folders_are_two(spark, runs_of):
+    name = "predictions_20250902_000000.jsonl"
+    files = spark.createDataFrame([(f"a/{name}", name, 4), (f"b/{name}", name, 10)], "path string, name string, instances bigint")
+    predictions = spark.createDataFrame(
+        [(f"a/{name}", 1, "i", "m", "x"), (f"b/{name}", 1, "j", "n", "y")],
+        "path string, seq int, instance_id string, model string, prediction string",
+    )
+    reports = spark.createDataFrame([(f"a/{name}", 1, 4)], "path string, resolved_instances bigint, total_instances bigint")
+    texts = spark.createDataFrame([(f"b/{name}", "5 of 10 instances")], "path string, output string")
+    times = spark.createDataFrame([(f"a/{name}", 1.0), (f"b/{name}", 2.0)], "path string, seconds double")
+    result = evaluate(files, runs_of({"notes": "x"}), predictions, reports, texts, times, "2025-10-01 00:00:00")
+    assert {r.path[0]: (r.score, r.seconds) for r in result.scored.collect()} == {"a": (25.0, 1.0), "b": (50.0, 2.0)}
+    assert {(r.path[0], r.model_name_or_path) for r in result.submissions.collect()} == {("a", "m"), ("b", "n")}

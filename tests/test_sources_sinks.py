@@ -4,9 +4,11 @@ import csv
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from runlens import schemas
-from runlens.operators import status
+from runlens.functions.text import result_score
+from runlens.operators import scoring, status
 from runlens.operators.selection import in_cohort, last_runs, newest_first
 from runlens.operators.trends import score_trend
 from runlens.session import scratch_path
@@ -223,3 +225,20 @@ def test_prediction_arrays(spark, tmp_path):
         ("predictions_20250902_163415.json", "a", "m", "p\nq", None),
         ("predictions_20250902_163415.json", "b", None, "", "e"),
     ]
+
+
+def test_output_by_lines_states_what_the_whole_text_states(spark, tmp_path):
+    outputs = {
+        "run.1": "start\nresolved 1 of 2\n\nthen 5 of 10 instances\n3 of 4 instances\n",
+        "run.2": "Success Rate: 7%\r\nInstances resolved: 3\n",
+        "run.3": "nothing\n" * 50,
+        "run.4": "5 of\n10 instances",
+    }
+    for name, text in outputs.items():
+        (tmp_path / f"{name}.log").write_text(text)
+    lines = logs.read_result_lines(spark, str(tmp_path))
+    for after_run in (False, True):
+        stated = scoring.stated_in_lines(lines, "run_id", after_run)
+        found = {r.run_id: r._text for r in stated.collect()}
+        whole = logs.read_result_texts(spark, str(tmp_path)).select("run_id", result_score(F.col("output"), after_run).alias("t"))
+        assert found == {r.run_id: r.t for r in whole.collect() if r.t}

@@ -251,3 +251,78 @@ def run_outcomes(spark: SparkSession, sf: str) -> DataFrame:
         runs, predictions, rows.where("has_report"), rows.select("run_id", "output")
     )
     return rounded(outcome)
+
+
+@query(f"""
+    SELECT run_id, predictions, seconds, resolved, total, round(score, 4) AS score,
+           score IS NOT NULL AS update_log
+    FROM {_scores(True)}""")
+def evaluation_scores_from_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores from harness output that comes as lines, with others in between."""
+    rows = view(spark, sf, "evaluated")
+    lines = F.concat(F.array(F.lit("loading")), F.split("output", "\n"), F.array(F.lit(""), F.lit("bye")))
+    output = rows.select("run_id", F.posexplode(lines).alias("seq", "line"))
+    runs = rows.select("run_id", "predictions", "seconds")
+    return rounded(scoring.evaluation_scores(runs, rows.where("has_report"), output, after_run=True))
+
+
+def _evaluation(spark: SparkSession, sf: str, **options) -> evaluation.Evaluation:
+    """All files evaluated at once: a report, a stated score or a bare percentage, by their sizes."""
+    files, kind = _files(spark, sf), F.col("instances") % 3
+    sizes, none = F.col("instances"), F.lit(None).cast("bigint")
+    reports = files.where(kind == 0).select("path", (sizes % 7).alias("resolved_instances"), none.alias("total_instances"))
+    stated = F.concat((sizes % 5).cast("string"), F.lit(" of "), sizes.cast("string"), F.lit(" instances"))
+    texts = files.select("path", F.when(kind == 1, stated).otherwise("Success Rate: 12.5%").alias("output"))
+    times = files.select("path", (sizes * 2.0).alias("seconds"))
+    lines = view(spark, sf, "file_lines", ("lineitem",)).select(
+        "path",
+        F.struct("l_linenumber", "l_partkey").alias("seq"),
+        F.col("l_partkey").cast("string").alias("instance_id"),
+        F.lit(None).cast("string").alias("model"),
+        F.lit("x").alias("prediction"),
+    )
+    runs = view(spark, sf, "runs")
+    return evaluation.evaluate(files, runs, lines, reports, texts, times, "2025-01-01 00:00:00", **options)
+
+
+_FILE_SCORES = f"""
+    (SELECT f.path, f.name, f.instances, 2e0 * f.instances AS seconds, coalesce(s.status, 'unknown') AS status,
+            f.instances % 3 < 2 AS update_log,
+            CASE WHEN f.instances % 3 = 2 THEN 12.5 WHEN f.instances = 0 THEN 0
+                 WHEN f.instances % 3 = 0 THEN (f.instances % 7) * 100e0 / f.instances
+                 ELSE (f.instances % 5) * 100e0 / f.instances END AS score
+     FROM {{files}} f LEFT JOIN {_FIRST_STATUS} s ON s.name = f.name)"""
+
+
+@query(f"""
+    SELECT path, name, instances, seconds, round(score, 4) AS score, update_log
+    FROM {_FILE_SCORES} WHERE status <> 'completed'""")
+def evaluated_files(spark: SparkSession, sf: str) -> DataFrame:
+    scored = _evaluation(spark, sf).scored
+    return rounded(scored.select("path", "name", F.col("predictions").alias("instances"), "seconds", "score", "update_log"))
+
+
+@query(f"SELECT path, name, instances, seconds, round(score, 4) AS score, update_log FROM {_FILE_SCORES}")
+def evaluated_files_forced(spark: SparkSession, sf: str) -> DataFrame:
+    scored = _evaluation(spark, sf, force=True).scored
+    return rounded(scored.select("path", "name", F.col("predictions").alias("instances"), "seconds", "score", "update_log"))
+
+
+@query(f"SELECT name, round(score, 4) AS score, seconds FROM {_FILE_SCORES} WHERE status <> 'completed' AND update_log")
+def evaluation_updates(spark: SparkSession, sf: str) -> DataFrame:
+    """Updates for the log; an evaluation that must not update it adds none."""
+    updates = _evaluation(spark, sf).updates.unionByName(_evaluation(spark, sf, update_log=False).updates)
+    return rounded(updates.select("name", "score", "seconds"))
+
+
+@query(f"""
+    SELECT l.path, cast(l.l_partkey AS varchar) AS instance_id, 'claude-code' AS model_name_or_path, 'x' AS model_patch
+    FROM {{file_lines}} l JOIN {_FILE_SCORES} f ON f.path = l.path WHERE f.status <> 'completed'""")
+def evaluation_submissions(spark: SparkSession, sf: str) -> DataFrame:
+    return _evaluation(spark, sf).submissions
+
+
+@query("SELECT cast(patch_id AS varchar) AS instance_id, 'claude-code' AS model, patch AS prediction FROM {patches}")
+def prediction_records(spark: SparkSession, sf: str) -> DataFrame:
+    patches = view(spark, sf, "patches", ("documents",))
+    return status.prediction_rows(patches.select(F.col("patch_id").cast("string").alias("instance_id"), "patch"))

@@ -221,3 +221,35 @@ def streaming_generation_score(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "scores")
     keep_scores(arriving, ["run"], f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return rounded(current_scores(spark, f"{path}/out", ["run"]))
+
+
+@query("""
+    SELECT concat('predictions_', strftime(l_shipdate, '%Y%m'), '01_000000.jsonl') AS name,
+           concat('task__task-', cast(l_partkey AS varchar)) AS instance_id, 'claude-code' AS model,
+           CASE WHEN l_returnflag = 'N' THEN NULL ELSE l_returnflag END AS prediction FROM lineitem""")
+def prediction_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Predictions read back from the JSON lines of one file per month, broken lines left out."""
+    path = scratch_path(spark, "prediction-files")
+    flag = F.col("l_returnflag")
+    rows = view(spark, sf, "lineitem").select(
+        F.concat(F.lit("predictions_"), F.date_format("l_shipdate", "yyyyMM"), F.lit("01_000000.jsonl")).alias("file"),
+        F.concat(F.lit("task__task-"), F.col("l_partkey").cast("string")).alias("instance_id"),
+        F.lit("claude-code").alias("model"),
+        F.when(flag != "N", flag).alias("prediction"),
+        (F.col("l_linenumber") == 1).alias("_broken"),
+    )
+    whole = rows.withColumn("value", object_line("instance_id", "model", "prediction")).select("file", "_broken", "value")
+    broken = whole.where("_broken").select("file", F.expr("substr(value, 1, length(value) - 1)").alias("value"))
+    whole.select("file", "value").unionByName(broken).repartition("file").write.partitionBy("file").text(path)
+    found = predictions.read_predictions(spark, path)
+    return found.select("name", "instance_id", "model", "prediction")
+
+
+@query("SELECT instance_id, repo, problem_statement FROM {instances} WHERE length(repo) % 2 = 0")
+def instance_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Task instances exported as Parquet with their splits as folders, one split read."""
+    path = scratch_path(spark, "instances")
+    rows = view(spark, sf, "instances")
+    split = F.when(F.length("repo") % 2 == 0, "test").otherwise("dev")
+    rows.withColumn("split", split).write.partitionBy("split").parquet(path)
+    return predictions.read_instances(spark, path, split="test").select("instance_id", "repo", "problem_statement")
