@@ -18,7 +18,8 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, F.when(part.isNotNull(), 0.0)).otherwise(share)
 
 
-def _score_columns(frame: DataFrame) -> DataFrame:
+def score_columns(frame: DataFrame) -> DataFrame:
+    """Add the generation score to counts of instances and of generated ones."""
     return frame.withColumn("generation_score", percent(F.col("generated"), F.col("instances")))
 
 
@@ -31,7 +32,7 @@ def generation_scores(predictions: DataFrame, by: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("instances"),
         F.count_if(has_text(F.col("prediction"))).alias("generated"),
     )
-    return _score_columns(counted)
+    return score_columns(counted)
 
 
 def score_runs(runs: DataFrame, predictions: DataFrame, on: Sequence[str]) -> DataFrame:

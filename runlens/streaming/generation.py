@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from runlens import schemas
 from runlens.functions.jsonl import as_text, only_objects, typed
-from runlens.operators.scoring import generation_scores
+from runlens.operators.scoring import generation_scores, score_columns
 
 
 def prediction_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -30,37 +30,70 @@ def prediction_stream(spark: SparkSession, path: str, files_per_batch: int = 100
 
 
 def keep_scores(
-    predictions: DataFrame,
-    by: Sequence[str],
-    path: str,
-    checkpoint: str,
-    transform: Callable[[DataFrame], DataFrame] | None = None,
-    **trigger,
+    predictions: DataFrame, by: Sequence[str], path: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
-    """Start a query that writes the scores of changed runs after every batch.
+    """Start a query that keeps the counts of every run up to date after each batch.
 
-    State holds two counts per run, so it grows with runs and not with predictions.
-    A batch overwrites its own folder, so repeating it after a failure adds nothing.
+    State is a table of two counts per run, so it grows with runs and not with predictions.
+    Batch ``n`` merges its own counts into generation ``n - 1`` and writes generation ``n``;
+    older ones than these two are dropped. A repeated batch starts from the same generation
+    again and replaces its own, so it adds nothing. A new checkpoint begins anew.
     """
-    scores = generation_scores(predictions, by)
-    scores = transform(scores) if transform else scores
 
-    def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+    def merge(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        counts = generation_scores(batch, by).select(*by, *_COUNTS)
+        if number:
+            before = spark.read.schema(counts.schema).parquet(_generation(path, number - 1))
+            both = before.unionByName(counts)
+            counts = both.groupBy(*by).agg(*[F.sum(c).alias(c) for c in _COUNTS])
+        counts.write.mode("overwrite").parquet(_generation(path, number))
+        files, folder = _folder(spark, path)
+        for other in _generations(files, folder):
+            if other not in (number - 1, number):
+                files.delete(_child(folder, other), True)
 
     return (
-        scores.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(write)
+        predictions.writeStream.option("checkpointLocation", checkpoint)
+        .foreachBatch(merge)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
 
 
-def current_scores(spark: SparkSession, path: str, by: Sequence[str]) -> DataFrame:
-    """The latest scores of every run from what :func:`keep_scores` has written."""
-    history = spark.read.option("basePath", path).parquet(path)
-    values = [c for c in history.columns if c not in (*by, "batch")]
-    return history.groupBy(*by).agg(
-        *[F.max_by(F.col(c), F.col("batch")).alias(c) for c in values]
-    )
+def current_scores(spark: SparkSession, path: str) -> DataFrame:
+    """The scores of every run from the newest whole generation that :func:`keep_scores` has written.
+
+    One generation is read, however many batches there were. A reader may take its time for as
+    long as one more batch, since the generation before the newest is kept.
+    """
+    files, folder = _folder(spark, path)
+    whole = [n for n in _generations(files, folder) if files.exists(_child(folder, f"{n}/_SUCCESS"))]
+    if not whole:
+        raise ValueError(f"no scores have been written to {path}")
+    return score_columns(spark.read.parquet(_generation(path, max(whole))))
+
+
+_COUNTS = ("instances", "generated")
+
+
+def _generation(path: str, number: int | str) -> str:
+    return f"{path}/generation={number}"
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    """The file system of a path, as Spark sees it, and the path in it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), folder
+
+
+def _child(folder, number: int | str):
+    return folder.suffix(_generation("", number))
+
+
+def _generations(files, folder) -> list[int]:
+    """The numbers of the generations there are, whole or not; at most three."""
+    if not files.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(folder)]
+    return [int(name.removeprefix("generation=")) for name in names if name.startswith("generation=")]

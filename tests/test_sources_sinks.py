@@ -2,6 +2,7 @@
 
 import csv
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,7 +202,7 @@ def test_stream_gives_the_scores_of_a_batch(spark, tmp_path):
         stream = generation.prediction_stream(spark, source, files_per_batch=2)
         generation.keep_scores(stream, ["name"], out, checkpoint).awaitTermination()
         return {r.name: (r.instances, r.generated, r.generation_score)
-                for r in generation.current_scores(spark, out, ["name"]).collect()}
+                for r in generation.current_scores(spark, out).collect()}
 
     first, second = "predictions_20250901_000000.jsonl", "predictions_20250902_000000.jsonl"
     append([(first, f"i{k}", "x" if k % 2 else " ") for k in range(10)])
@@ -211,6 +212,38 @@ def test_stream_gives_the_scores_of_a_batch(spark, tmp_path):
                 generation_scores(predictions.read_predictions(spark, source), ["name"]).collect()}
     assert run() == expected == {first: (11, 6, 6 / 11 * 100), second: (1, 0, 0.0)}
     assert run() == expected
+    for _ in range(3):
+        append([(second, "i2", "x")])
+        run()
+    assert run() == {first: (11, 6, 6 / 11 * 100), second: (4, 3, 75.0)}
+    assert len([f for f in os.listdir(out) if f.startswith("generation=")]) == 2
+
+
+def test_a_repeated_batch_changes_nothing(spark, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("predictions", "scores", "checkpoint"))
+    name = "predictions_20250901_000000.jsonl"
+
+    def run():
+        stream = generation.prediction_stream(spark, source)
+        generation.keep_scores(stream, ["name"], out, checkpoint).awaitTermination()
+        return [(r.name, r.instances, r.generated) for r in generation.current_scores(spark, out).collect()]
+
+    for k in range(3):
+        writers.append_predictions(spark.createDataFrame([(name, f"i{k}", "x")], "prediction_file string, instance_id string, prediction string"), source)
+        assert run() == [(name, k + 1, k + 1)]
+    # Lost after its rows were written and before it was noted as done.
+    for file in os.listdir(f"{checkpoint}/commits"):
+        if file.strip(".").startswith("2"):
+            os.remove(f"{checkpoint}/commits/{file}")
+    assert run() == [(name, 3, 3)]
+    # Lost while its rows were written: the generation before counts until it is repeated.
+    os.remove(f"{out}/generation=2/_SUCCESS")
+    assert generation.current_scores(spark, out).first().instances == 2
+
+
+def test_scores_before_the_first_batch_are_an_error(spark, tmp_path):
+    with pytest.raises(ValueError):
+        generation.current_scores(spark, str(tmp_path / "none"))
 
 
 def test_scratch_lies_in_the_shared_folder(spark):

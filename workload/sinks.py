@@ -11,7 +11,7 @@ from runlens.operators import scoring, status
 from runlens.session import scratch_path
 from runlens.sinks import writers
 from runlens.sources import logs, predictions
-from runlens.streaming.generation import current_scores, keep_scores
+from runlens.streaming.generation import current_scores, keep_scores, prediction_stream
 from workload.adapters import view
 from workload.catalog import query, rounded
 
@@ -220,7 +220,28 @@ def streaming_generation_score(spark: SparkSession, sf: str) -> DataFrame:
     )
     path = scratch_path(spark, "scores")
     keep_scores(arriving, ["run"], f"{path}/out", f"{path}/checkpoint").awaitTermination()
-    return rounded(current_scores(spark, f"{path}/out", ["run"]))
+    return rounded(current_scores(spark, f"{path}/out"))
+
+
+@query("""
+    SELECT concat('predictions_', strftime(l_shipdate, '%Y%m'), '01_000000.jsonl') AS name, count(*) AS instances,
+           count(*) FILTER (WHERE l_returnflag <> 'N') AS generated,
+           round(count(*) FILTER (WHERE l_returnflag <> 'N') * 100e0 / count(*), 4) AS generation_score
+    FROM lineitem GROUP BY 1""")
+def streamed_file_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of prediction files that grow by one append per return flag, read as JSON lines in several batches."""
+    path = scratch_path(spark, "arriving")
+    flag = F.col("l_returnflag")
+    rows = view(spark, sf, "lineitem").select(
+        F.concat(F.lit("predictions_"), F.date_format("l_shipdate", "yyyyMM"), F.lit("01_000000.jsonl")).alias("prediction_file"),
+        F.concat(F.lit("task__task-"), F.col("l_partkey").cast("string")).alias("instance_id"),
+        F.when(flag != "N", flag).otherwise(" ").alias("prediction"),
+    )
+    for part in ("A", "R", " "):
+        writers.append_predictions(rows.where(F.col("prediction") == part), f"{path}/in")
+        arriving = prediction_stream(spark, f"{path}/in", files_per_batch=60)
+        keep_scores(arriving, ["name"], f"{path}/out", f"{path}/checkpoint").awaitTermination()
+    return rounded(current_scores(spark, f"{path}/out"))
 
 
 @query("""
