@@ -54,6 +54,19 @@ def not_objects(lines: DataFrame, element: str, line: str = "line") -> DataFrame
     return dropped.select(*lines.columns)
 
 
+# A number or a word as Python's reader takes them.
+_BARE = r"^(?:-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|NaN|-?Infinity)$"
+
+
+def is_value(line: str) -> Column:
+    """Whether a line holds one JSON value that is not null; bare numbers and texts count."""
+    text = strip(F.col(line))
+    values = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", _STRICT)
+    bounded = [text.startswith(left) & text.endswith(right) for left, right in ("{}", "[]", '""')]
+    shaped = bounded[0] | bounded[1] | bounded[2] | text.rlike(_BARE)
+    return F.coalesce(shaped & (F.size(values) == 1) & F.get(values, F.lit(0)).isNotNull(), F.lit(False))
+
+
 def as_text(schema: T.StructType) -> str:
     """The schema with every field read as text, so that an odd value spoils only itself."""
     return "struct<" + ",".join(f"`{f.name}`:string" for f in schema.fields) + ">"
@@ -81,16 +94,60 @@ def object_line(*columns: str) -> Column:
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _TOKEN = rf'(?s){_STRING}|[{{}}\[\],:]|[^"{{}}\[\],:]++'
 _MEMBER = rf'(?s)^(\s*({_STRING})\s*:\s*)(.*?)(\s*)$'
-# A fold over the pieces that keeps the place, the depth, and where the members of the outer object end.
+# A fold over the pieces that keeps the place, the depth, and where the members of the outer object or array end.
 _CUTS = """aggregate(regexp_extract_all({line}, '{token}', 0),
-    named_struct('at', 0, 'depth', 0, 'cuts', CAST(array() AS array<int>)),
+    named_struct('at', 0, 'depth', 0, 'ended', false, 'cuts', CAST(array() AS array<int>)),
     (s, t) -> named_struct(
         'at', s.at + length(t),
         'depth', s.depth + CASE WHEN t IN ('{{', '[') THEN 1 WHEN t IN ('}}', ']') THEN -1 ELSE 0 END,
-        'cuts', CASE WHEN s.depth = 1 AND t IN (',', '}}') OR s.depth = 0 AND t = '{{' THEN array_append(s.cuts, s.at) ELSE s.cuts END),
+        'ended', s.ended OR s.depth = 1 AND t IN ('}}', ']'),
+        'cuts', CASE WHEN NOT s.ended AND (s.depth = 1 AND t IN (',', '{closing}') OR s.depth = 0 AND t = '{opening}')
+            THEN array_append(s.cuts, s.at) ELSE s.cuts END),
     s -> s.cuts)"""
 
 
+def _cuts(line: str, opening: str, closing: str) -> Column:
+    token = _TOKEN.replace("\\", "\\\\")
+    return F.expr(_CUTS.format(line=line, token=token, opening=opening, closing=closing))
+
+
+def _between(text: Column, cuts: Column) -> Column:
+    """The texts between neighbouring cuts."""
+    start = lambda i: F.get(cuts, i) + 2
+    spans = lambda i: F.substr(text, start(i), F.get(cuts, i + 1) - start(i) + 1)
+    return F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), spans)
+
+
+def array_elements(documents: DataFrame, text: str = "text") -> DataFrame:
+    """The elements of documents that hold one JSON array each, as texts, without parsing them.
+
+    Replaces the text by ``ordinal``, ``element`` and ``line``. Arrays are cut by the depth of brackets, so a
+    faulty element spoils only itself. ``line`` is the element again, or null for text that is no element: all
+    of a document that is no array, and what follows the last cut (text after an array, the rest of one that
+    does not end). Empty and blank documents have one such row, null texts none.
+    """
+    kept = [c for c in documents.columns if c != text]
+    cut = documents.withColumn("_text", strip(F.col(text))).withColumn("_cuts", _cuts("_text", "[", "]"))
+    # A text that does not start as an array may have brackets further on.
+    cuts = F.when(F.col("_text").startswith("["), F.col("_cuts")).otherwise(F.array().cast("array<int>"))
+    piece = lambda element, line: F.struct(element.alias("element"), line.alias("line"))
+
+    def pieces(cuts: Column) -> Column:
+        whole = F.when(F.size(cuts) > 1, _between(F.col("_text"), cuts)).otherwise(F.array().cast("array<string>"))
+        last = F.coalesce(F.get(cuts, F.size(cuts) - 1), F.lit(-1))
+        rest = F.substr(F.col("_text"), last + 2)
+        # The bracket that ends the array is no text of its own.
+        ended = F.substr(F.col("_text"), last + 1, F.lit(1)) == "]"
+        empty = (F.size(whole) == 1) & ended & (strip(F.get(whole, F.lit(0))) == "")
+        inner = F.transform(F.when(empty, F.array().cast("array<string>")).otherwise(whole), lambda e: piece(strip(e), strip(e)))
+        left = F.when(ended & (strip(rest) == ""), F.array().cast("array<struct<element:string,line:string>>"))
+        return F.concat(inner, left.otherwise(F.array(piece(strip(rest), F.lit(None).cast("string")))))
+
+    found = F.get(F.transform(F.array(cuts), pieces), F.lit(0))
+    shown = F.when(F.col("_text").isNotNull(), found)
+    return cut.select(*kept, F.posexplode(shown).alias("ordinal", "_piece")).select(*kept, "ordinal", "_piece.*")
+
+
 def with_members(line: str, values: dict[str, Column]) -> Column:
     """The JSON object in a text column with other values (JSON texts) for some keys of the outer object.
 
@@ -98,12 +155,7 @@ def with_members(line: str, values: dict[str, Column]) -> Column:
     are missing are added at the end; all other text stays as it is. The column has to hold one JSON object.
     """
     text = F.col(line)
-    cuts = F.expr(_CUTS.format(line=line, token=_TOKEN.replace("\\", "\\\\")))
-
-    def between(ends: Column) -> Column:
-        start = lambda i: F.get(ends, i) + 2
-        spans = lambda i: F.substr(text, start(i), F.get(ends, i + 1) - start(i) + 1)
-        return F.transform(F.sequence(F.lit(0), F.size(ends) - 2), spans)
+    cuts = _cuts(line, "{", "}")
 
     def part(member: Column, n: int) -> Column:
         return F.regexp_extract(member, _MEMBER, n)
@@ -117,7 +169,7 @@ def with_members(line: str, values: dict[str, Column]) -> Column:
             out = F.when(key == name, F.concat(part(member, 1), value, part(member, 4))).otherwise(out)
         return out
 
-    members = F.get(F.transform(F.array(cuts), between), F.lit(0))
+    members = F.get(F.transform(F.array(cuts), lambda ends: _between(text, ends)), F.lit(0))
     # An object without members has one empty span.
     own = F.filter(members, lambda member: F.trim(member) != "")
     keys = F.transform(own, key_of)

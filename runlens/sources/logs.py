@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,21 +21,25 @@ def _file_order(path: Column) -> Column:
     return F.concat_ws("\n", F.regexp_replace(padded, r"0{0,19}(\d{20,})", "$1"), path)
 
 
-def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Lines of text files with their position.
+def read_lines(
+    spark: SparkSession, path: str | list[str], wanted: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """Lines of text files with their position; ``wanted`` tells by a file's path whether to open it.
 
     ``seq`` orders lines by file, block and line, files by the numbers in their names.
     A block is read by one task from top to bottom, so the order holds however Spark
     spreads blocks over tasks.
     """
+    file = F.col("_metadata.file_path")
     return (
         spark.read.option("recursiveFileLookup", "true")
         .text(path)
+        .where(F.lit(True) if wanted is None else wanted(file))
         .select(
             F.col("value").alias("line"),
-            F.col("_metadata.file_path").alias("path"),
+            file.alias("path"),
             F.struct(
-                _file_order(F.col("_metadata.file_path")).alias("file"),
+                _file_order(file).alias("file"),
                 F.col("_metadata.file_block_start").alias("block"),
                 F.monotonically_increasing_id().alias("line"),
             ).alias("seq"),
@@ -115,6 +121,11 @@ def parse_raw_results(documents: DataFrame) -> DataFrame:
     return only_objects(documents, schemas.RAW_RESULT.simpleString(), "_raw", "text").select("_raw.*")
 
 
+def faulty_results(documents: DataFrame) -> DataFrame:
+    """The documents that :func:`parse_raw_results` leaves out, for reporting."""
+    return not_objects(documents, schemas.RAW_RESULT.simpleString(), "text")
+
+
 def read_raw_results(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_raw_results(read_documents(spark, path))
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens import schemas
-from runlens.functions.jsonl import as_text, only_objects, parse_objects, typed
+from runlens.functions.jsonl import array_elements, as_text, is_value, not_objects, only_objects, typed
 from runlens.functions.text import RUN_NAME_PATTERN, name_timestamp
 from runlens.sources.logs import read_documents, read_lines
 
@@ -16,8 +16,10 @@ _FILE_IN_PATH = r"^(.*?([^/=]*\.jsonl))(?:/[^/]*)?$"
 
 
 def _with_file(lines: DataFrame) -> DataFrame:
-    # Spark's file index and its row metadata spell local paths differently.
-    path = F.regexp_replace("path", "^file:/+", "file:/")
+    # Spark spells paths as URIs, in which a plus sign stands for itself; its file index and
+    # its row metadata spell local ones differently.
+    plain = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
+    path = F.regexp_replace(plain, "^file:/+", "file:/")
     return lines.withColumns(
         {
             "name": F.regexp_extract(path, _FILE_IN_PATH, 2),
@@ -43,42 +45,56 @@ def read_predictions(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def parse_prediction_arrays(documents: DataFrame) -> DataFrame:
-    """Predictions from whole files that hold one JSON array each, with their position."""
-    rows = F.from_json("text", f"array<{as_text(schemas.PREDICTION)}>")
+    """Predictions from whole files that hold one JSON array each, with their position; other elements are left out."""
     kept = [c for c in documents.columns if c != "text"]
-    return documents.select(*kept, F.posexplode(rows).alias("ordinal", "_prediction")).select(
+    found = array_elements(documents).drop("element")
+    return only_objects(found, as_text(schemas.PREDICTION), "_prediction").select(
         *kept, "ordinal", *typed("_prediction", schemas.PREDICTION)
     )
 
 
+def faulty_elements(documents: DataFrame) -> DataFrame:
+    """What :func:`parse_prediction_arrays` leaves out, for reporting: elements that are no object, text outside an array."""
+    return not_objects(array_elements(documents), as_text(schemas.PREDICTION)).drop("line")
+
+
 def read_prediction_arrays(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_prediction_arrays(read_documents(spark, path))
 
 
-def listed_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Path and name of every prediction file, empty ones included.
+def _dated(path: Column, first: str | None, last: str | None) -> Column:
+    """Whether the day in a file's name lies between two days, ends included."""
+    day = F.regexp_extract(F.regexp_extract(path, _FILE_IN_PATH, 2), RUN_NAME_PATTERN, 1)
+    after = F.lit(True) if first is None else day >= first.replace("-", "")
+    return after if last is None else after & (day <= last.replace("-", ""))
+
+
+def listed_files(
+    spark: SparkSession, path: str | list[str], first: str | None = None, last: str | None = None
+) -> DataFrame:
+    """Path and name of every prediction file, empty ones included, if given only those dated from ``first`` to ``last``.
 
     An empty file yields no line, so it can only be seen in Spark's own file
     index, whose names are on the driver already. Where the listing itself is too
     long for that, pass a table of files to :func:`file_catalog` instead.
     """
     found = spark.read.option("recursiveFileLookup", "true").text(path).inputFiles()
-    files = spark.createDataFrame([(name,) for name in found], "path string")
+    files = spark.createDataFrame([(name,) for name in found], "path string").where(_dated(F.col("path"), first, last))
     return _with_file(files).select("path", "name").distinct()
 
 
 def file_catalog(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Catalog of prediction files: path, name, time stamp and number of instances.
 
-    Submission copies (``_eval``) and files with a faulty line are left out. A name
+    A line counts if it holds one JSON value other than null. Submission copies
+    (``_eval``) and files with another line are left out. A name
     whose digits are no date keeps a null time stamp. ``files`` (path, name) adds
     files that have no lines.
     """
     whole_name = F.col("name").rlike(r"^predictions_.*\.jsonl$")
     named = whole_name & F.col("name").rlike(RUN_NAME_PATTERN) & ~F.col("path").contains("_eval.jsonl")
-    parsed = parse_objects(lines.where(named), as_text(schemas.PREDICTION), "_prediction")
-    counted = parsed.groupBy("path", "name").agg(
-        F.count("_prediction").alias("instances"), F.count(F.lit(1)).alias("_lines")
+    counted = lines.where(named).groupBy("path", "name").agg(
+        F.count_if(is_value("line")).alias("instances"), F.count(F.lit(1)).alias("_lines")
     )
     if files is not None:
         counted = (
@@ -91,8 +107,18 @@ def file_catalog(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     )
 
 
-def read_file_catalog(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    return file_catalog(read_prediction_lines(spark, path), listed_files(spark, path))
+def read_file_catalog(
+    spark: SparkSession, path: str | list[str], first: str | None = None, last: str | None = None
+) -> DataFrame:
+    """The catalog of a folder, or of its files dated from ``first`` to ``last`` (such as ``2025-09-02``).
+
+    Files outside these days are never opened: Spark drops them from its listing by the day in their path.
+    """
+    lines = _with_file(read_lines(spark, path, lambda file: _dated(file, first, last)))
+    found = file_catalog(lines, listed_files(spark, path, first, last))
+    if first is None and last is None:
+        return found
+    return found.where(F.col("ts").isNotNull())
 
 
 def read_instances(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:

@@ -260,6 +260,74 @@ def test_prediction_arrays(spark, tmp_path):
     ]
 
 
+def test_a_faulty_element_spoils_only_itself(spark):
+    one, two = '{"instance_id": "a", "prediction": "], {\\\\\\"["}', '{"instance_id": "b"}'
+    documents = {
+        f"[{one}, 5, {two}]": (["a", "b"], ["5"]),
+        f'  [{one},"{{}}",null,[{two}],{{"x":[1,{{}}]}}]\n': (["a", None], ['"{}"', "null", f"[{two}]"]),
+        f"[{one}, {{bad}}, {two}]": (["a", "b"], ["{bad}"]),
+        f"[{one},": (["a"], [""]),
+        f"[{one}, {two}": (["a"], [two]),
+        f"[{one}] {two}": (["a"], [two]),
+        f"[{one}] [{two}, {two}]": (["a"], [f"[{two}, {two}]"]),
+        f"[{one},]": (["a"], [""]),
+        f"[,{one}]": (["a"], [""]),
+        one: ([], [one]),
+        "": ([], [""]),
+        "x [1]": ([], ["x [1]"]),
+        "[": ([], [""]),
+        "[]": ([], []),
+        " [ ] ": ([], []),
+        "[" + ",".join([one] * 3000) + "]": (["a"] * 3000, []),
+    }
+    frame = spark.createDataFrame(list(enumerate(documents)) + [(99, None)], "name int, text string")
+    good = predictions.parse_prediction_arrays(frame).orderBy("name", "ordinal").collect()
+    bad = predictions.faulty_elements(frame).orderBy("name", "ordinal").collect()
+    assert predictions.faulty_elements(frame).columns == ["name", "ordinal", "element"]
+    for number, (text, (ids, faults)) in enumerate(documents.items()):
+        assert [r.instance_id for r in good if r.name == number] == ids, text[:80]
+        assert [r.element for r in bad if r.name == number] == faults, text[:80]
+    assert not [r for r in good + bad if r.name == 99]
+
+
+def test_faulty_results_are_listed(spark):
+    frame = spark.createDataFrame([("a", '{"instance_id": "i"}'), ("b", "{"), ("c", "[1]"), ("d", "")], "name string, text string")
+    assert sorted(r.name for r in logs.faulty_results(frame).collect()) == ["b", "c", "d"]
+    assert logs.parse_raw_results(frame.drop("name")).count() == 1
+
+
+def test_bare_values_count_and_dates_prune_files(spark, tmp_path):
+    good = json.dumps({"instance_id": "i"}) + "\n"
+    folder = tmp_path / "a b+c%20d"
+    folder.mkdir()
+    contents = {
+        "predictions_20250901_000000.jsonl": good,
+        "predictions_20250902_163415.jsonl": good + '5\n"x] y"\n[1, {"a": 2}]\ntrue\n-1.5e3\nNaN\n',
+        "predictions_20250903_000000.jsonl": "",
+        "predictions_20250903_000001.jsonl": good + "null\n",
+        "predictions_20250903_000002.jsonl": good + "5] x\n",
+        "predictions_20250903_000003.jsonl": good + "05\n",
+        "predictions_20250903_000004.jsonl": good + "1, 2\n",
+        "predictions_20250999_000000.jsonl": good,
+        "predictions_20251001_000000.jsonl": good,
+    }
+    for name, content in contents.items():
+        (folder / name).write_text(content)
+    found = predictions.read_file_catalog(spark, str(tmp_path), "2025-09-02", "2025-09-30")
+    assert {(r.name, r.instances) for r in found.collect()} == {
+        ("predictions_20250902_163415.jsonl", 7), ("predictions_20250903_000000.jsonl", 0)}
+    assert {r.path for r in found.collect()} == {f"file:{folder}/{n}" for n in list(contents)[1:3]}
+    everything = predictions.read_file_catalog(spark, str(tmp_path))
+    assert everything.count() == 5 and everything.where("instances = 0").count() == 1
+    # Files outside the days are not opened.
+    lines = logs.read_lines(spark, str(tmp_path), lambda path: predictions._dated(path, "2025-09-02", "2025-09-02"))
+    plan = lines.select("line", "path")
+    assert plan.count() == 7
+    plan._jdf.queryExecution().executedPlan().execute().count()
+    scan = plan._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numFiles").value() == 1
+
+
 def test_output_by_lines_states_what_the_whole_text_states(spark, tmp_path):
     outputs = {
         "run.1": "start\nresolved 1 of 2\n\nthen 5 of 10 instances\n3 of 4 instances\n",

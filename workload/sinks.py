@@ -266,6 +266,65 @@ def prediction_scan(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("name", "instance_id", "model", "prediction")
 
 
+@query("""
+    WITH named AS (
+      SELECT *, concat('predictions_', strftime(l_shipdate, '%Y%m'), '01_000000.json') AS name FROM lineitem)
+    SELECT name, concat('task__task-', cast(l_partkey AS varchar)) AS instance_id,
+           concat('a], {"b":[', l_linestatus, '\\') AS prediction, cast(NULL AS varchar) AS fault FROM named
+    UNION ALL SELECT name, NULL, NULL, cast(l_orderkey AS varchar) FROM named WHERE l_linenumber = 1
+    UNION ALL SELECT DISTINCT name, NULL, NULL, '{"instance_id":' FROM named""")
+def prediction_array_files(spark: SparkSession, sf: str) -> DataFrame:
+    """One array document per month, over many lines, with numbers among the predictions and no end."""
+    path = scratch_path(spark, "array-files")
+    rows = view(spark, sf, "lineitem").select(
+        F.concat(F.lit("predictions_"), F.date_format("l_shipdate", "yyyyMM"), F.lit("01_000000.json")).alias("file"),
+        F.concat(F.lit("task__task-"), F.col("l_partkey").cast("string")).alias("instance_id"),
+        F.concat(F.lit('a], {"b":['), "l_linestatus", F.lit("\\")).alias("prediction"),
+        "l_linenumber", "l_orderkey",
+    )
+    element = F.concat(object_line("instance_id", "prediction"), F.lit(","))
+    number = F.when(F.col("l_linenumber") == 1, F.concat(F.col("l_orderkey").cast("string"), F.lit(",")))
+    pieces = rows.select("file", F.lit(1).alias("place"), F.explode(F.array_compact(F.array(element, number))).alias("value"))
+    ends = rows.select("file").distinct().select(
+        "file", F.explode(F.create_map(F.lit(0), F.lit("["), F.lit(2), F.lit('{"instance_id":'))).alias("place", "value")
+    )
+    lines = pieces.unionByName(ends).repartition("file").sortWithinPartitions("file", "place")
+    lines.select("file", "value").write.partitionBy("file").text(path)
+    documents = logs.read_documents(spark, path).select(F.regexp_extract("path", "file=([^/]*)/", 1).alias("name"), "text")
+    good = predictions.parse_prediction_arrays(documents).select(
+        "name", "instance_id", "prediction", F.lit(None).cast("string").alias("fault")
+    )
+    none = F.lit(None).cast("string")
+    faults = predictions.faulty_elements(documents).select(
+        "name", none.alias("instance_id"), none.alias("prediction"), F.col("element").alias("fault")
+    )
+    return good.unionByName(faults)
+
+
+@query("""
+    SELECT concat('predictions_', strftime(l_shipdate, '%Y%m'), '01_000000.jsonl') AS name,
+           strftime(l_shipdate, '%Y-%m-01 00:00:00') AS ts, count(*) AS instances
+    FROM lineitem WHERE l_shipdate >= date '1995-03-01' AND l_shipdate < date '1996-07-01'
+    GROUP BY 1, 2 HAVING min(l_shipdate) <> date '1995-05-01'""")
+def dated_file_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """The catalog of some months' files; bare numbers count, and a null line spoils its file."""
+    path = scratch_path(spark, "dated-files")
+    value = F.when(F.col("l_linenumber") == 1, F.col("l_orderkey").cast("string")).otherwise(
+        F.to_json(F.struct(F.col("l_partkey").cast("string").alias("instance_id")))
+    )
+    rows = view(spark, sf, "lineitem").select(
+        F.concat(F.lit("predictions_"), F.date_format("l_shipdate", "yyyyMM"), F.lit("01_000000.jsonl")).alias("file"),
+        "l_shipdate",
+        value.alias("value"),
+    )
+    first_days = rows.groupBy("file").agg(F.min("l_shipdate").cast("date").alias("first"))
+    spoilt = first_days.where(F.col("first") == F.lit("1995-05-01").cast("date")).select("file", F.lit("null").alias("value"))
+    whole = rows.select("file", "value").unionByName(spoilt)
+    whole.repartition("file").write.partitionBy("file").text(path)
+    catalog = predictions.read_file_catalog(spark, path, "1995-03-01", "1996-06-30")
+    return catalog.select("name", F.col("ts").cast("string").alias("ts"), "instances")
+
+
 @query("SELECT instance_id, repo, problem_statement FROM {instances} WHERE length(repo) % 2 = 0")
 def instance_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Task instances exported as Parquet with their splits as folders, one split read."""
