@@ -94,58 +94,81 @@ def object_line(*columns: str) -> Column:
 _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _TOKEN = rf'(?s){_STRING}|[{{}}\[\],:]|[^"{{}}\[\],:]++'
 _MEMBER = rf'(?s)^(\s*({_STRING})\s*:\s*)(.*?)(\s*)$'
-# A fold over the pieces that keeps the place, the depth, and where the members of the outer object or array end.
+# A fold over the pieces that keeps the place, the depth, and where the members of the outer object end.
 _CUTS = """aggregate(regexp_extract_all({line}, '{token}', 0),
-    named_struct('at', 0, 'depth', 0, 'ended', false, 'cuts', CAST(array() AS array<int>)),
+    named_struct('at', 0, 'depth', 0, 'cuts', CAST(array() AS array<int>)),
     (s, t) -> named_struct(
         'at', s.at + length(t),
         'depth', s.depth + CASE WHEN t IN ('{{', '[') THEN 1 WHEN t IN ('}}', ']') THEN -1 ELSE 0 END,
-        'ended', s.ended OR s.depth = 1 AND t IN ('}}', ']'),
-        'cuts', CASE WHEN NOT s.ended AND (s.depth = 1 AND t IN (',', '{closing}') OR s.depth = 0 AND t = '{opening}')
-            THEN array_append(s.cuts, s.at) ELSE s.cuts END),
+        'cuts', CASE WHEN s.depth = 1 AND t IN (',', '}}') OR s.depth = 0 AND t = '{{' THEN array_append(s.cuts, s.at) ELSE s.cuts END),
     s -> s.cuts)"""
 
 
-def _cuts(line: str, opening: str, closing: str) -> Column:
-    token = _TOKEN.replace("\\", "\\\\")
-    return F.expr(_CUTS.format(line=line, token=token, opening=opening, closing=closing))
-
-
-def _between(text: Column, cuts: Column) -> Column:
-    """The texts between neighbouring cuts."""
-    start = lambda i: F.get(cuts, i) + 2
-    spans = lambda i: F.substr(text, start(i), F.get(cuts, i + 1) - start(i) + 1)
-    return F.transform(F.sequence(F.lit(0), F.size(cuts) - 2), spans)
+# A text among the elements of an array that may look like an object once its quotes are gone.
+_LIKE_OBJECT = r'[\[,]\s*"\s*[{\\]'
+# A fold over the pieces that numbers them and keeps the numbers of the marks between the elements of the outer
+# array. Numbers are gathered by the hundred, as an array is copied whenever something is added to it.
+_MARKS = """aggregate({pieces},
+    named_struct('at', 0, 'depth', 0, 'ended', false, 'last', CAST(array() AS array<int>), 'full', CAST(array() AS array<array<int>>)),
+    (s, t) -> named_struct(
+        'at', s.at + 1,
+        'depth', s.depth + CASE WHEN t IN ('{{', '[') THEN 1 WHEN t IN ('}}', ']') THEN -1 ELSE 0 END,
+        'ended', s.ended OR s.depth = 1 AND t IN ('}}', ']'),
+        'last', CASE WHEN s.ended OR NOT (s.at = 0 OR s.depth = 1 AND t IN (',', ']')) THEN s.last
+                     WHEN size(s.last) = 100 THEN array(s.at) ELSE array_append(s.last, s.at) END,
+        'full', CASE WHEN size(s.last) = 100 AND NOT s.ended AND s.depth = 1 AND t IN (',', ']')
+                     THEN array_append(s.full, s.last) ELSE s.full END),
+    s -> flatten(array_append(s.full, s.last)))"""
 
 
 def array_elements(documents: DataFrame, text: str = "text") -> DataFrame:
-    """The elements of documents that hold one JSON array each, as texts, without parsing them.
+    """The elements of documents that hold one JSON array each, as texts.
 
-    Replaces the text by ``ordinal``, ``element`` and ``line``. Arrays are cut by the depth of brackets, so a
-    faulty element spoils only itself. ``line`` is the element again, or null for text that is no element: all
+    Replaces the text by ``ordinal``, ``element`` and ``line``. Spark's parser takes whole arrays apart and spells
+    their elements anew; those it can't read, or in which a text may pass for an object, are cut by the depth of
+    brackets, so a faulty element spoils only itself, at many times the cost. ``line`` is the element again, or null for text that is no element: all
     of a document that is no array, and what follows the last cut (text after an array, the rest of one that
     does not end). Empty and blank documents have one such row, null texts none.
     """
     kept = [c for c in documents.columns if c != text]
-    cut = documents.withColumn("_text", strip(F.col(text))).withColumn("_cuts", _cuts("_text", "[", "]"))
-    # A text that does not start as an array may have brackets further on.
-    cuts = F.when(F.col("_text").startswith("["), F.col("_cuts")).otherwise(F.array().cast("array<int>"))
+    token = _TOKEN.replace("\\", "\\\\")
+    # What several expressions need is passed through an explode, or Spark would work it out in each place.
+    stripped = documents.select(*kept, F.explode(F.array(strip(F.col(text)))).alias("_text")).where(F.col("_text").isNotNull())
+    wrapped = F.from_json(F.concat(F.lit("["), F.col("_text"), F.lit("]")), "array<array<string>>", _STRICT)
+    array = F.col("_text").startswith("[") & F.col("_text").endswith("]") & ~F.col("_text").rlike(_LIKE_OBJECT)
+    read = F.when(array & (F.size(wrapped) == 1), F.get(wrapped, F.lit(0)))
+    tried = stripped.select(*kept, "_text", F.explode(F.array(read)).alias("_read"))
+    # A text that is no array is one piece after an empty one, and so its own rest.
+    parts = F.when(F.col("_read").isNull(), F.when(
+        F.col("_text").startswith("["), F.expr(f"regexp_extract_all(_text, '{token}', 0)")
+    ).otherwise(F.array(F.lit(""), "_text")))
+    parted = tried.select(*kept, "_read", F.explode(F.array(parts)).alias("_parts"))
+    marked = parted.select(*kept, "_read", "_parts", F.explode(F.array(F.expr(_MARKS.format(pieces="_parts")))).alias("_marks"))
+
+    count = F.size("_marks") - 1
+    first = lambda i: F.get(F.col("_marks"), i) + 1
+    joined = lambda start, end: strip(F.array_join(F.slice("_parts", start + 1, end - start), ""))
     piece = lambda element, line: F.struct(element.alias("element"), line.alias("line"))
-
-    def pieces(cuts: Column) -> Column:
-        whole = F.when(F.size(cuts) > 1, _between(F.col("_text"), cuts)).otherwise(F.array().cast("array<string>"))
-        last = F.coalesce(F.get(cuts, F.size(cuts) - 1), F.lit(-1))
-        rest = F.substr(F.col("_text"), last + 2)
-        # The bracket that ends the array is no text of its own.
-        ended = F.substr(F.col("_text"), last + 1, F.lit(1)) == "]"
-        empty = (F.size(whole) == 1) & ended & (strip(F.get(whole, F.lit(0))) == "")
-        inner = F.transform(F.when(empty, F.array().cast("array<string>")).otherwise(whole), lambda e: piece(strip(e), strip(e)))
-        left = F.when(ended & (strip(rest) == ""), F.array().cast("array<struct<element:string,line:string>>"))
-        return F.concat(inner, left.otherwise(F.array(piece(strip(rest), F.lit(None).cast("string")))))
-
-    found = F.get(F.transform(F.array(cuts), pieces), F.lit(0))
-    shown = F.when(F.col("_text").isNotNull(), found)
-    return cut.select(*kept, F.posexplode(shown).alias("ordinal", "_piece")).select(*kept, "ordinal", "_piece.*")
+    some = F.sequence(F.lit(0), count - 1)
+    inner = F.when(count > 0, F.transform(some, lambda i: joined(first(i), first(i + 1) - 1))).otherwise(F.array().cast("array<string>"))
+    cut = marked.select(
+        *kept,
+        "_read",
+        inner.alias("_inner"),
+        joined(first(count), F.size("_parts")).alias("_rest"),
+        (F.get(F.col("_parts"), F.get(F.col("_marks"), count)) == "]").alias("_ended"),
+    )
+    inside = F.filter(
+        F.transform("_inner", lambda e: piece(e, e)),
+        lambda p: ~(F.col("_ended") & (F.size("_inner") == 1) & (p["element"] == "")),
+    )
+    outside = F.filter(
+        F.array(piece(F.col("_rest"), F.lit(None).cast("string"))), lambda p: ~(F.col("_ended") & (p["element"] == ""))
+    )
+    whole = F.transform(F.coalesce("_read", F.array().cast("array<string>")), lambda e: F.coalesce(e, F.lit("null")))
+    barrier = cut.select(*kept, F.explode(F.array(F.struct("_read", "_inner", "_rest", "_ended"))).alias("_cut")).select(*kept, "_cut.*")
+    pieces = F.when(F.col("_read").isNotNull(), F.transform(whole, lambda e: piece(e, e))).otherwise(F.concat(inside, outside))
+    return barrier.select(*kept, F.posexplode(pieces).alias("ordinal", "_piece")).select(*kept, "ordinal", "_piece.*")
 
 
 def with_members(line: str, values: dict[str, Column]) -> Column:
@@ -155,7 +178,12 @@ def with_members(line: str, values: dict[str, Column]) -> Column:
     are missing are added at the end; all other text stays as it is. The column has to hold one JSON object.
     """
     text = F.col(line)
-    cuts = _cuts(line, "{", "}")
+    cuts = F.expr(_CUTS.format(line=line, token=_TOKEN.replace("\\", "\\\\")))
+
+    def between(ends: Column) -> Column:
+        start = lambda i: F.get(ends, i) + 2
+        spans = lambda i: F.substr(text, start(i), F.get(ends, i + 1) - start(i) + 1)
+        return F.transform(F.sequence(F.lit(0), F.size(ends) - 2), spans)
 
     def part(member: Column, n: int) -> Column:
         return F.regexp_extract(member, _MEMBER, n)
@@ -169,7 +197,7 @@ def with_members(line: str, values: dict[str, Column]) -> Column:
             out = F.when(key == name, F.concat(part(member, 1), value, part(member, 4))).otherwise(out)
         return out
 
-    members = F.get(F.transform(F.array(cuts), lambda ends: _between(text, ends)), F.lit(0))
+    members = F.get(F.transform(F.array(cuts), between), F.lit(0))
     # An object without members has one empty span.
     own = F.filter(members, lambda member: F.trim(member) != "")
     keys = F.transform(own, key_of)

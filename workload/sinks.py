@@ -272,9 +272,9 @@ def prediction_scan(spark: SparkSession, sf: str) -> DataFrame:
     SELECT name, concat('task__task-', cast(l_partkey AS varchar)) AS instance_id,
            concat('a], {"b":[', l_linestatus, '\\') AS prediction, cast(NULL AS varchar) AS fault FROM named
     UNION ALL SELECT name, NULL, NULL, cast(l_orderkey AS varchar) FROM named WHERE l_linenumber = 1
-    UNION ALL SELECT DISTINCT name, NULL, NULL, '{"instance_id":' FROM named""")
+    UNION ALL SELECT DISTINCT name, NULL, NULL, CASE WHEN name LIKE '%_1994%' THEN '{"instance_id":' ELSE '0' END FROM named""")
 def prediction_array_files(spark: SparkSession, sf: str) -> DataFrame:
-    """One array document per month, over many lines, with numbers among the predictions and no end."""
+    """One array document per month, over many lines, with numbers among the predictions; those of 1994 have no end."""
     path = scratch_path(spark, "array-files")
     rows = view(spark, sf, "lineitem").select(
         F.concat(F.lit("predictions_"), F.date_format("l_shipdate", "yyyyMM"), F.lit("01_000000.json")).alias("file"),
@@ -285,8 +285,9 @@ def prediction_array_files(spark: SparkSession, sf: str) -> DataFrame:
     element = F.concat(object_line("instance_id", "prediction"), F.lit(","))
     number = F.when(F.col("l_linenumber") == 1, F.concat(F.col("l_orderkey").cast("string"), F.lit(",")))
     pieces = rows.select("file", F.lit(1).alias("place"), F.explode(F.array_compact(F.array(element, number))).alias("value"))
+    last = F.when(F.col("file").contains("_1994"), F.lit('{"instance_id":')).otherwise(F.lit("0]"))
     ends = rows.select("file").distinct().select(
-        "file", F.explode(F.create_map(F.lit(0), F.lit("["), F.lit(2), F.lit('{"instance_id":'))).alias("place", "value")
+        "file", F.explode(F.create_map(F.lit(0), F.lit("["), F.lit(2), last)).alias("place", "value")
     )
     lines = pieces.unionByName(ends).repartition("file").sortWithinPartitions("file", "place")
     lines.select("file", "value").write.partitionBy("file").text(path)
