@@ -7,7 +7,6 @@ checked against brute force in the tests.
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -202,7 +201,8 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = f"{shared_folder(spark)}/llm/token-counts-{uuid.uuid4().hex}"
+    # One cache for all runs that share the folder: texts counted before are not encoded again.
+    cache = f"{shared_folder(spark)}/llm/token-counts"
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"), cache)
 
 

@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.llm.common import written
+from runlens.operators.joins import split_lookup
+
+# Rows of one text that meet in one task when counts are looked up; the rows are digests.
+COPIES = 1_000
 
 CACHE = "content binary, tokenizer string, n_tokens long"
 
@@ -72,7 +76,8 @@ def token_counts(
 
     ``cache`` is a folder that exists as a cache table or will become one; what is missing
     is appended to it. Null texts are empty. Null ids, repeated ids and repeated rows each
-    keep their rows. Other columns are ignored.
+    keep their rows, copies of one text as well, however many. An empty table has no rows.
+    Other columns are ignored.
     """
     spark, tokenizer = docs.sparkSession, version(model)
     spark.createDataFrame([], CACHE).write.mode("append").parquet(cache)
@@ -84,12 +89,19 @@ def token_counts(
     misses = wanted.join(known.select("content"), "content", "left_anti").dropDuplicates(["content"])
     new = counted(misses, model).select("content", F.lit(tokenizer).alias("tokenizer"), "n_tokens")
     new.write.mode("append").option("compression", "zstd").parquet(cache)
+    # The place in the table spreads the copies of a text that holds many rows over several tasks.
     rows = written(
-        docs.select(F.col(doc_id).alias("doc_id"), F.octet_length(content).cast("long").alias("n_bytes"), digest.alias("content")),
+        docs.select(
+            F.col(doc_id).alias("doc_id"),
+            F.octet_length(content).cast("long").alias("n_bytes"),
+            digest.alias("content"),
+            F.monotonically_increasing_id().alias("place"),
+        ),
         "digests",
     )
     counts = read_cache(spark, cache).filter(F.col("tokenizer") == tokenizer).dropDuplicates(["content"])
-    return rows.join(counts, "content").select(
+    looked_up = split_lookup(rows, counts.select("content", "n_tokens"), ["content"], "place", part_rows=COPIES)
+    return looked_up.select(
         "doc_id",
         "n_bytes",
         "n_tokens",

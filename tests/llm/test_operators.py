@@ -255,6 +255,26 @@ def test_token_counts(docs, rows, tmp_path):
     assert token_counts.read_cache(docs.sparkSession, cache).count() == len({t for _, t in rows})
 
 
+def test_token_counts_of_many_copies(spark, tmp_path):
+    rows = [(None if i % 3 else i, "one text that has many copies", "x") for i in range(2_500)] + [(1, "another", "y"), (2, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, content string")
+    found = [tuple(r) for r in token_counts.token_counts(docs, tokenizer("piece_bpe_32k.model"), str(tmp_path / "c")).collect()]
+    encode = token_counts.processor(tokenizer("piece_bpe_32k.model")).encode
+    same(found, [(d, len((t or "").encode()), len(encode(t or "")), False) for d, t, _ in rows])
+
+
+def test_the_token_count_query_encodes_nothing_twice(spark, monkeypatch):
+    from runlens.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    first = sorted(map(tuple, queries.QUERIES["op8_token_counts"](spark, sf).collect()))
+    encoded = []
+    counted = token_counts.counted
+    monkeypatch.setattr(token_counts, "counted", lambda misses, model: encoded.append(misses.count()) or counted(misses, model))
+    assert sorted(map(tuple, queries.QUERIES["op8_token_counts"](spark, sf).collect())) == first
+    assert encoded == [0]
+
+
 def test_url_filters(spark):
     pages = spark.createDataFrame(
         [
