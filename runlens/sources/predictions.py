@@ -11,21 +11,37 @@ from runlens.functions.text import RUN_NAME_PATTERN, name_timestamp
 from runlens.sources.logs import read_documents, read_lines
 
 # A prediction file is a plain file, or a folder of part files written by Spark,
-# which may be a partition folder ``column=<name>``.
+# which may be a partition folder ``column=<name>``. Only the last two parts of a path are matched:
+# the pattern tries the name from every letter, which on a long path costs more than parsing a line.
 _FILE_IN_PATH = r"^(.*?([^/=]*\.jsonl))(?:/[^/]*)?$"
 
 
-def _with_file(lines: DataFrame) -> DataFrame:
-    # Spark spells paths as URIs, in which a plus sign stands for itself; its file index and
-    # its row metadata spell local ones differently.
-    plain = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
-    path = F.regexp_replace(plain, "^file:/+", "file:/")
-    return lines.withColumns(
-        {
-            "name": F.regexp_extract(path, _FILE_IN_PATH, 2),
-            "path": F.regexp_extract(path, _FILE_IN_PATH, 1),
-        }
-    )
+def _tail(path: Column) -> Column:
+    return F.substring_index(path, "/", -2)
+
+
+def _file_path(path: Column) -> Column:
+    """The path up to the prediction file's name, or an empty text."""
+    found = F.regexp_extract(_tail(path), _FILE_IN_PATH, 1)
+    folder = F.left(path, F.length(path) - F.length(_tail(path)))
+    return F.when(found == "", found).otherwise(F.concat(folder, found))
+
+
+def file_name(path: Column) -> Column:
+    """Name of the prediction file that a path lies in or names, or an empty text."""
+    return F.regexp_extract(_tail(path), _FILE_IN_PATH, 2)
+
+
+def _decoded(path: Column) -> Column:
+    # Spark spells paths as URIs, in which a plus sign stands for itself.
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.when(path.contains("%"), plain).otherwise(path)
+
+
+def _with_file(rows: DataFrame) -> DataFrame:
+    # Spark's file index and its row metadata spell local paths differently.
+    path = F.regexp_replace(_decoded(F.col("path")), "^file:/+", "file:/")
+    return rows.withColumns({"name": file_name(_decoded(_tail(F.col("path")))), "path": _file_path(path)})
 
 
 def read_prediction_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -64,7 +80,7 @@ def read_prediction_arrays(spark: SparkSession, path: str | list[str]) -> DataFr
 
 def _dated(path: Column, first: str | None, last: str | None) -> Column:
     """Whether the day in a file's name lies between two days, ends included."""
-    day = F.regexp_extract(F.regexp_extract(path, _FILE_IN_PATH, 2), RUN_NAME_PATTERN, 1)
+    day = F.regexp_extract(file_name(path), RUN_NAME_PATTERN, 1)
     after = F.lit(True) if first is None else day >= first.replace("-", "")
     return after if last is None else after & (day <= last.replace("-", ""))
 

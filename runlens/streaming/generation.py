@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from runlens import schemas
 from runlens.functions.jsonl import as_text, only_objects, typed
 from runlens.operators.scoring import generation_scores, score_columns
+from runlens.sources.predictions import file_name
 
 
 def prediction_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -22,7 +23,7 @@ def prediction_stream(spark: SparkSession, path: str, files_per_batch: int = 100
         .load(path)
         .select(
             F.col("value").alias("line"),
-            F.regexp_extract("_metadata.file_path", r"([^/=]*\.jsonl)(?:/[^/]*)?$", 1).alias("name"),
+            file_name(F.col("_metadata.file_path")).alias("name"),
         )
     )
     parsed = only_objects(lines, as_text(schemas.PREDICTION), "_prediction")

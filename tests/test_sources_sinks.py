@@ -343,3 +343,32 @@ def test_output_by_lines_states_what_the_whole_text_states(spark, tmp_path):
         found = {r.run_id: r._text for r in stated.collect()}
         whole = logs.read_result_texts(spark, str(tmp_path)).select("run_id", result_score(F.col("output"), after_run).alias("t"))
         assert found == {r.run_id: r.t for r in whole.collect() if r.t}
+
+
+@pytest.mark.parametrize(
+    "path, name, whole",
+    [
+        ("file:/p/predictions_a.jsonl", "predictions_a.jsonl", "file:/p/predictions_a.jsonl"),
+        ("predictions_a.jsonl", "predictions_a.jsonl", "predictions_a.jsonl"),
+        ("file:/p/x=y/file=a=predictions_a.jsonl/part-0.txt", "predictions_a.jsonl", "file:/p/x=y/file=a=predictions_a.jsonl"),
+        ("file:/p/a.jsonl/b.jsonl", "a.jsonl", "file:/p/a.jsonl"),
+        ("file:/p/a.jsonl/b/c.txt", "", ""),
+        ("file:/p/a.jsonl.txt", "", ""),
+        ("", "", ""),
+    ],
+)
+def test_names_come_from_the_end_of_a_path(spark, path, name, whole):
+    frame = spark.createDataFrame([(path,)], "path string")
+    found = frame.select(predictions.file_name(F.col("path")).alias("n"), predictions._file_path(F.col("path")).alias("p")).first()
+    assert (found.n, found.p) == (name, whole)
+
+
+def test_a_long_folder_adds_nothing_to_the_cost_of_a_name(spark, tmp_path):
+    folder = tmp_path / "a+b%20c"
+    folder.mkdir()
+    (folder / "predictions_20250902_163415.jsonl").write_text('{"instance_id": "i"}\n')
+    read = predictions.read_predictions(spark, str(tmp_path)).select("name", "instance_id")
+    assert [tuple(r) for r in read.collect()] == [("predictions_20250902_163415.jsonl", "i")]
+    # Only the last two parts of a path are matched.
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == plan.count("substring_index(CASE WHEN") > 0
