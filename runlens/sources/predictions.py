@@ -99,6 +99,26 @@ def listed_files(
     return _with_file(files).select("path", "name").distinct()
 
 
+_COUNTS = ("instances", "_lines")
+
+
+def _counted(lines: DataFrame, *by: str) -> DataFrame:
+    return lines.groupBy(*by).agg(F.count_if(is_value("line")).alias("instances"), F.count(F.lit(1)).alias("_lines"))
+
+
+def _named() -> Column:
+    whole_name = F.col("name").rlike(r"^predictions_.*\.jsonl$")
+    return whole_name & F.col("name").rlike(RUN_NAME_PATTERN) & ~F.col("path").contains("_eval.jsonl")
+
+
+def _catalog(counted: DataFrame, files: DataFrame | None) -> DataFrame:
+    if files is not None:
+        counted = files.where(_named()).join(counted, ["path", "name"], "left").na.fill(0, list(_COUNTS))
+    return counted.where(F.col("instances") == F.col("_lines")).select(
+        "path", "name", name_timestamp(F.col("name")).alias("ts"), "instances"
+    )
+
+
 def file_catalog(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Catalog of prediction files: path, name, time stamp and number of instances.
 
@@ -107,20 +127,13 @@ def file_catalog(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     whose digits are no date keeps a null time stamp. ``files`` (path, name) adds
     files that have no lines.
     """
-    whole_name = F.col("name").rlike(r"^predictions_.*\.jsonl$")
-    named = whole_name & F.col("name").rlike(RUN_NAME_PATTERN) & ~F.col("path").contains("_eval.jsonl")
-    counted = lines.where(named).groupBy("path", "name").agg(
-        F.count_if(is_value("line")).alias("instances"), F.count(F.lit(1)).alias("_lines")
-    )
-    if files is not None:
-        counted = (
-            files.where(named)
-            .join(counted, ["path", "name"], "left")
-            .na.fill(0, ["instances", "_lines"])
-        )
-    return counted.where(F.col("instances") == F.col("_lines")).select(
-        "path", "name", name_timestamp(F.col("name")).alias("ts"), "instances"
-    )
+    return _catalog(_counted(lines.where(_named()), "path", "name"), files)
+
+
+def _may_be_listed(file: Column) -> Column:
+    """False for submission copies and what is no prediction file, told by the path as Spark gives it, without decoding."""
+    copy = file.contains("_eval.jsonl/") | (file.endswith("_eval.jsonl") & ~file.contains(".jsonl/"))
+    return file.contains("predictions_") & file.contains(".jsonl") & ~copy
 
 
 def read_file_catalog(
@@ -129,9 +142,13 @@ def read_file_catalog(
     """The catalog of a folder, or of its files dated from ``first`` to ``last`` (such as ``2025-09-02``).
 
     Files outside these days are never opened: Spark drops them from its listing by the day in their path.
+    Lines are counted by the path that Spark gives, so that paths are taken apart once per file and not per line.
     """
-    lines = _with_file(read_lines(spark, path, lambda file: _dated(file, first, last)))
-    found = file_catalog(lines, listed_files(spark, path, first, last))
+    lines = read_lines(spark, path, lambda file: _may_be_listed(file) & _dated(file, first, last))
+    # An explode in between, or Spark would move what is asked of a file's name below the counting.
+    by_path = _counted(lines, "path").select(F.explode(F.array(F.struct("path", *_COUNTS))).alias("_file")).select("_file.*")
+    counted = _with_file(by_path).groupBy("path", "name").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+    found = _catalog(counted, listed_files(spark, path, first, last))
     if first is None and last is None:
         return found
     return found.where(F.col("ts").isNotNull())

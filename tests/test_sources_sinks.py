@@ -129,6 +129,22 @@ def test_catalog_of_written_predictions(spark, tmp_path):
     assert read.count() == 45 and read.where("error is not null").count() == 0
 
 
+def test_catalog_takes_paths_apart_once_per_file(spark, tmp_path):
+    good = '{"instance_id": "i"}\n'
+    for name in ("predictions_20250902_163415.jsonl/a.txt", "predictions_20250902_163415.jsonl/b.txt",
+                 "predictions_20250902_163415_eval.jsonl/a.txt", "predictions_20250903_000000_eval.jsonl",
+                 "predictions_20250904_000000.jsonl/x_eval.jsonl", "predictions_x/other.jsonl"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(good * 2)
+    catalog = predictions.read_file_catalog(spark, str(tmp_path))
+    assert {(r.name, r.instances) for r in catalog.collect()} == {
+        ("predictions_20250902_163415.jsonl", 4), ("predictions_20250904_000000.jsonl", 2)}
+    # What is under the first count runs for every line of the files; it must not decode or match their paths.
+    plan = catalog._jdf.queryExecution().optimizedPlan().toString()
+    per_line = plan[plan.rindex("Aggregate ["):]
+    assert "file_path" in per_line and "UrlCodec" not in per_line and "regexp_extract" not in per_line
+
+
 def test_submissions_are_written_per_run(spark, tmp_path):
     path = str(tmp_path / "out")
     frame = spark.createDataFrame([("r1", "i", "m", "p"), ("r2", "j", "m", None)],
