@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from runlens.functions.text import strip
+from runlens.functions.text import strip, strip_long
 
 _STRICT = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
 
@@ -132,18 +132,24 @@ def array_elements(documents: DataFrame, text: str = "text") -> DataFrame:
     """
     kept = [c for c in documents.columns if c != text]
     token = _TOKEN.replace("\\", "\\\\")
-    # What several expressions need is passed through an explode, or Spark would work it out in each place.
-    stripped = documents.select(*kept, F.explode(F.array(strip(F.col(text)))).alias("_text")).where(F.col("_text").isNotNull())
+    # What several expressions need is passed through an explode or a lambda, or Spark would work it out in each place.
+    stripped = documents.select(*kept, F.explode(F.array(strip_long(F.col(text)))).alias("_text")).where(F.col("_text").isNotNull())
     wrapped = F.from_json(F.concat(F.lit("["), F.col("_text"), F.lit("]")), "array<array<string>>", _STRICT)
     array = F.col("_text").startswith("[") & F.col("_text").endswith("]") & ~F.col("_text").rlike(_LIKE_OBJECT)
-    read = F.when(array & (F.size(wrapped) == 1), F.get(wrapped, F.lit(0)))
-    tried = stripped.select(*kept, "_text", F.explode(F.array(read)).alias("_read"))
+    item = lambda element, unread: F.struct(element.alias("_element"), unread.alias("_unread"))
+    none = F.lit(None).cast("string")
+    # Elements become rows as soon as they are read, so that no array of a long document is copied from row to row.
+    items = F.flatten(F.transform(F.array(F.when(array, wrapped)), lambda w: F.when(
+        (F.size(w) == 1) & F.get(w, F.lit(0)).isNotNull(),
+        F.transform(F.get(w, F.lit(0)), lambda e: item(F.coalesce(e, F.lit("null")), none)),
+    ).otherwise(F.array(item(none, F.col("_text"))))))
+    tried = stripped.select(*kept, F.posexplode(items).alias("_at", "_item")).select(*kept, "_at", "_item.*")
     # A text that is no array is one piece after an empty one, and so its own rest.
-    parts = F.when(F.col("_read").isNull(), F.when(
-        F.col("_text").startswith("["), F.expr(f"regexp_extract_all(_text, '{token}', 0)")
-    ).otherwise(F.array(F.lit(""), "_text")))
-    parted = tried.select(*kept, "_read", F.explode(F.array(parts)).alias("_parts"))
-    marked = parted.select(*kept, "_read", "_parts", F.explode(F.array(F.expr(_MARKS.format(pieces="_parts")))).alias("_marks"))
+    parts = F.when(F.col("_unread").isNotNull(), F.when(
+        F.col("_unread").startswith("["), F.expr(f"regexp_extract_all(_unread, '{token}', 0)")
+    ).otherwise(F.array(F.lit(""), "_unread")))
+    parted = tried.select(*kept, "_at", "_element", F.explode(F.array(parts)).alias("_parts"))
+    marked = parted.select(*kept, "_at", "_element", "_parts", F.explode(F.array(F.expr(_MARKS.format(pieces="_parts")))).alias("_marks"))
 
     count = F.size("_marks") - 1
     first = lambda i: F.get(F.col("_marks"), i) + 1
@@ -153,7 +159,8 @@ def array_elements(documents: DataFrame, text: str = "text") -> DataFrame:
     inner = F.when(count > 0, F.transform(some, lambda i: joined(first(i), first(i + 1) - 1))).otherwise(F.array().cast("array<string>"))
     cut = marked.select(
         *kept,
-        "_read",
+        "_at",
+        "_element",
         inner.alias("_inner"),
         joined(first(count), F.size("_parts")).alias("_rest"),
         (F.get(F.col("_parts"), F.get(F.col("_marks"), count)) == "]").alias("_ended"),
@@ -165,10 +172,12 @@ def array_elements(documents: DataFrame, text: str = "text") -> DataFrame:
     outside = F.filter(
         F.array(piece(F.col("_rest"), F.lit(None).cast("string"))), lambda p: ~(F.col("_ended") & (p["element"] == ""))
     )
-    whole = F.transform(F.coalesce("_read", F.array().cast("array<string>")), lambda e: F.coalesce(e, F.lit("null")))
-    barrier = cut.select(*kept, F.explode(F.array(F.struct("_read", "_inner", "_rest", "_ended"))).alias("_cut")).select(*kept, "_cut.*")
-    pieces = F.when(F.col("_read").isNotNull(), F.transform(whole, lambda e: piece(e, e))).otherwise(F.concat(inside, outside))
-    return barrier.select(*kept, F.posexplode(pieces).alias("ordinal", "_piece")).select(*kept, "ordinal", "_piece.*")
+    fields = ("_at", "_element", "_inner", "_rest", "_ended")
+    barrier = cut.select(*kept, F.explode(F.array(F.struct(*fields))).alias("_cut")).select(*kept, "_cut.*")
+    element = F.col("_element")
+    pieces = F.when(element.isNotNull(), F.array(piece(element, element))).otherwise(F.concat(inside, outside))
+    ordinal = F.when(element.isNotNull(), F.col("_at")).otherwise(F.col("_place")).alias("ordinal")
+    return barrier.select(*kept, "_at", "_element", F.posexplode(pieces).alias("_place", "_piece")).select(*kept, ordinal, "_piece.*")
 
 
 def with_members(line: str, values: dict[str, Column]) -> Column:

@@ -68,6 +68,14 @@ def strip(col: Column) -> Column:
     return F.trim(col, F.lit(WHITE_SPACE))
 
 
+def strip_long(col: Column) -> Column:
+    """Like :func:`strip`, for texts of many megabytes: Spark's trim takes eight bytes of memory per byte at the right."""
+    left, white = F.ltrim(col, F.lit(WHITE_SPACE)), F.lit(WHITE_SPACE)
+    start, end = F.left(left, F.length(left) - 100), F.right(left, F.lit(100))
+    cut = F.rtrim(end, white)
+    return F.when((F.length(left) <= 100) | (cut == ""), F.rtrim(left, white)).otherwise(F.concat(start, cut))
+
+
 def is_completed(status: Column) -> Column:
     return status.eqNullSafe(F.lit(COMPLETED))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens import schemas
-from runlens.functions.jsonl import array_elements, as_text, is_value, not_objects, only_objects, typed
+from runlens.functions.jsonl import array_elements, as_text, is_value, not_objects, only_objects, parse_objects, typed
 from runlens.functions.text import RUN_NAME_PATTERN, name_timestamp
 from runlens.sources.logs import read_documents, read_lines
 
@@ -74,6 +74,14 @@ def faulty_elements(documents: DataFrame) -> DataFrame:
     return not_objects(array_elements(documents), as_text(schemas.PREDICTION)).drop("line")
 
 
+def checked_prediction_arrays(documents: DataFrame) -> DataFrame:
+    """Every element of such files in one pass: a prediction and a null ``fault``, or the faulty text and null fields."""
+    kept = [c for c in documents.columns if c != "text"]
+    parsed = parse_objects(array_elements(documents), as_text(schemas.PREDICTION), "_prediction")
+    fault = F.when(F.col("_prediction").isNull(), F.col("element"))
+    return parsed.select(*kept, "ordinal", *typed("_prediction", schemas.PREDICTION), fault.alias("fault"))
+
+
 def read_prediction_arrays(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_prediction_arrays(read_documents(spark, path))
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runlens import schemas
-from runlens.functions.text import result_score
+from runlens.functions.text import result_score, strip, strip_long
 from runlens.operators import scoring, status
 from runlens.operators.selection import in_cohort, last_runs, newest_first
 from runlens.operators.trends import score_trend
@@ -306,6 +306,36 @@ def test_a_faulty_element_spoils_only_itself(spark):
     assert not [r for r in good + bad if r.name == 99]
 
 
+def test_elements_and_faults_come_from_one_pass(spark):
+    one = '{"instance_id": "a", "prediction": "p"}'
+    texts = [f"[{one}, 5, {one}]", f'[{one}, "{{}}", {{bad}}', one, "", "[]", f"[{one}, {{}}, null]", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "name int, text string")
+    found = predictions.checked_prediction_arrays(frame)
+    good = predictions.parse_prediction_arrays(frame).collect()
+    bad = predictions.faulty_elements(frame).collect()
+    plain = [(r.name, r.ordinal, r.instance_id, r.prediction, None) for r in good]
+    plain += [(r.name, r.ordinal, None, None, r.element) for r in bad]
+    rows = found.select("name", "ordinal", "instance_id", "prediction", "fault").collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, plain)) and len(bad) == 6
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1
+
+
+def test_elements_of_a_long_array_are_rows_before_anything_else(spark):
+    frame = spark.createDataFrame([(0, "[1, 2]")], "name int, text string")
+    plan = predictions.checked_prediction_arrays(frame)._jdf.queryExecution().optimizedPlan().toString()
+    # The array that Spark's parser gives is not passed on from row to row.
+    above = plan[: plan.rindex("posexplode(")]
+    assert above.count("array<array<string>>") == 0 and "_read" not in plan
+
+
+@pytest.mark.parametrize("text", ["", " \n", "a", " a b\t\n", " " * 250, "a" + "\n" * 250, "x" * 300 + " \u3000", " é" * 120 + "  ", None])
+def test_long_texts_are_stripped_as_short_ones_are(spark, text):
+    frame = spark.createDataFrame([(text,)], "text string")
+    one, other = frame.select(strip(F.col("text")), strip_long(F.col("text"))).first()
+    assert one == other
+
+
 def test_faulty_results_are_listed(spark):
     frame = spark.createDataFrame([("a", '{"instance_id": "i"}'), ("b", "{"), ("c", "[1]"), ("d", "")], "name string, text string")
     assert sorted(r.name for r in logs.faulty_results(frame).collect()) == ["b", "c", "d"]

@@ -292,14 +292,7 @@ def prediction_array_files(spark: SparkSession, sf: str) -> DataFrame:
     lines = pieces.unionByName(ends).repartition("file").sortWithinPartitions("file", "place")
     lines.select("file", "value").write.partitionBy("file").text(path)
     documents = logs.read_documents(spark, path).select(F.regexp_extract("path", "file=([^/]*)/", 1).alias("name"), "text")
-    good = predictions.parse_prediction_arrays(documents).select(
-        "name", "instance_id", "prediction", F.lit(None).cast("string").alias("fault")
-    )
-    none = F.lit(None).cast("string")
-    faults = predictions.faulty_elements(documents).select(
-        "name", none.alias("instance_id"), none.alias("prediction"), F.col("element").alias("fault")
-    )
-    return good.unionByName(faults)
+    return predictions.checked_prediction_arrays(documents).select("name", "instance_id", "prediction", "fault")
 
 
 @query("""
