@@ -1,8 +1,10 @@
 """Token ids of whole texts with a tokenizer file, at the cost of their distinct pieces.
 
 The pre-tokenizers of these files never join what stands on both sides of certain single
-blanks and line ends. A text is cut there, new pieces of a group of texts are encoded by
-the tokenizers library, many in one call, and the ids are put together again. The result
+blanks and line ends. A group of texts is cut there by Arrow, which also finds the distinct
+pieces; new ones are encoded by the tokenizers library, many in one call, and Arrow puts the
+ids together again. The pre-tokenizers never join a letter with a mark behind it either, so
+that a piece with marks at its end takes the ids of the piece without them. The result
 equals the ids of the whole text. Memory is bounded by the remembered pieces and the group
 in hand. Pieces are remembered in two generations: when the younger one is full it becomes
 the older one, and what is used again moves back, so that pieces in use stay and others go.
@@ -11,40 +13,39 @@ the older one, and what is used again moves back, so that pieces in use stay and
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 REMEMBERED = 1_400_000  # pieces, of both generations; about 300 MB at most
 LONGEST = 64  # characters of a remembered piece
-GROUP = 1_000_000  # characters of texts that are cut at once
+GROUP = 4_000_000  # characters of texts that are cut at once
 TOGETHER = 50  # pieces in one string, with a special token between them
+MARKS = ",.;:!?%&$*#"  # at the end of a piece, cut off behind a letter
 
 
 class Known(dict):
     """Ids by piece, the younger generation; ``old`` is the older one.
 
-    A look-up of a piece that neither has gives None and notes the piece in ``missing``.
+    A look-up of a piece that neither has gives None.
     """
 
     def __init__(self):
         super().__init__()
         self.old: dict[str, bytes] = {}
-        self.missing: set[str] = set()
 
     def __missing__(self, piece: str) -> bytes | None:
         ids = self.old.pop(piece, None)
-        if ids is None:
-            self.missing.add(piece)
-        else:
+        if ids is not None:
             self[piece] = ids
         return ids
 
     def learn(self, new: dict[str, bytes], most: int) -> None:
         """Remember new pieces, and let go of the older generation if there are too many."""
-        self.missing = set()
         if len(self) + len(new) > most // 2:
             self.old = dict(self)
             self.clear()
@@ -52,15 +53,6 @@ class Known(dict):
         self.update(islice(short, most // 2))
 
 
-def filled(words: list[str], ids: list[bytes | None], new: dict[str, bytes]) -> bytes:
-    """The ids of the words, those that were missing taken from ``new``."""
-    at = -1
-    for _ in range(ids.count(None)):
-        at = ids.index(None, at + 1)
-        ids[at] = new[words[at]]
-    return b"".join(ids)
-
-
 class PieceEncoder:
     """``blanks``: blanks belong to the word behind them; else white space is dropped."""
 
@@ -72,16 +64,20 @@ class PieceEncoder:
         added = self.tokenizer.get_added_tokens_decoder()
         self.special = {token.content: number for number, token in added.items()}
         self.mark, self.mark_id = next(iter(self.special.items()))
+        self.marks = "".join(c for c in MARKS if not any(c in s for s in self.special))
         self.known = Known()
         self.newline = self._plain("\n")
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _encoded(self, pieces: set[str]) -> dict[str, bytes]:
+    def _encoded(self, pieces: Iterable[str]) -> dict[str, bytes]:
         """Ids of each piece as a text of its own."""
-        alone = {p for p in pieces if not p or any(s in p for s in self.special)}
-        joined, ids = list(pieces - alone), {p: self._plain(p) for p in alone}
+        pieces = dict.fromkeys(pieces)
+        everything = "\n".join(pieces)
+        special = [s for s in self.special if s in everything]
+        ids = {p: self._plain(p) for p in pieces if not p or any(s in p for s in special)}
+        joined = [p for p in pieces if p not in ids] if ids else list(pieces)
         groups = [joined[i : i + TOGETHER] for i in range(0, len(joined), TOGETHER)]
         texts = [self.mark.join(group) for group in groups]
         for group, encoding in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
@@ -103,39 +99,86 @@ class PieceEncoder:
             if size >= GROUP:
                 yield from one_group(group)
                 group, size = [], 0
-        yield from one_group(group)
+        if group:
+            yield from one_group(group)
+
+    def _stems(self, words: list[str]) -> dict[str, str]:
+        """What stands before the marks at the end of a word, where it ends with a letter.
+
+        Only letters up to U+00FF: a normalizer may take others apart.
+        """
+        cut = zip(words, map(str.rstrip, words, [self.marks] * len(words)))
+        return {w: s for w, s in cut if s and len(s) < len(w) and s[-1].isalpha() and s[-1] <= "\xff"}
+
+    def _learned(self, missing: list[str], as_text: Callable[[str], str], others: Iterable[str]) -> tuple[dict, dict]:
+        """Ids of the missing words, which are remembered, and of other pieces, which are not.
+
+        ``as_text`` gives the piece that a word stands for, without a line end in front.
+        """
+        stems = self._stems(missing)
+        ends = {w[len(s) :] for w, s in stems.items()}
+        before = {s: self.known[s] for s in dict.fromkeys(stems.values())}
+        whole = dict.fromkeys(w for w in missing if w not in stems)
+        whole.update((s, None) for s, ids in before.items() if ids is None)
+        found = self._encoded([*map(as_text, whole), *ends, *others])
+        new = {w: self.newline + found[as_text(w)] if self.blanks and w[0] == "\n" else found[as_text(w)] for w in whole}
+        for word, stem in stems.items():
+            new[word] = (new[stem] if before[stem] is None else before[stem]) + found[word[len(stem) :]]
+        self.known.learn(new, self.remembered)
+        return new, found
 
     def _without_blanks(self, texts: list[str]) -> Iterator[bytes]:
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
-        looked_up = [list(map(self.known.__getitem__, words)) for words in cut]
-        new = self._encoded(self.known.missing)
-        self.known.learn(new, self.remembered)
-        for words, ids in zip(cut, looked_up):
-            yield filled(words, ids, new)
+        words, codes, starts = cut(texts, " ")
+        ids = list(map(self.known.__getitem__, words))
+        new, _ = self._learned([w for w, x in zip(words, ids) if x is None], str, ())
+        yield from together([new[w] if x is None else x for w, x in zip(words, ids)], codes, starts)
 
     def _with_blanks(self, texts: list[str]) -> Iterator[bytes]:
         """A piece with a line end in front stands behind a line end, others behind a blank."""
-        firsts, cut, looked_up = [], [], []
-        for text in texts:
-            first, *words = text.replace("\n", " \n").split(" ")
-            firsts.append(first)
-            cut.append(words)
-            looked_up.append(list(map(self.known.__getitem__, words)))
-        missing = self.known.missing
-        odd = {w for w in missing if unclear(w[1:] if w[:1] == "\n" else w)}
-        merged = {}
-        for i, (first, words) in enumerate(zip(firsts, cut)):
-            if unclear(first) or (odd and not odd.isdisjoint(words)):
-                merged[i] = list(merged_pieces(texts[i]))
-        as_text = {w: w[1:] if w[0] == "\n" else " " + w for w in missing - odd}
-        found = self._encoded({*as_text.values(), *firsts, *(p for pieces in merged.values() for p in pieces)})
-        new = {w: self.newline + found[t] if w[0] == "\n" else found[t] for w, t in as_text.items()}
-        self.known.learn(new, self.remembered)
-        for i, (first, words, ids) in enumerate(zip(firsts, cut, looked_up)):
-            if i in merged:
-                yield b"".join(map(found.__getitem__, merged[i]))
-            else:
-                yield found[first] + filled(words, ids, new)
+        words, codes, starts = cut(texts, " \n")
+        firsts = [words[i] for i in codes[starts[:-1]].tolist()]
+        codes[starts[:-1]] = np.arange(len(words), len(words) + len(firsts))
+        ids = list(map(self.known.__getitem__, words))
+        missing = [i for i, x in enumerate(ids) if x is None]
+        odd = {i for i in missing if unclear(words[i][1:] if words[i][:1] == "\n" else words[i])}
+        strange = np.zeros(len(words) + len(firsts), dtype=bool)
+        strange[[*odd, *(len(words) + i for i, first in enumerate(firsts) if unclear(first))]] = True
+        merged = {
+            i: list(merged_pieces(texts[i]))
+            for i in np.flatnonzero(np.logical_or.reduceat(strange[codes], starts[:-1])).tolist()
+        }
+        others = [*firsts, *(p for pieces in merged.values() for p in pieces)]
+        new, found = self._learned([words[i] for i in missing if i not in odd], behind, others)
+        for i in missing:
+            ids[i] = b"" if i in odd else new[words[i]]
+        for i, row in enumerate(together([*ids, *map(found.__getitem__, firsts)], codes, starts)):
+            yield b"".join(map(found.__getitem__, merged[i])) if i in merged else row
+
+
+def behind(word: str) -> str:
+    """The piece of a word behind a blank, or behind a line end, which it has in front."""
+    return word[1:] if word[0] == "\n" else " " + word
+
+
+def cut(texts: list[str], line_end: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The texts cut at blanks, with something else for line ends.
+
+    Distinct words, the places of all words among them, and where each text's words start.
+    """
+    lines = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", line_end)
+    parts = pc.split_pattern(lines, " ")
+    coded = parts.flatten().dictionary_encode()
+    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    return words, coded.indices.to_numpy().copy(), parts.offsets.to_numpy()
+
+
+def together(ids: list[bytes], codes: np.ndarray, starts: np.ndarray) -> Iterator[bytes]:
+    """The ids of each text from those of its words."""
+    row = pa.array(ids, pa.large_binary()).take(pa.array(codes))
+    _, offsets, data = row.buffers()
+    places = np.frombuffer(offsets, dtype=np.int64)[starts].tolist()
+    for a, b in zip(places, places[1:]):
+        yield data[a:b].to_pybytes() if a < b else b""
 
 
 def unclear(piece: str) -> bool:
