@@ -1,56 +1,57 @@
 """Token ids of whole texts with a tokenizer file, at the cost of their distinct pieces.
 
 The pre-tokenizers of these files never join what stands on both sides of certain single
-blanks and line ends. A group of texts is cut there by Arrow, which also finds the distinct
-pieces; new ones are encoded by the tokenizers library, many in one call, and Arrow puts the
-ids together again. The pre-tokenizers never join a letter with a mark behind it either, so
-that a piece with marks at its end takes the ids of the piece without them. The result
-equals the ids of the whole text. Memory is bounded by the remembered pieces and the group
-in hand. Pieces are remembered in two generations: when the younger one is full it becomes
-the older one, and what is used again moves back, so that pieces in use stay and others go.
+blanks and line ends, nor a letter with a mark behind it. A group of texts is cut there by
+Arrow, which also finds the distinct pieces; new ones are encoded by the tokenizers library,
+many in one call, and Arrow puts the ids together again. The result equals the ids of the
+whole text. Memory is bounded by the remembered pieces and the group in hand. Pieces are
+remembered in two generations: when the younger one is full it becomes the older one, and
+what is used again moves back, so that pieces in use stay and others go.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterable, Iterator
+import re
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-REMEMBERED = 1_400_000  # pieces, of both generations; about 300 MB at most
+REMEMBERED = 1_400_000  # pieces, of both generations; about 70 MB at most, and as much again for a look-up
 LONGEST = 64  # characters of a remembered piece
-GROUP = 4_000_000  # characters of texts that are cut at once
+GROUP = 8_000_000  # characters of texts that are cut at once
 TOGETHER = 50  # pieces in one string, with a special token between them
 MARKS = ",.;:!?%&$*#"  # at the end of a piece, cut off behind a letter
+LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]"  # a normalizer may take others apart
 
 
-class Known(dict):
-    """Ids by piece, the younger generation; ``old`` is the older one.
-
-    A look-up of a piece that neither has gives None.
-    """
+class Known:
+    """Remembered pieces and their ids; ``used`` has the generation of each one's last use."""
 
     def __init__(self):
-        super().__init__()
-        self.old: dict[str, bytes] = {}
+        self.pieces, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.used, self.generation = np.zeros(0, dtype=np.int32), 0
 
-    def __missing__(self, piece: str) -> bytes | None:
-        ids = self.old.pop(piece, None)
-        if ids is not None:
-            self[piece] = ids
-        return ids
+    def places(self, pieces: pa.Array) -> np.ndarray:
+        """Places of the pieces among the remembered ones, -1 for one that is not."""
+        places = pc.index_in(pieces, value_set=self.pieces).fill_null(-1).to_numpy(zero_copy_only=False).copy()
+        self.used[places[places >= 0]] = self.generation
+        return places
 
-    def learn(self, new: dict[str, bytes], most: int) -> None:
+    def learn(self, pieces: pa.Array, ids: pa.Array, most: int) -> None:
         """Remember new pieces, and let go of the older generation if there are too many."""
-        if len(self) + len(new) > most // 2:
-            self.old = dict(self)
-            self.clear()
-        short = ((piece, ids) for piece, ids in new.items() if len(piece) <= LONGEST)
-        self.update(islice(short, most // 2))
+        new = np.flatnonzero(pc.less_equal(pc.utf8_length(pieces), LONGEST).to_numpy(zero_copy_only=False))[: most // 2]
+        young = np.flatnonzero(self.used == self.generation)
+        if len(young) + len(new) > most // 2:
+            young = young[: most - len(new)]
+            self.pieces, self.ids, self.used = self.pieces.take(young), self.ids.take(young), self.used[young]
+            self.generation += 1
+        self.pieces = pa.concat_arrays([self.pieces, pieces.take(new)])
+        self.ids = pa.concat_arrays([self.ids, ids.take(new)])
+        self.used = np.append(self.used, np.full(len(new), self.generation, dtype=np.int32))
 
 
 class PieceEncoder:
@@ -65,29 +66,33 @@ class PieceEncoder:
         self.special = {token.content: number for number, token in added.items()}
         self.mark, self.mark_id = next(iter(self.special.items()))
         self.marks = "".join(c for c in MARKS if not any(c in s for s in self.special))
+        self.at_end = rf"(?P<marks>[{re.escape(self.marks)}]+)\z"
         self.known = Known()
         self.newline = self._plain("\n")
 
     def _plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _encoded(self, pieces: Iterable[str]) -> dict[str, bytes]:
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece as a text of its own."""
-        pieces = dict.fromkeys(pieces)
         everything = "\n".join(pieces)
         special = [s for s in self.special if s in everything]
-        ids = {p: self._plain(p) for p in pieces if not p or any(s in p for s in special)}
-        joined = [p for p in pieces if p not in ids] if ids else list(pieces)
-        groups = [joined[i : i + TOGETHER] for i in range(0, len(joined), TOGETHER)]
-        texts = [self.mark.join(group) for group in groups]
-        for group, encoding in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        alone = {i for i, p in enumerate(pieces) if not p or any(s in p for s in special)} if special or "" in pieces else ()
+        joined = [p for i, p in enumerate(pieces) if i not in alone] if alone else pieces
+        sizes = [min(TOGETHER, len(joined) - i) for i in range(0, len(joined), TOGETHER)]
+        texts = [self.mark.join(joined[i : i + TOGETHER]) for i in range(0, len(joined), TOGETHER)]
+        ids = []
+        for size, encoding in zip(sizes, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             row = np.array(encoding.ids, dtype="<u4")
-            cuts = [-1, *np.flatnonzero(row == self.mark_id).tolist(), len(row)]
-            if len(cuts) != len(group) + 1:
+            cuts = [-4, *(4 * np.flatnonzero(row == self.mark_id)).tolist(), 4 * len(row)]
+            if len(cuts) != size + 1:
                 raise ValueError("the tokenizer gave another number of pieces")
             raw = row.tobytes()
-            ids.update((p, raw[4 * a + 4 : 4 * b]) for p, a, b in zip(group, cuts, cuts[1:]))
-        return ids
+            ids += [raw[a + 4 : b] for a, b in zip(cuts, cuts[1:])]
+        if not alone:
+            return ids
+        others = iter(ids)
+        return [self._plain(p) if i in alone else next(others) for i, p in enumerate(pieces)]
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers, in order."""
@@ -102,57 +107,58 @@ class PieceEncoder:
         if group:
             yield from one_group(group)
 
-    def _stems(self, words: list[str]) -> dict[str, str]:
-        """What stands before the marks at the end of a word, where it ends with a letter.
-
-        Only letters up to U+00FF: a normalizer may take others apart.
-        """
-        cut = zip(words, map(str.rstrip, words, [self.marks] * len(words)))
-        return {w: s for w, s in cut if s and len(s) < len(w) and s[-1].isalpha() and s[-1] <= "\xff"}
-
-    def _learned(self, missing: list[str], as_text: Callable[[str], str], others: Iterable[str]) -> tuple[dict, dict]:
-        """Ids of the missing words, which are remembered, and of other pieces, which are not.
+    def _ids(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Ids of distinct words, and which words are odd: these have no ids of their own.
 
-        ``as_text`` gives the piece that a word stands for, without a line end in front.
+        A word with marks behind a letter has the ids of what stands before them, and theirs.
         """
-        stems = self._stems(missing)
-        ends = {w[len(s) :] for w, s in stems.items()}
-        before = {s: self.known[s] for s in dict.fromkeys(stems.values())}
-        whole = dict.fromkeys(w for w in missing if w not in stems)
-        whole.update((s, None) for s, ids in before.items() if ids is None)
-        found = self._encoded([*map(as_text, whole), *ends, *others])
-        new = {w: self.newline + found[as_text(w)] if self.blanks and w[0] == "\n" else found[as_text(w)] for w in whole}
-        for word, stem in stems.items():
-            new[word] = (new[stem] if before[stem] is None else before[stem]) + found[word[len(stem) :]]
-        self.known.learn(new, self.remembered)
-        return new, found
+        before = pc.utf8_rtrim(words, characters=self.marks)
+        marked = pc.and_(pc.match_substring_regex(before, LETTER + r"\z"), pc.not_equal(before, words))
+        before = pc.if_else(marked, before, words)
+        places = self.known.places(before)
+        new = before.filter(pa.array(places < 0)).dictionary_encode()
+        pieces = new.dictionary.to_numpy(zero_copy_only=False).tolist()
+        clear = [i for i, p in enumerate(pieces) if not (self.blanks and unclear(p[1:] if p[:1] == "\n" else p))]
+        if len(clear) < len(pieces):
+            pieces = [pieces[i] for i in clear]
+        found = self._encoded([behind(p) for p in pieces] if self.blanks else pieces)
+        if self.blanks:
+            found = [self.newline + x if p[0] == "\n" else x for p, x in zip(pieces, found)]
+        found, clear = pa.array(found, pa.large_binary()), np.array(clear, dtype=np.int64)
+        # Behind the remembered ones come those encoded now, and last no ids for the odd ones.
+        nothing, old = pa.scalar(b"", pa.large_binary()), len(self.known.ids)
+        row = pa.concat_arrays([self.known.ids, found, pa.array([nothing])])
+        place = np.full(len(new.dictionary), len(row) - 1)
+        place[clear] = old + np.arange(len(found))
+        places[places < 0] = place[new.indices.to_numpy()]
+        ids, odd = row.take(pa.array(places)), places == len(row) - 1
+        self.known.learn(new.dictionary.take(clear), found, self.remembered)
+        if pc.any(marked).as_py():
+            ends = pc.struct_field(pc.extract_regex(words.filter(marked), self.at_end), 0).dictionary_encode()
+            end_ids = pa.array(self._encoded(ends.dictionary.to_pylist()), pa.large_binary()).take(ends.indices)
+            ids = pc.replace_with_mask(ids, marked, pc.binary_join_element_wise(ids.filter(marked), end_ids, nothing))
+        return ids, odd
 
     def _without_blanks(self, texts: list[str]) -> Iterator[bytes]:
         words, codes, starts = cut(texts, " ")
-        ids = list(map(self.known.__getitem__, words))
-        new, _ = self._learned([w for w, x in zip(words, ids) if x is None], str, ())
-        yield from together([new[w] if x is None else x for w, x in zip(words, ids)], codes, starts)
+        yield from together(self._ids(words)[0], codes, starts)
 
     def _with_blanks(self, texts: list[str]) -> Iterator[bytes]:
         """A piece with a line end in front stands behind a line end, others behind a blank."""
         words, codes, starts = cut(texts, " \n")
-        firsts = [words[i] for i in codes[starts[:-1]].tolist()]
+        firsts = words.take(codes[starts[:-1]]).to_pylist()
         codes[starts[:-1]] = np.arange(len(words), len(words) + len(firsts))
-        ids = list(map(self.known.__getitem__, words))
-        missing = [i for i, x in enumerate(ids) if x is None]
-        odd = {i for i in missing if unclear(words[i][1:] if words[i][:1] == "\n" else words[i])}
-        strange = np.zeros(len(words) + len(firsts), dtype=bool)
-        strange[[*odd, *(len(words) + i for i, first in enumerate(firsts) if unclear(first))]] = True
+        ids, odd = self._ids(words)
+        odd = np.append(odd, [unclear(first) for first in firsts])
         merged = {
             i: list(merged_pieces(texts[i]))
-            for i in np.flatnonzero(np.logical_or.reduceat(strange[codes], starts[:-1])).tolist()
+            for i in np.flatnonzero(np.logical_or.reduceat(odd[codes], starts[:-1])).tolist()
         }
-        others = [*firsts, *(p for pieces in merged.values() for p in pieces)]
-        new, found = self._learned([words[i] for i in missing if i not in odd], behind, others)
-        for i in missing:
-            ids[i] = b"" if i in odd else new[words[i]]
-        for i, row in enumerate(together([*ids, *map(found.__getitem__, firsts)], codes, starts)):
-            yield b"".join(map(found.__getitem__, merged[i])) if i in merged else row
+        once = list({p for pieces in merged.values() for p in pieces})
+        once_ids = dict(zip(once, self._encoded(once)))
+        ids = pa.concat_arrays([ids, pa.array(self._encoded(firsts), pa.large_binary())])
+        for i, row in enumerate(together(ids, codes, starts)):
+            yield b"".join(map(once_ids.__getitem__, merged[i])) if i in merged else row
 
 
 def behind(word: str) -> str:
@@ -160,22 +166,20 @@ def behind(word: str) -> str:
     return word[1:] if word[0] == "\n" else " " + word
 
 
-def cut(texts: list[str], line_end: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+def cut(texts: list[str], line_end: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The texts cut at blanks, with something else for line ends.
 
     Distinct words, the places of all words among them, and where each text's words start.
     """
     lines = pc.replace_substring(pa.array(texts, pa.large_string()), "\n", line_end)
     parts = pc.split_pattern(lines, " ")
-    coded = parts.flatten().dictionary_encode()
-    words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-    return words, coded.indices.to_numpy().copy(), parts.offsets.to_numpy()
+    words = parts.flatten().dictionary_encode()
+    return words.dictionary, words.indices.to_numpy().copy(), parts.offsets.to_numpy()
 
 
-def together(ids: list[bytes], codes: np.ndarray, starts: np.ndarray) -> Iterator[bytes]:
+def together(ids: pa.Array, codes: np.ndarray, starts: np.ndarray) -> Iterator[bytes]:
     """The ids of each text from those of its words."""
-    row = pa.array(ids, pa.large_binary()).take(pa.array(codes))
-    _, offsets, data = row.buffers()
+    _, offsets, data = ids.take(pa.array(codes)).buffers()
     places = np.frombuffer(offsets, dtype=np.int64)[starts].tolist()
     for a, b in zip(places, places[1:]):
         yield data[a:b].to_pybytes() if a < b else b""
