@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from runlens.llm.common import id_of, key_of, small, written
 from runlens.llm.pieces import REMEMBERED, encoder
-from runlens.llm.token_files import in_runs
+from runlens.llm.token_files import in_larger, in_runs
 
 ROWS = "part int, doc long, local_start long, n_tokens long, width int, ids binary"
 PIECES = """doc long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long,
@@ -32,7 +32,7 @@ def placed(docs: DataFrame, tokenizer: str, end_id: int, blanks: bool, doc_id: s
         pieces, end = encoder(tokenizer, blanks, remembered), np.array([end_id], dtype="<u4").tobytes()
         kind = "<u2" if max(pieces.tokenizer.get_vocab_size(), end_id + 1) <= 65_536 else "<u4"
         part, total = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in in_larger(batches):
             texts = (value.as_py() for value in batch.column("text"))
             for first, ids in in_runs(pieces.encode(texts), 16_000_000):
                 arrays = [np.frombuffer(x + end, dtype="<u4").astype(kind) for x in ids]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.common import id_of, key_of, shared_folder, small, written
-from runlens.llm.pieces import encoder
+from runlens.llm.pieces import GROUP, encoder
 
 BLOCK_BYTES = 4_000_000
 # The dictionary is fit on this many documents at most, chosen by a hash of their ids, and
@@ -50,7 +50,7 @@ def encoded(docs: DataFrame, tokenizer: str, blanks: bool, end_id: int, doc_id:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, end = encoder(tokenizer, blanks), np.array([end_id], dtype="<u4").tobytes()
         kind = "<u2" if max(pieces.tokenizer.get_vocab_size(), end_id + 1) <= 65_536 else "<u4"
-        for batch in batches:
+        for batch in in_larger(batches):
             texts = (value.as_py() for value in batch.column("text"))
             for start, ids in in_runs(pieces.encode(texts), 16_000_000):
                 arrays = [np.frombuffer(x + end, dtype="<u4").astype(kind) for x in ids]
@@ -68,6 +68,22 @@ def encoded(docs: DataFrame, tokenizer: str, blanks: bool, end_id: int, doc_id:
     return rows.mapInArrow(encode, "doc long, n_tokens long, ids binary, width int")
 
 
+def in_larger(batches: Iterator[pa.RecordBatch], most: int = GROUP) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of up to ``most`` bytes each; larger ones stay as they are.
+
+    The encoder looks pieces up for a group of texts at once, which is dear for a few short ones.
+    """
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > most:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def in_runs(values: Iterator[bytes], most: int) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of values with about ``most`` bytes each, and the place of their first one."""
     run, size, start = [], 0, 0

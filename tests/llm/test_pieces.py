@@ -3,10 +3,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from runlens.llm.pieces import PieceEncoder
 from runlens.llm.queries import tokenizer
+from runlens.llm.token_files import in_larger
 
 FILES = [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)]
 
@@ -43,3 +45,12 @@ def test_marks_behind_letters_of_all_kinds(name, blanks, remembered, monkeypatch
     pieces = PieceEncoder(tokenizer(name), blanks, remembered)
     right(pieces, [*texts, "", *texts, " ", "\n", "a,", "\na,"])
     assert len(pieces.known.pieces) == len(pieces.known.ids) <= remembered
+
+
+def test_small_batches_are_encoded_together():
+    rows = [(i, "x" * (5_000 if i == 70 else 20)) for i in range(100)]
+    batches = [pa.record_batch({"doc": [d], "text": [t]}) for d, t in rows]
+    found = list(in_larger(iter(batches), 1_000))
+    assert [(r["doc"], r["text"]) for b in found for r in b.to_pylist()] == rows
+    assert len(found) <= 8 and list(in_larger(iter([]))) == []
+    assert all(b.nbytes <= 1_000 or b.num_rows == 1 for b in found)
