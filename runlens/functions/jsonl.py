@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -180,13 +182,67 @@ def array_elements(documents: DataFrame, text: str = "text") -> DataFrame:
     return barrier.select(*kept, "_at", "_element", F.posexplode(pieces).alias("_place", "_piece")).select(*kept, ordinal, "_piece.*")
 
 
+# Values that nest deeper than this are left to the fold.
+_DEPTH = 8
+# Stands around the name of a value that is put in later; no JSON text holds it.
+_MARK = "\x01"
+
+
+def _member_marks(names: list[str]) -> str:
+    """Pattern of a run of other members up to the value of a named one, or up to the end of the outer object.
+
+    All repeats are possessive, so that a text of any length is gone through once and without recursion.
+    """
+    nested = ""
+    for _ in range(_DEPTH):
+        inner = rf'{_STRING}|[^"{{}}\[\]]++{"|" + nested if nested else ""}'
+        nested = rf"[{{\[](?:{inner})*+[}}\]]"
+    named = "|".join(re.escape(name) for name in names)
+    start = r"(?:\A\{|,)\s*+"
+    # A key with an escape may spell a name in another way.
+    other = rf'{start}"(?!(?:{named})")[^"\\]*+"\s*+:(?:{_STRING}|{nested}|[^"{{}}\[\],]++)++'
+    value = rf'(?:{_STRING}|{nested}|[^"{{}}\[\],:\s]++)'
+    return rf'(?s)\G((?:{other})*+)(?:({start}"({named})"\s*+:\s*+){value}(\s*+)(?=[,}}])|(\}}\z))'
+
+
 def with_members(line: str, values: dict[str, Column]) -> Column:
     """The JSON object in a text column with other values (JSON texts) for some keys of the outer object.
 
     Only the spans of these values are replaced, in each place where such a key stands, and keys that
     are missing are added at the end; all other text stays as it is. The column has to hold one JSON object.
+
+    One pattern finds the places of these values and the end. Where it does not reach the end, as with escapes in
+    keys or deep nesting, the object is cut by a fold over its pieces, at many times the cost.
     """
     text = F.col(line)
+    marked = F.regexp_replace(text, F.lit(_member_marks(list(values))), F.lit(f"$1$2{_MARK}$3$5{_MARK}$4"))
+
+    def whole(pieces: Column) -> Column:
+        return (F.get(pieces, F.size(pieces) - 2) == "}") & ~F.contains(text, F.lit(_MARK))
+
+    def filled(pieces: Column) -> Column:
+        """Every other piece stands between marks: the name of a value, or the end."""
+        added = [F.when(F.array_contains(pieces, name), "").otherwise(F.concat(F.lit(f',"{name}":'), value)) for name, value in values.items()]
+
+        def piece(text: Column, place: Column) -> Column:
+            out = F.when(place % 2 == 0, text)
+            for name, value in values.items():
+                out = out.when(text == name, value)
+            return out.otherwise(F.concat(*added, F.lit("}")))
+
+        return F.array_join(F.transform(pieces, piece), "")
+
+    # Pieces are found once for all uses by passing them through a lambda.
+    done = F.transform(
+        F.array(F.split(marked, _MARK)),
+        lambda pieces: F.when(whole(pieces), filled(pieces)).otherwise(_with_members_by_fold(line, values)),
+    )
+    return F.get(done, F.lit(0))
+
+
+def _with_members_by_fold(line: str, values: dict[str, Column]) -> Column:
+    """:func:`with_members` for any JSON object."""
+    text = F.col(line)
     cuts = F.expr(_CUTS.format(line=line, token=_TOKEN.replace("\\", "\\\\")))
 
     def between(ends: Column) -> Column:
@@ -200,19 +256,24 @@ def with_members(line: str, values: dict[str, Column]) -> Column:
     def key_of(member: Column) -> Column:
         return F.get(F.from_json(F.concat(F.lit("["), part(member, 2), F.lit("]")), "array<string>"), F.lit(0))
 
-    def replaced(member: Column) -> Column:
-        key, out = key_of(member), member
+    def replaced(entry: Column) -> Column:
+        member = out = entry["member"]
         for name, value in values.items():
-            out = F.when(key == name, F.concat(part(member, 1), value, part(member, 4))).otherwise(out)
+            out = F.when(entry["key"] == name, F.concat(part(member, 1), value, part(member, 4))).otherwise(out)
         return out
 
+    def joined(entries: Column) -> Column:
+        keys = F.transform(entries, lambda entry: entry["key"])
+        added = [F.when(~F.array_contains(keys, name), F.concat(F.lit(f'"{name}":'), value)) for name, value in values.items()]
+        rest = F.filter(F.array(*added), lambda member: member.isNotNull())
+        return F.concat(F.lit("{"), F.array_join(F.concat(F.transform(entries, replaced), rest), ","), F.lit("}"))
+
     members = F.get(F.transform(F.array(cuts), between), F.lit(0))
     # An object without members has one empty span.
     own = F.filter(members, lambda member: F.trim(member) != "")
-    keys = F.transform(own, key_of)
-    added = [F.when(~F.array_contains(keys, name), F.concat(F.lit(f'"{name}":'), value)) for name, value in values.items()]
-    rest = F.filter(F.array(*added), lambda member: member.isNotNull())
-    return F.concat(F.lit("{"), F.array_join(F.concat(F.transform(own, replaced), rest), ","), F.lit("}"))
+    # Members and their keys are found once for all uses, too.
+    entries = F.transform(own, lambda member: F.struct(member.alias("member"), key_of(member).alias("key")))
+    return F.get(F.transform(F.array(entries), joined), F.lit(0))
 
 
 def json_value(value: Column, kind: T.DataType) -> Column:

@@ -3,11 +3,13 @@
 import csv
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from runlens import schemas
+from runlens.functions import jsonl
 from runlens.functions.text import result_score, strip, strip_long
 from runlens.operators import scoring, status
 from runlens.operators.selection import in_cohort, last_runs, newest_first
@@ -84,6 +86,33 @@ def test_rewrite_keeps_faulty_lines_and_unknown_fields(spark, log, tmp_path):
             assert new == old
 
 
+def test_members_are_replaced_by_span(spark):
+    deep = "[" * 12 + '{"score":1}' + "]" * 12
+    expected = {
+        '{"score": 1 ,"a":"}"}': '{"score": 2.5 ,"a":"}","b$":"\\\\$1"}',
+        '{ "x":{"score":[1.0,"]"]}, "b$" : {"y":[]}\t}': '{ "x":{"score":[1.0,"]"]}, "b$" : "\\\\$1"\t,"score":2.5}',
+        '{"score":1,"score":-1e5,"a":NaN,"b$":"\\""}': '{"score":2.5,"score":2.5,"a":NaN,"b$":"\\\\$1"}',
+        '{"sc\\u006fre":1,"scores":33.0}': '{"sc\\u006fre":2.5,"scores":33.0,"b$":"\\\\$1"}',
+        f'{{"a":{deep},"score":null}}': f'{{"a":{deep},"score":2.5,"b$":"\\\\$1"}}',
+        f'{{"score":{deep}}}': '{"score":2.5,"b$":"\\\\$1"}',
+        "{}": '{"score":2.5,"b$":"\\\\$1"}',
+    }
+    lines = spark.createDataFrame([(line,) for line in [*expected, None]], "line string")
+    values = {"score": F.lit("2.5"), "b$": F.lit('"\\\\$1"')}
+    got = lines.select("line", jsonl.with_members("line", values).alias("new"), jsonl._with_members_by_fold("line", values).alias("folded"))
+    for row in got.collect():
+        assert row.new == row.folded == expected.get(row.line)
+
+
+def test_members_of_a_long_object_are_replaced_in_one_pass(spark):
+    fields = {f"k{i}": [i, {"score": "}"}] for i in range(20_000)} | {"score": 1.0}
+    lines = spark.createDataFrame([(json.dumps(fields),)], "line string")
+    start = time.perf_counter()
+    new = lines.select(jsonl.with_members("line", {"score": F.lit("2.5"), "notes": F.lit('"x"')})).first()[0]
+    assert json.loads(new) == fields | {"score": 2.5, "notes": "x"}
+    assert time.perf_counter() - start < 20
+
+
 def test_appends_come_back_in_order(spark, runs_of, tmp_path):
     path = str(tmp_path / "log")
     first = writers.append_runs(runs_of(done(1.0, notes="x"), {"num_instances": 2}).coalesce(1), path)
