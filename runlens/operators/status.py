@@ -78,22 +78,31 @@ def apply_updates(runs: DataFrame, updates: DataFrame) -> DataFrame:
     return joined.select(*[merged.get(name, F.col(name)).alias(name) for name in columns])
 
 
-def update_log_lines(lines: DataFrame, updates: DataFrame) -> DataFrame:
+def update_log_lines(lines: DataFrame, updates: DataFrame, in_order: bool = False) -> DataFrame:
     """The whole log as lines, updated; input columns ``line`` and ``seq``.
 
     Lines without an update are passed on as they are, faulty ones included (only
     stripped). In updated lines four values change and nothing else: numbers keep their
     spelling, keys their order, and what is nested or unknown stays.
+
+    ``in_order`` sorts the lines by ``seq``. They are sorted before they are changed: Spark
+    works out twice what it sorts, the first time to find the ranges.
     """
+    # Names that begin alike are slow to sort; with their hash in front few are compared. Null names match nothing.
+    keyed = lambda named: named.withColumn("_hash", F.xxhash64("name"))
     parsed = parse_objects(lines, "struct<prediction_file:string>", "_entry")
-    named = parsed.withColumn("name", F.nullif(base_name(F.col("_entry.prediction_file")), F.lit(NO_FILE)))
-    joined = split_lookup(named, latest_updates(updates), ["name"], spread="seq").withColumn("_text", strip(F.col("line")))
+    named = parsed.select(
+        "seq",
+        F.when(F.col("_entry").isNull(), strip(F.col("line"))).otherwise(F.col("line")).alias("line"),
+        F.nullif(base_name(F.col("_entry.prediction_file")), F.lit(NO_FILE)).alias("name"),
+    )
+    joined = split_lookup(keyed(named), keyed(latest_updates(updates)), ["_hash", "name"], spread="seq").select("seq", "line", "_update")
+    rows = joined.orderBy("seq") if in_order else joined
+    hit = F.col("_update").isNotNull()
     kinds = {"evaluation_score": T.DoubleType(), "evaluation_time": T.DoubleType()}
     new = {key: json_value(value, kinds.get(key, T.StringType())) for key, value in _updated_fields().items()}
-    kept = F.when(F.col("_entry").isNull(), F.col("_text")).otherwise(F.col("line"))
-    return joined.select(
-        "seq", F.when(F.col("_update").isNotNull(), with_members("_text", new)).otherwise(kept).alias("line")
-    )
+    updated = F.when(hit, with_members("_text", new)).otherwise(F.col("line"))
+    return rows.withColumn("_text", F.when(hit, strip(F.col("line")))).select("seq", updated.alias("line"))
 
 
 def assemble_predictions(

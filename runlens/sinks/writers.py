@@ -92,9 +92,9 @@ def export_csv(runs: DataFrame, path: str, single_file: bool = False) -> bool:
     return True
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
-    """Write log lines in the order of ``seq`` to a new folder."""
-    lines.orderBy("seq").select("line").write.text(path)
+def write_lines(lines: DataFrame, path: str, in_order: bool = False) -> None:
+    """Write log lines in the order of ``seq`` to a new folder; ``in_order`` says that they come in it."""
+    (lines if in_order else lines.orderBy("seq")).select("line").write.text(path)
 
 
 def run_lines(runs: DataFrame) -> DataFrame:

@@ -86,6 +86,27 @@ def test_rewrite_keeps_faulty_lines_and_unknown_fields(spark, log, tmp_path):
             assert new == old
 
 
+def test_rewrite_sorts_lines_before_it_changes_them(spark, tmp_path):
+    log = [json.dumps(RUN | {"prediction_file": f"p/f{i % 7}.jsonl", "num_instances": i}) + " " * (i % 2) for i in range(300)]
+    log[5], log[6] = " {broken ", json.dumps({"prediction_file": "None"})
+    lines = spark.createDataFrame(list(enumerate(log)), "seq bigint, line string").repartition(5)
+    updates = spark.createDataFrame([(f"f{i}.jsonl", float(i), None, "2025-02-02 00:00:00") for i in (1, 2)] + [("None", 1.0, 1.0, "x"), (None, 2.0, 2.0, "y")],
+                                    "name string, score double, seconds double, evaluated_at string")
+    ordered = status.update_log_lines(lines, updates, in_order=True)
+    plan = ordered._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("regexp_replace") < plan.index("Sort [seq")
+    writers.write_lines(ordered, str(tmp_path / "ordered"), in_order=True)
+    writers.write_lines(status.update_log_lines(lines, updates), str(tmp_path / "sorted"))
+    found = {way: [r.line for r in logs.read_lines(spark, str(tmp_path / way)).orderBy("seq").collect()] for way in ("ordered", "sorted")}
+    changed = {f"p/f{i}.jsonl": {"evaluation_score": float(i), "evaluation_time": None, "evaluation_status": "completed",
+                                 "evaluation_timestamp": "2025-02-02 00:00:00"} for i in (1, 2)}
+    for i, line in enumerate(log):
+        update = {} if i == 5 else changed.get(json.loads(line)["prediction_file"], {})
+        new = found["ordered"][i]
+        assert json.loads(new) == json.loads(line) | update if update else new == (line.strip() if i == 5 else line)
+    assert len(found["ordered"]) == 300 and found["sorted"] == found["ordered"]
+
+
 def test_members_are_replaced_by_span(spark):
     deep = "[" * 12 + '{"score":1}' + "]" * 12
     expected = {

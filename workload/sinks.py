@@ -90,7 +90,7 @@ def score_log_rewrite(spark: SparkSession, sf: str) -> DataFrame:
     keyed = _log_lines(spark, sf).withColumn(
         "line", F.when(F.col("line").startswith("  {"), F.concat(start, F.substring("line", 4, 1_000_000))).otherwise(F.col("line"))
     )
-    writers.write_lines(status.update_log_lines(keyed, view(spark, sf, "updates")), path)
+    writers.write_lines(status.update_log_lines(keyed, view(spark, sf, "updates"), in_order=True), path, in_order=True)
     back = logs.read_lines(spark, path)
     order = F.regexp_extract("line", r'"order":(\d+),', 1).try_cast("bigint")
     spelt = F.contains("line", F.lit(f",{odd}")).alias("spelt_as_before")
